@@ -1,13 +1,14 @@
 """Molecules per gene and cell: filters, UMI correction and their statistics.
 
-Correction is sequential within one gene of one cell, so it runs as a pandas
-function per (cell, gene) over counted (UMI, position) pairs.  The pairs are counted
-before with map-side combining, so a group has a row per distinct pair.
+Correction is sequential within one gene of one cell, so it runs in Python over
+counted (UMI, position) pairs, streamed gene by gene through sorted partitions: a
+task holds one gene of one cell at a time.  The pairs are counted before with
+map-side combining, so a group has a row per distinct pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,23 +96,34 @@ def corrected_pairs(pairs: DataFrame, mode: int = 1, compat: bool = False) -> Da
         return pairs.withColumn("corrected", F.lit(0).cast("long"))
     fix = (lambda p: correct_mode_2(p, True)) if mode == 2 and compat else CORRECTIONS[mode]
 
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, corrected = fix({(u, int(p)): int(n) for u, p, n in zip(pdf["UMI"], pdf["position"], pdf["n"], strict=True)})
-        rows = [(*key, u, p, n, 0) for (u, p), n in sorted(left.items())] or [(*key, None, None, None, 0)]
-        rows[0] = (*rows[0][:5], corrected)
-        out = pd.DataFrame(rows, columns=["cell_id", "gene_id", "UMI", "position", "n", "corrected"])
-        return out.astype({"position": "Int32", "n": "Int64"})
-
-    # groups of one pair have nothing to correct and stay in the JVM
-    size = F.count("*").over(Window.partitionBy("cell_id", "gene_id"))
-    sized = pairs.select("cell_id", "gene_id", "UMI", "position", "n", size.alias("_size"))
-    lone = sized.where("_size = 1").drop("_size").withColumn("corrected", F.lit(0).cast("long"))
-    if mode == 2 and compat:
-        lone = lone.withColumns({"corrected": F.when(F.col("n") == 1, 1).otherwise(0).cast("long"), "UMI": F.when(F.col("n") > 1, F.col("UMI"))})
-    more = sized.where("_size > 1").drop("_size").groupBy("cell_id", "gene_id")
     kinds = dict(pairs.dtypes)
     schema = f"cell_id {kinds['cell_id']}, gene_id {kinds['gene_id']}, UMI string, position int, n long, corrected long"
-    return lone.select("cell_id", "gene_id", "UMI", F.col("position").cast("int").alias("position"), "n", "corrected").unionByName(more.applyInPandas(group, schema))
+    names = ["cell_id", "gene_id", "UMI", "position", "n", "corrected"]
+
+    def one(key: tuple, group: Pairs) -> list[tuple]:
+        left, corrected = fix(group)
+        rows = [(*key, u, p, n, 0) for (u, p), n in sorted(left.items())] or [(*key, None, None, None, 0)]
+        rows[0] = (*rows[0][:5], corrected)
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups come one after the other, sorted; a group may span batches."""
+        key, group, out = None, {}, []
+        for pdf in batches:
+            for c, g, u, p, n in zip(pdf["cell_id"], pdf["gene_id"], pdf["UMI"], pdf["position"], pdf["n"], strict=True):
+                if (c, g) != key:
+                    if key is not None:
+                        out += one(key, group)
+                    key, group = (c, g), {}
+                group[u, int(p)] = int(n)
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"position": "Int32", "n": "Int64"})
+                out = []
+        if key is not None:
+            yield pd.DataFrame(one(key, group), columns=names).astype({"position": "Int32", "n": "Int64"})
+
+    dealt = pairs.select("cell_id", "gene_id", "UMI", "position", "n").repartition("cell_id", "gene_id").sortWithinPartitions("cell_id", "gene_id")
+    return dealt.mapInPandas(run, schema)
 
 
 def gene_counts(kept: DataFrame) -> DataFrame:
