@@ -134,7 +134,8 @@ def prefix_match(reads: DataFrame, barcodes: DataFrame, seen: str = "seen", list
     lists = listed_.select("_w", F.explode(F.sequence(F.lit(0), F.length("_w") - 1)).alias("_d")).withColumns(
         {"_a": F.expr("substring(_w, 1, _d)"), "_b": F.expr("substring(_w, _d + 2)"), "_l": F.length("_w")}
     )
-    near = left.join(lists, ["_d", "_a", "_b", "_l"]).select(*keep, F.col("_w").alias(listed), F.col("_d").alias("position"))
+    # a spelled-out N is no substitution
+    near = left.join(lists, ["_d", "_a", "_b", "_l"]).where(F.expr(f"substring(`{seen}`, _d + 1, 1) <> 'N'")).select(*keep, F.col("_w").alias(listed), F.col("_d").alias("position"))
     found = exact.unionByName(near).distinct()
     if not quality:
         return found

@@ -63,22 +63,24 @@ def lsi(values: DataFrame, rank: int = 50, rounds: int = 6, seed: int = 3) -> Da
     k = max(min(rank, len(cells), features) - 1, 0)
     if k == 0:
         return spark.createDataFrame([(c, []) for c in cells], "barcode string, scores array<double>")
-    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(cells), k)))[0]
+    wide = min(k + 6, len(cells))  # a few columns more settle sooner
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(cells), wide)))[0]
     index = {c: i for i, c in enumerate(cells)}
-    width = [F.col("b")[j] for j in range(k)]
+    width = [F.col("b")[j] for j in range(wide)]
     for _ in range(rounds):
-        side = spark.createDataFrame([(c, block[i].tolist()) for c, i in index.items()], "barcode string, b array<double>")
+        used = block
+        side = spark.createDataFrame([(c, used[i].tolist()) for c, i in index.items()], "barcode string, b array<double>")
         up = values.join(side, "barcode").groupBy("feature").agg(F.array(*[F.sum(F.col("value") * w) for w in width]).alias("b"))
         down = values.join(up, "feature").groupBy("barcode").agg(F.array(*[F.sum(F.col("value") * w) for w in width]).alias("b"))
-        made = np.zeros((len(cells), k))
+        made = np.zeros((len(cells), wide))
         for r in down.toLocalIterator():
             made[index[r["barcode"]]] = r["b"]
-        last, (block, _) = made, np.linalg.qr(made)
-    # the triangular factor of the last product holds the squared singular values
-    inner = block.T @ last
+        block = np.linalg.qr(made)[0]
+    # within the last block the small eigenproblem gives the squared singular values
+    inner = used.T @ made
     vals, vecs = np.linalg.eigh((inner + inner.T) / 2)
-    order = np.argsort(-vals)
-    scores = (block @ vecs[:, order]) * np.sqrt(np.maximum(vals[order], 0))
+    order = np.argsort(-vals)[:k]
+    scores = (used @ vecs[:, order]) * np.sqrt(np.maximum(vals[order], 0))
     signs = np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(k)])
     scores = scores * np.where(signs == 0, 1, signs)
     return spark.createDataFrame([(c, scores[i].tolist()) for c, i in index.items()], "barcode string, scores array<double>")
