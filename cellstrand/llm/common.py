@@ -6,6 +6,7 @@ first, so extra columns of a table never clash with those an operator adds.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Within this block joins may filter their larger side by a Bloom filter of the
+    smaller before the shuffle, whatever that side's size (Spark's own limit is 10 GB).
+    Spark builds the filter only while the smaller side is small enough for it."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_rows(df: DataFrame, work: Callable[[], Callable[[list[list]], dict]], schema: str) -> DataFrame:
     """Map slices of rows through Python, Arrow in and Arrow out.
 

@@ -12,10 +12,12 @@ when their sets' Jaccard similarity is at least 0.8.
     member come from an aggregate with map-side combining.  First every member is
     compared with the smallest one; connected components follow.  Then what could
     still be missing is compared: in buckets of up to `all_pairs` members every
-    pair, in larger ones every pair whose sides are not in one class yet, found
-    from the members outside the smallest member's class.  A pair left out joins
-    two members of one class, so the classes are those of all candidate pairs and
-    no group is ever expanded into all its pairs.
+    pair; for the members of larger buckets with several classes, the pairs of
+    different classes that share a rare shingle (`rare_shingles`): two sets at 0.8
+    must share one of the rarest fifth of each.  Pairs left out join two members of
+    one class or can't reach the similarity, so the classes are those of all
+    candidate pairs, and neither copies nor documents with common passages are ever
+    expanded into all their pairs.
 4.  Each candidate pair is verified on the two full shingle sets.
 
 Nothing about documents goes to the driver.  Components are found by alternating
@@ -30,15 +32,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import map_rows, materialise, runtime_filters
 
 _U64 = np.uint64
 
@@ -163,18 +164,54 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Those of the pairs (a, a_copies, b, b_copies) that are similar enough."""
+    """Those of the pairs (a, b) that are similar enough."""
     percent = settings.percent
 
     def run(batches):
         for batch in batches:
             one, two = batch.column("a_set"), batch.column("b_set")
             keep = pa.array([similar(one[i].as_buffer(), two[i].as_buffer(), percent) for i in range(batch.num_rows)], pa.bool_())
-            yield batch.select(["a", "a_copies", "b", "b_copies"]).filter(keep)
+            yield batch.select(["a", "b"]).filter(keep)
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
-    return both.select("a", "a_copies", "b", "b_copies", "a_set", "b_set").mapInArrow(run, "a long, a_copies long, b long, b_copies long")
+    return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+
+
+def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(key, id, n): for each set the shared shingles among its rarest.
+
+    In any common order two sets of similarity t share one of the first
+    n - ceil(t n) + 1 of each.  Rarest come first; those that no other set here has
+    are counted off but need no row.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "s"])
+
+    wide = sets.select("id", "shingles").mapInArrow(spread, "id long, s array<long>")
+    rows = materialise(wide.select("id", F.size("s").alias("n"), F.explode("s").alias("key")), "spread")
+    shared = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy("df", "key")
+    placed = rows.join(shared, "key").withColumns({"k": F.row_number().over(order), "common": F.count("*").over(Window.partitionBy("id"))})
+    first = F.col("n") - F.ceil(F.col("n") * settings.percent / 100.0) + 1
+    return placed.where(F.col("k") <= first - (F.col("n") - F.col("common"))).select("key", "id", "n")
+
+
+def between_classes(rows: DataFrame, fits) -> DataFrame:
+    """(a, b): pairs of different classes with a key in common, from (key, id, n, class).
+
+    One side is always outside the class of the key's first member, so a key whose
+    members are one class makes no pair.
+    """
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "class")).alias("first")).select("key", F.col("first.class").alias("first_class"))
+    x = rows.join(first, "key").where(F.col("class") != F.col("first_class"))
+    x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "class")])
+    y = rows.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "class")])
+    pairs = x.join(y, "key").where((F.col("x_class") != F.col("y_class")) & fits("x_n", "y_n"))
+    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -217,24 +254,18 @@ def near_duplicate_classes(
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by(F.struct("n", "keys"), "id").alias("s"))
     )
     texts = materialise(grouped.select("text_key", "id", "copies", "s.n", "s.keys"), "texts")
-    rows = texts.select("id", "copies", "n", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "copies")).alias("first")).where("size > 1")
+    rows = texts.select("id", "n", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
     members = materialise(
-        rows.join(buckets, "key").select(
-            "key", "id", "n", "copies", "size", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"), F.col("first.copies").alias("first_copies")
-        ),
-        "buckets",
+        rows.join(buckets, "key").select("key", "id", "n", "size", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "buckets"
     )
-    wanted = members.groupBy("id").agg(F.lit(1).alias("one")).select("id")
-    bodies = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").join(wanted, "id", "left_semi")
-    sets = materialise(shingle_sets(bodies, settings), "shingles")
+    wanted = materialise(members.groupBy("id").agg(F.count("*").alias("rows")), "wanted")
+    bodies = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    with runtime_filters(df.sparkSession):
+        sets = materialise(shingle_sets(bodies.join(wanted.where("rows >= 1").select("id"), "id", "left_semi"), settings), "shingles")
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * settings.percent) & (F.col(y) * 100 >= F.col(x) * settings.percent)
 
-    to_first = (
-        members.where((F.col("id") != F.col("first")) & fits("n", "first_n"))
-        .select(F.col("first").alias("a"), F.col("first_copies").alias("a_copies"), F.col("id").alias("b"), F.col("copies").alias("b_copies"))
-        .distinct()
-    )
+    to_first = members.where((F.col("id") != F.col("first")) & fits("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     tried = materialise(to_first, "pairs")
     links = materialise(verify(tried, sets, settings), "links")
     roots = components(links)
@@ -242,27 +273,24 @@ def near_duplicate_classes(
     classed = (
         members.join(roots.select(F.col("node").alias("id"), F.col("root")), "id", "left")
         .join(roots.select(F.col("node").alias("first"), F.col("root").alias("first_root")), "first", "left")
-        .select("key", "id", "n", "copies", "size", F.coalesce("root", "id").alias("class"), F.coalesce("first_root", "first").alias("first_class"))
+        .select("key", "id", "n", "size", F.coalesce("root", "id").alias("class"), F.coalesce("first_root", "first").alias("first_class"))
     )
     classed = materialise(classed, "classed")
-    x = classed.select("key", "size", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "copies", "class", "first_class")])
-    y = classed.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "copies", "class")])
-    small = x.where(F.col("size") <= settings.all_pairs).join(y, "key").where("x_id < y_id")
-    outside = x.where((F.col("size") > settings.all_pairs) & (F.col("x_class") != F.col("x_first_class")))
-    large = outside.join(y, "key").where("x_class <> y_class")
-    more = [
-        p.where(fits("x_n", "y_n")).select(
-            F.least("x_id", "y_id").alias("a"),
-            F.when(F.col("x_id") < F.col("y_id"), F.col("x_copies")).otherwise(F.col("y_copies")).alias("a_copies"),
-            F.greatest("x_id", "y_id").alias("b"),
-            F.when(F.col("x_id") < F.col("y_id"), F.col("y_copies")).otherwise(F.col("x_copies")).alias("b_copies"),
-        )
-        for p in (small, large)
-    ]
-    rest = reduce(DataFrame.union, more).where("a <> b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    x = classed.where(F.col("size") <= settings.all_pairs)
+    y = x.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"))
+    small = x.select("key", F.col("id").alias("a"), F.col("n").alias("a_n")).join(y, "key").where((F.col("a") < F.col("b")) & fits("a_n", "b_n")).select("a", "b")
+    crowded = classed.where(F.col("size") > settings.all_pairs)
+    mixed_keys = crowded.where("class <> first_class").select("key").distinct()
+    mixed_ids = materialise(crowded.join(mixed_keys, "key", "left_semi").groupBy("id").agg(F.min("class").alias("class")), "crowded")
+    rare = rare_shingles(sets.join(mixed_ids, "id", "left_semi"), settings).join(mixed_ids, "id")
+    large = between_classes(materialise(rare, "rare"), fits)
+    rest = small.union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
     links = materialise(links.union(verify(rest, sets, settings)), "links")
     roots = components(links)
 
+    copies = texts.select("id", "copies")
+    named_copies = lambda side: copies.select(F.col("id").alias(side), F.col("copies").alias(f"{side}_copies"))
+    links = materialise(links.join(named_copies("a"), "a").join(named_copies("b"), "b").select("a", "a_copies", "b", "b_copies"), "links")
     ends = links.select(F.col("a").alias("id"), F.col("b_copies").alias("n")).union(links.select(F.col("b").alias("id"), F.col("a_copies").alias("n")))
     linked = ends.groupBy("id").agg(F.sum("n").alias("links"))
     nodes = (
@@ -271,7 +299,7 @@ def near_duplicate_classes(
         .join(linked, "id", "left")
         .select("text_key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    named = sig.where("id is not null and n > 0").join(nodes, "text_key", "left").select("id", "class_id", "n_links")
+    named = sig.where("id is not null and n > 0").select("id", "text_key").join(nodes, "text_key", "left").select("id", "class_id", "n_links")
     alone = sig.where("id is null or n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return named.union(alone), links
 
