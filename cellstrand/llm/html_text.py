@@ -34,6 +34,7 @@ from .common import map_rows
 # HTML elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+PROSE = tuple("p br b i em strong span h1 h2 h3 h4 h5 h6 blockquote code pre sub sup".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 NEVER = frozenset("head title nav footer aside form script style noscript template svg math iframe object embed select textarea button input menu dialog canvas audio video map datalist".split())
 CONTENT = frozenset("article main".split())
@@ -62,8 +63,8 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 class ScoreWeights:
     """What a word or tag adds to a region's score."""
 
-    tags: dict[str, float] = field(default_factory=dict)
-    tag: float = -1.0
+    tags: dict[str, float] = field(default_factory=lambda: dict.fromkeys(PROSE, -0.05))
+    tag: float = -0.375
     word: float = 1.0
     link_word: float = 0.2
     outside: float = -1.0

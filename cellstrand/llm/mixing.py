@@ -186,9 +186,10 @@ def plan(sizes: DataFrame, settings: MixSettings) -> DataFrame:
 
 
 def sized(df: DataFrame, settings: MixSettings, id_col: str, text_col: str, source_col: str, size: Column | None = None) -> DataFrame:
+    """(row, mix): the row as it is, apart from what the operator adds."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit(settings.seed))
     return df.select(
-        "*",
+        F.struct("*").alias("row"),
         F.struct(
             (size if size is not None else words_in(text_col)).alias("size"),
             F.col(source_col).cast("string").alias("source"),
@@ -221,11 +222,11 @@ def mix(
 ) -> DataFrame:
     """One row per input row: id, size, source_size, target, draws (an array, a
     member for each time the row is taken, with its shard and order there)."""
-    narrow = sized(df, settings, id_col, text_col, source_col).select(id_col, "mix")
+    narrow = sized(df, settings, id_col, text_col, source_col).select(F.col("row")[id_col].alias("id"), "mix")
     narrow = materialise(narrow, "mix-sizes")
     made = plan(narrow.select("mix.*"), settings)
     return with_draws(narrow, made, settings).select(
-        id_col, F.col("mix.size").alias("size"), F.col("goal.words").cast("long").alias("source_size"), F.col("goal.target").alias("target"), "draws"
+        F.col("id").alias(id_col), F.col("mix.size").alias("size"), F.col("goal.words").cast("long").alias("source_size"), F.col("goal.target").alias("target"), "draws"
     )
 
 
@@ -237,13 +238,13 @@ def mixed_rows(
     made = plan(narrow.select("mix.*"), settings)
     # sizes are known by now and play no part in the draws
     rows = with_draws(sized(df, settings, id_col, text_col, source_col, F.lit(0).cast("long")), made, settings)
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.explode("draws").alias("mix_draw")).drop("mix_draw")
+    return rows.select("row", F.explode("draws")).select("row.*")
 
 
 def shards(df: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed rows with shard and order, one partition a shard, shuffled within it."""
+    """(shard, order, row): the mixed rows, a shard in one partition, shuffled within it."""
     narrow = materialise(sized(df, settings, id_col, text_col, source_col).select("mix"), "mix-sizes")
     made = plan(narrow.select("mix.*"), settings)
     rows = with_draws(sized(df, settings, id_col, text_col, source_col, F.lit(0).cast("long")), made, settings)
-    out = rows.select(*[F.col(f"`{c}`") for c in df.columns], F.inline("draws")).drop("pass")
+    out = rows.select("row", F.explode("draws").alias("draw")).select(F.col("draw.shard").alias("shard"), F.col("draw.order").alias("order"), "row")
     return out.repartition(2**settings.levels, "shard").sortWithinPartitions("shard", "order")

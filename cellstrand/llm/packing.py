@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 class PackSettings:
     tokenizer: str = "word_bpe_49k.json"
     length: int = 2048
-    open_bins: int = 1024
+    open_bins: int = 4096
     end_id: int = 0
     #: Rows that are sorted and packed together.
     slice_rows: int = 2048
