@@ -167,3 +167,18 @@ def size_ranks(totals: DataFrame, total: str = "total") -> DataFrame:
     return by_total.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2)
 
 
+def knee_points(ranks: DataFrame, lower: int = 100, total: str = "total") -> DataFrame:
+    """(knee, inflection) totals of the rank curve in log-log scale above ``lower``.
+
+    The inflection is where the curve falls steepest, the knee the point before it
+    that lies furthest above the chord from the first point to the inflection.
+    """
+    one = Window.partitionBy()
+    order = Window.orderBy("x")
+    pts = ranks.where(F.col(total) > lower).select(F.col(total).alias("t"), F.log10("rank").alias("x"), F.log10(total).alias("y"))
+    slope = (F.lead("y").over(order) - F.col("y")) / F.nullif(F.lead("x").over(order) - F.col("x"), F.lit(0.0))
+    ends = pts.withColumn("slope", slope).withColumns(
+        {"xi": F.min_by("x", "slope").over(one), "yi": F.min_by("y", "slope").over(one), "ti": F.min_by("t", "slope").over(one), "x0": F.min("x").over(one), "y0": F.max("y").over(one)}
+    )
+    above = (F.col("y") - F.col("y0")) * (F.col("xi") - F.col("x0")) - (F.col("x") - F.col("x0")) * (F.col("yi") - F.col("y0"))
+    return ends.where("x <= xi").agg(F.max_by("t", above).alias("knee"), F.first("ti").alias("inflection"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import FilterSettings, ReadStructure
-from . import demux, features, fragments, intervals, mapping, matrix, qc, reads, umi
+from . import barcodes, demux, features, fragments, intervals, mapping, matrix, qc, reads, umi
 from .annotation import check_chromosomes, gene_models
 from .experiment import CellExperiment, from_atac_tables, from_rna_tables
 
@@ -23,6 +23,39 @@ def trim_barcode(pairs: DataFrame, structure: ReadStructure = ReadStructure(), f
     return trimmed.where("status = 'pass'").drop("status"), reads.trim_summary(trimmed)
 
 
+def atac_trim(
+    pairs: DataFrame,
+    valid: DataFrame | None = None,
+    barcode_reads: bool = True,
+    start: int = 0,
+    length: int = 16,
+    second: tuple[int, int] | None = None,
+    umi: tuple[int, int] | None = None,
+    rmN: bool = True,
+    rmlow: bool = True,
+    min_qual: int = 20,
+    below_min: int = 2,
+    reverse_complement: bool | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(trimmed reads with match types, summary).
+
+    Barcodes come in reads of their own (``barcode_reads``) or stand inside the mates
+    at ``start`` and ``second``.  A list of valid ones is turned if that is asked for,
+    or, if nothing is said, if too many of the first reads miss it (one small action).
+    """
+    if valid is not None:
+        probe = pairs.select("ordinal", F.col("barcodes")[0]["seq"].alias("seq")) if barcode_reads else pairs.select("ordinal", F.col("seq1").alias("seq"))
+        turn = reverse_complement
+        if turn is None:
+            turn = barcodes.needs_reverse_complement(probe, valid, start, length).first()["reverse"]
+        valid = barcodes.oriented(valid, turn)
+    if barcode_reads:
+        made = reads.with_barcode_reads(pairs, rmN, rmlow, min_qual, below_min, valid)
+    else:
+        made = reads.with_inline_barcodes(pairs, valid, (start, length), second or (start, length), umi, "both", rmN, rmlow, min_qual, below_min)
+    return made, reads.match_summary(made)
+
+
 def exon_mapping(alignments: DataFrame, saf: DataFrame, barcode_length: int | None = 8, umi_length: int | None = 6, stranded: bool = True, fix_chr: bool = False, key: str = "qname") -> DataFrame:
     """Alignments with barcode, UMI, gene and mapping status."""
     genes = gene_models(saf, fix_chr)

@@ -270,6 +270,37 @@ def revcomp_decision(spark, d):
     return bc.needs_reverse_complement(frame(spark, d, "v_pairs"), frame(spark, d, "v_cells"), 0, 6, "seq2")
 
 
+_INLINE = (
+    _VALID
+    + ", q AS (SELECT DISTINCT substr(seq1, 1, 6) AS b FROM v_pairs UNION SELECT DISTINCT substr(seq2, 1, 6) FROM v_pairs), k AS (SELECT b, min(CASE WHEN b = barcode THEN 0 WHEN hamming(b, barcode) <= 1 THEN 1 ELSE 2 END) AS kind FROM q, w GROUP BY 1)"
+    + ", t AS (SELECT ordinal, concat(substr(seq1, 1, 6), '#', name) AS name1, substr(seq2, 7) AS seq2, CASE greatest(a.kind, c.kind) WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'none' END AS match_type,"
+    + " CASE WHEN contains(substr(seq1, 1, 6), 'N') OR contains(substr(seq2, 1, 6), 'N') THEN 'has_n' ELSE 'pass' END AS status FROM v_pairs JOIN k a ON a.b = substr(seq1, 1, 6) JOIN k c ON c.b = substr(seq2, 1, 6))"
+)
+
+
+def _inline(spark: SparkSession, d: str) -> DataFrame:
+    return reads.with_inline_barcodes(frame(spark, d, "v_pairs"), frame(spark, d, "v_cells"), (0, 6), (0, 6), rmN=True)
+
+
+@query(sql("v_pairs", "v_cells") + _INLINE + " SELECT ordinal, name1, seq2, match_type, status FROM t")
+def inline_barcode_match(spark, d):
+    return _inline(spark, d).select("ordinal", "name1", "seq2", "match_type", "status")
+
+
+@query(
+    sql("v_pairs", "v_cells") + _INLINE
+    + " SELECT count(*) AS total, count_if(status = 'has_n') AS removed_has_n, count_if(status = 'low_quality') AS removed_low_quality, count_if(status = 'pass' AND match_type = 'exact') AS exact_match, count_if(status = 'pass' AND match_type = 'partial') AS partial_match, count_if(status = 'pass' AND match_type = 'none') AS none_match, count(DISTINCT substr(name1, 1, 6)) AS barcodes_seen FROM t"
+)
+def inline_match_summary(spark, d):
+    return reads.match_summary(_inline(spark, d))
+
+
+@query(sql("v_reads") + " SELECT read_id, cell_bc, umi FROM v_reads")
+def tags_from_names(spark, d):
+    named = frame(spark, d, "v_reads").select("read_id", F.concat("cell_bc", F.lit("_"), "umi", F.lit("#"), "qname").alias("qname"))
+    return reads.tag_from_name(named).select("read_id", "cell_bc", "umi")
+
+
 _HIST = ", h AS (SELECT substr(cell_bc, 1, 6) AS barcode, count(*) AS n FROM v_reads GROUP BY 1)"
 
 

@@ -16,7 +16,7 @@ import gzip
 import io
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
@@ -100,3 +100,14 @@ class FastqSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
+
+
+def read_reads(spark: SparkSession, r1: list[str], r2: list[str] | None = None, barcodes: list[list[str]] | None = None) -> DataFrame:
+    """Reads, pairs, or pairs with barcode reads; the lists go by place."""
+    register(spark)
+    reader = spark.read.format("fastq")
+    if r2:
+        reader = reader.option("r2", ",".join(r2))
+    if barcodes:
+        reader = reader.option("barcodes", ",".join("+".join(group) for group in barcodes))
+    return reader.load(",".join(r1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,3 +136,23 @@ def read_rna_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def ercc_annotation(spark: SparkSession, path: str) -> DataFrame:
     """Exons of the spike-in annotation, whose place is an argument."""
     return import_annotation(spark, path)
+
+
+def read_atac_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """counts, per_cell, per_feature, cell_qc and, if there, mapping_stats of an ATAC
+    run's folder: the counts as Parquet, the others as CSV with a header."""
+    csv = lambda name: spark.read.csv(f"{folder}/{name}", header=True)
+    typed = lambda df, text: df.select(*[F.col(f"`{c}`") if c in text else F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns])
+    flags = ("promoter_overlaps", "enhancer_overlaps", "tss_overlaps", "gene_overlaps", "intergenic", "cell_called")
+    out = {
+        "counts": spark.read.parquet(f"{folder}/counts"),
+        "per_cell": typed(csv("per_cell"), ("cell",)),
+        "per_feature": typed(csv("per_feature"), ("feature", *flags)),
+        "cell_qc": typed(csv("cell_qc"), ("bc", *flags)),
+    }
+    try:
+        out["mapping_stats"] = typed(csv("mapping_stats"), ("barcode",))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return out
