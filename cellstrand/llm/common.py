@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of so few file splits that cores would idle, dealt out to all of them.
+
+    Large tables have more splits than there are cores and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -52,6 +61,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows: those with the smallest hash of a key, the same in reruns.
+
+    A count tells which hashes can be among them, so all tasks together, however
+    many, send little more than ``rows`` rows to the driver.
+    """
+    total = df.count()
+    share = min(1.0, (rows + 6 * rows**0.5 + 20) / max(1, total))
+    h = F.xxhash64(F.col(key).cast("string"))
+    few = df.where(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else df
+    return few.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(rows)
+
+
+def ids_to_join(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most ``most`` rows (some
+    tens of MB); a larger one is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 @contextlib.contextmanager
 def runtime_filters(spark: SparkSession) -> Iterator[None]:
     """Within this block joins may filter their larger side by a Bloom filter of the

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, runtime_filters
+from .common import ids_to_join, map_rows, materialise, runtime_filters
 
 _U64 = np.uint64
 
@@ -179,11 +179,13 @@ def verify(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFra
 
 
 def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(key, id, n): for each set the shared shingles among its rarest.
+    """(key, id, n, at, short): for each set the shared shingles among its rarest.
 
     In any common order two sets of similarity t share one of the first
-    n - ceil(t n) + 1 of each.  Rarest come first; those that no other set here has
-    are counted off but need no row.
+    n - ceil(t n) + 1 of each; the smaller of the two even one of its first
+    n - ceil(2 t / (1 + t) n) + 1 (``short``).  Rarest come first; those that no other
+    set here has are counted off but need no row.  ``at`` is the number of shingles
+    before.
     """
 
     def spread(batches):
@@ -196,22 +198,34 @@ def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     order = Window.partitionBy("id").orderBy("df", "key")
     placed = rows.join(shared, "key").withColumns({"k": F.row_number().over(order), "common": F.count("*").over(Window.partitionBy("id"))})
-    first = F.col("n") - F.ceil(F.col("n") * settings.percent / 100.0) + 1
-    return placed.where(F.col("k") <= first - (F.col("n") - F.col("common"))).select("key", "id", "n")
+    placed = placed.withColumn("at", F.col("n") - F.col("common") + F.col("k") - 1)
+    first = lambda percent: F.col("n") - F.ceil(F.col("n") * percent).cast("int") + 1
+    p = settings.percent
+    kept = placed.where(F.col("at") < first(F.lit(p / 100.0 - 1e-9)))
+    return kept.select("key", "id", "n", "at", (F.col("at") < first(F.lit(2.0 * p / (100 + p) - 1e-9))).alias("short"))
 
 
-def between_classes(rows: DataFrame, fits) -> DataFrame:
-    """(a, b): pairs of different classes with a key in common, from (key, id, n, class).
+def between_classes(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different classes with a rare shingle in common, from
+    (key, id, n, at, short, class), that may still be similar enough.
 
     One side is always outside the class of the key's first member, so a key whose
-    members are one class makes no pair.
+    members are one class makes no pair.  The smaller side comes by its ``short``
+    shingles only.  From the first shingle in common on, the sets can share no more
+    than the shorter remainder; pairs that this rules out are not made.
     """
     first = rows.groupBy("key").agg(F.min(F.struct("id", "class")).alias("first")).select("key", F.col("first.class").alias("first_class"))
-    x = rows.join(first, "key").where(F.col("class") != F.col("first_class"))
-    x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "class")])
-    y = rows.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "class")])
-    pairs = x.join(y, "key").where((F.col("x_class") != F.col("y_class")) & fits("x_n", "y_n"))
-    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    marked = rows.join(first, "key").withColumn("outside", F.col("class") != F.col("first_class"))
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "at", "class", "outside")])
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    near = F.col("x_n") * 100 >= F.col("y_n") * percent
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = left * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    on = smaller & near & enough & (F.col("x_class") != F.col("y_class"))
+    short = marked.where("short")
+    one = side(short.where("outside"), "x").join(side(marked, "y"), "key").where(on)
+    two = side(short.where("not outside"), "x").join(side(marked.where("outside"), "y"), "key").where(on)
+    return one.union(two).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -262,7 +276,7 @@ def near_duplicate_classes(
     wanted = materialise(members.groupBy("id").agg(F.count("*").alias("rows")), "wanted")
     bodies = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     with runtime_filters(df.sparkSession):
-        sets = materialise(shingle_sets(bodies.join(wanted.where("rows >= 1").select("id"), "id", "left_semi"), settings), "shingles")
+        sets = materialise(shingle_sets(bodies.join(ids_to_join(wanted.where("rows >= 1").select("id")), "id", "left_semi"), settings), "shingles")
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * settings.percent) & (F.col(y) * 100 >= F.col(x) * settings.percent)
 
     to_first = members.where((F.col("id") != F.col("first")) & fits("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -283,7 +297,7 @@ def near_duplicate_classes(
     mixed_keys = crowded.where("class <> first_class").select("key").distinct()
     mixed_ids = materialise(crowded.join(mixed_keys, "key", "left_semi").groupBy("id").agg(F.min("class").alias("class")), "crowded")
     rare = rare_shingles(sets.join(mixed_ids, "id", "left_semi"), settings).join(mixed_ids, "id")
-    large = between_classes(materialise(rare, "rare"), fits)
+    large = between_classes(materialise(rare, "rare"), settings.percent)
     rest = small.union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
     links = materialise(links.union(verify(rest, sets, settings)), "links")
     roots = components(links)
@@ -312,8 +326,8 @@ def keep_one_of_each(df: DataFrame, settings: JoinSettings = JoinSettings(), id_
     members = materialise(near_duplicate_classes(df, settings, id_col, text_col)[0], "classes")
     by_id = members.where("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
     by_id = materialise(by_id, "kept")
-    go = by_id.where("class_id <> id").select(F.col("id").alias(id_col))
-    kept = df.join(go, id_col, "left_anti")
+    go = materialise(by_id.where("class_id <> id").select(F.col("id").alias(id_col)), "gone")
+    kept = df.join(ids_to_join(go), id_col, "left_anti")
     again = by_id.where("rows > 1 and class_id = id").select(F.col("id").alias(id_col))
     if again.isEmpty():
         return kept
