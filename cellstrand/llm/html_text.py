@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import hash_sample, map_rows
 
 # HTML elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,10 +164,9 @@ def tag_counts(page: str | None) -> Counter:
 def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 400, scale: float = 1.5) -> ScoreWeights:
     """Weights from at most ``sample_pages`` labelled pages: those with the smallest id hash."""
     labelled = df.where(F.col(html_col).rlike(r"(?i)<(article|main)\b"))
-    rows = labelled.orderBy(F.xxhash64(F.col(id_col).cast("string")), F.length(html_col)).select(html_col).limit(sample_pages).collect()
     total: Counter = Counter()
-    for r in rows:
-        total.update(tag_counts(r[0]))
+    for r in hash_sample(labelled.select(id_col, html_col), id_col, sample_pages).collect():
+        total.update(tag_counts(r[1]))
     if not total:
         return ScoreWeights()
     return weights_of(total, scale)

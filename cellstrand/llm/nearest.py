@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hash_sample, materialise
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ def search(
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
     out_schema = "query_id long, rank int, vec_id long, score double"
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample_rows).select("v").toArrow()
+    picked = hash_sample(rows, "id", settings.sample_rows).select("v").toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], out_schema)
     sample = _matrix(picked.column(0).combine_chunks())

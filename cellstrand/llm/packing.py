@@ -56,7 +56,7 @@ class WordTokenizer:
 
     _LATIN = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x180), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)]
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

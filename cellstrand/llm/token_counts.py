@@ -42,7 +42,7 @@ _SHORT = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 class PrefixCounter:
     """Prefix token counts for a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         whole = json.loads(Path(path).read_text(encoding="utf-8"))
         model = whole["model"]
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import hash_sample, map_rows
 
 
 @dataclass(frozen=True)
@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict",
     so the trees don't take a URL's own label from its words.
     """
     few = labelled.select(F.col(url_col).alias("u"), F.col(verdict_col).alias("v")).where("u is not null").distinct()
-    rows = few.orderBy(F.xxhash64("u"), "u").limit(sample_urls).collect()
+    rows = hash_sample(few, "u", sample_urls).collect()
     urls, y = [r["u"] for r in rows], np.array([float(r["v"] == "block") for r in rows])
     if not rows or y.min() == y.max():
         only = 6.0 if len(y) and y[0] else -6.0
