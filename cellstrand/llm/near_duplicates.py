@@ -19,6 +19,11 @@ when their sets' Jaccard similarity is at least 0.8.
     candidate pairs, and neither copies nor documents with common passages are ever
     expanded into all their pairs.
 4.  Each candidate pair is verified on the two full shingle sets.
+5.  Links never leave a class, so their number is exact: within each class every two
+    texts are compared (`compared`), whatever the size of their buckets.  Large
+    classes are dealt into blocks, each two blocks meet in one group, and a group is
+    compared by matrix products.  That work grows with the square of a class, as the
+    number of its links does; it is done only where links are asked for.
 
 Nothing about documents goes to the driver.  Components are found by alternating
 large-star and small-star steps on tables in the shared folder.
@@ -62,8 +67,11 @@ class JoinSettings:
     recall: float = 0.997
     max_bands: int = 32
     seed: int = 20240601
-    #: Buckets up to this size are compared pair by pair.
+    #: Buckets up to this size are compared pair by pair to find the classes.
     all_pairs: int = 16
+    #: Texts and shingles, on average, of a block of a class whose links are counted.
+    block_texts: int = 256
+    block_shingles: int = 400_000
 
     @property
     def bands_rows(self) -> tuple[int, int]:
@@ -251,16 +259,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError("components did not settle")
 
 
-def near_duplicate_classes(
-    df: DataFrame, settings: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """(members, links).
-
-    members: id, class_id (smallest id of the class), n_links (copies of the same
-    text and documents that a verified link joins to it), one row per input row.
-    links: a, a_copies, b, b_copies: verified links between different texts, each
-    text under its smallest id.
-    """
+def found_classes(df: DataFrame, settings: JoinSettings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signatures, texts, sets, roots): a row per document, per different text, the
+    shingles of the documents that share a bucket, and the `components` of the links."""
     sig = materialise(signatures(df, settings, id_col, text_col), "signatures")
     grouped = (
         sig.where("id is not null and n > 0")
@@ -300,17 +301,135 @@ def near_duplicate_classes(
     large = between_classes(materialise(rare, "rare"), settings.percent)
     rest = small.union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
     links = materialise(links.union(verify(rest, sets, settings)), "links")
-    roots = components(links)
+    return sig, texts, sets, components(links)
+
+
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each of ``xs`` shares with each of ``ys``, in bounded blocks."""
+    rows = [(np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side)) for side in (xs, ys)]
+    common = np.intersect1d(rows[0][1], rows[1][1])
+    total = np.zeros((len(xs), len(ys)), np.int64)
+    placed = []
+    for owner, values in rows:
+        at = np.searchsorted(common, values)
+        known = at < len(common)
+        known[known] = common[at[known]] == values[known]
+        order = np.argsort(at[known], kind="stable")
+        placed.append((owner[known][order], at[known][order]))
+    for start in range(0, len(common), columns):
+        sides = []
+        for side, (owner, at) in zip((xs, ys), placed, strict=True):
+            low, high = np.searchsorted(at, (start, start + columns))
+            marks = np.zeros((len(side), min(columns, len(common) - start)), np.float32)
+            marks[owner[low:high], at[low:high] - start] = 1
+            sides.append(marks)
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def linked(xs: list[np.ndarray], ys: list[np.ndarray], x_ids: np.ndarray, y_ids: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different x_ids, different y_ids, which of them link); ids are sorted, and an id
+    with several sets links by any of them."""
+    both = shared_counts(xs, ys)
+    n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    found = (100 * both >= percent * (n[:, None] + m - both)) & (x_ids[:, None] != y_ids)
+    one, two = np.unique(x_ids, return_index=True), np.unique(y_ids, return_index=True)
+    if len(one[0]) < len(x_ids):
+        found = np.logical_or.reduceat(found, one[1], axis=0)
+    if len(two[0]) < len(y_ids):
+        found = np.logical_or.reduceat(found, two[1], axis=1)
+    return one[0], two[0], found
+
+
+def compared(texts: DataFrame, sets: DataFrame, roots: DataFrame, settings: JoinSettings, pairs: bool) -> DataFrame:
+    """All links within the classes: as (a, b) with a < b if ``pairs``, or else for each
+    text the number of documents that link to it, in parts (id, links).
+
+    A class has as many blocks as its texts and shingles fill, by a hash of the id; a
+    row goes to the groups of its block with each block, so every two texts of a class
+    meet in one group and no group is much larger than two blocks.
+    """
+    percent = settings.percent
 
+    def run(batches):
+        def compare(rows):
+            blocks = {}
+            for block, *row in rows:
+                blocks.setdefault(block, []).append(row)
+            sides = [blocks[k] for k in sorted(blocks)]
+            if rows_apart and len(sides) < 2:  # the other block is empty
+                return
+            x, y = sides[0], sides[-1]
+            ids = [np.array([r[0] for r in side], np.int64) for side in (x, y)]
+            one, two, found = linked([r[2] for r in x], [r[2] for r in y], *ids, percent)
+            if pairs:
+                i, j = np.nonzero(found)
+                a, b = one[i], two[j]
+                if x is y:
+                    a, b = a[a < b], b[a < b]
+                made.append((np.minimum(a, b), np.maximum(a, b)))
+                return
+            copies = [dict((r[0], r[1]) for r in side) for side in (x, y)]
+            weigh = lambda ids, k: np.array([copies[k][i] for i in ids.tolist()], np.int64)
+            made.append((one, found @ weigh(two, 1)))
+            if x is not y:
+                made.append((two, weigh(one, 0) @ found))
+
+        def out():
+            columns = [pa.array(np.concatenate([m[k] for m in made]), pa.int64()) for k in (0, 1)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, names=list(names))
+
+        made, rows, now, rows_apart = [], [], None, False
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("class", "i", "j")), strict=True))
+            rest = list(zip(*(batch.column(c).to_pylist() for c in ("block", "id", "copies")), strict=True))
+            bodies = batch.column("shingles")
+            for k, key in enumerate(keys):
+                if key != now:
+                    if rows:
+                        compare(rows)
+                    if sum(len(m[0]) for m in made[-4096:]) >= 65536 or len(made) >= 4096:
+                        yield out()
+                    rows, now, rows_apart = [], key, key[1] != key[2]
+                rows.append((*rest[k], np.frombuffer(bodies[k].as_py(), _U64)))
+        if rows:
+            compare(rows)
+        if made:
+            yield out()
+
+    names = ("a", "b") if pairs else ("id", "links")
+    nodes = roots.select(F.col("node").alias("id"), F.col("root").alias("class")).union(roots.select("root", "root").distinct())
+    by_id = texts.groupBy("id").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
+    nodes = materialise(nodes.join(by_id, "id"), "nodes")
+    full = F.greatest(F.count("*") / settings.block_texts, F.sum("n") / settings.block_shingles)
+    counts = nodes.groupBy("class").agg(F.ceil(full).cast("int").alias("blocks"))
+    placed = nodes.join(counts, "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    bodies = placed.select("class", "block", "blocks", "id", "copies").join(sets, "id")
+    dealt = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "shingles")
+    return dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "block", "id").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def near_duplicate_classes(
+    df: DataFrame, settings: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links).
+
+    members: id, class_id (smallest id of the class), n_links (copies of the same
+    text and documents that a verified link joins to it), one row per input row.
+    links: a, a_copies, b, b_copies: verified links between different texts, each
+    text under its smallest id; made when read.
+    """
+    sig, texts, sets, roots = found_classes(df, settings, id_col, text_col)
     copies = texts.select("id", "copies")
     named_copies = lambda side: copies.select(F.col("id").alias(side), F.col("copies").alias(f"{side}_copies"))
-    links = materialise(links.join(named_copies("a"), "a").join(named_copies("b"), "b").select("a", "a_copies", "b", "b_copies"), "links")
-    ends = links.select(F.col("a").alias("id"), F.col("b_copies").alias("n")).union(links.select(F.col("b").alias("id"), F.col("a_copies").alias("n")))
-    linked = ends.groupBy("id").agg(F.sum("n").alias("links"))
+    links = compared(texts, sets, roots, settings, pairs=True).join(named_copies("a"), "a").join(named_copies("b"), "b").select("a", "a_copies", "b", "b_copies")
+    linked_to = compared(texts, sets, roots, settings, pairs=False).groupBy("id").agg(F.sum("links").alias("links"))
     nodes = (
         texts.select("text_key", "id", "copies")
         .join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        .join(linked, "id", "left")
+        .join(linked_to, "id", "left")
         .select("text_key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
     named = sig.where("id is not null and n > 0").select("id", "text_key").join(nodes, "text_key", "left").select("id", "class_id", "n_links")
@@ -318,12 +437,20 @@ def near_duplicate_classes(
     return named.union(alone), links
 
 
+def class_members(df: DataFrame, settings: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and class_id of `near_duplicate_classes`, without the work of counting links."""
+    sig, texts, _, roots = found_classes(df, settings, id_col, text_col)
+    nodes = texts.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("text_key", F.coalesce("root", "id").alias("class_id"))
+    named = sig.where("id is not null and n > 0").select("id", "text_key").join(nodes, "text_key", "left").select("id", "class_id")
+    return named.union(sig.where("id is null or n = 0").select("id", F.col("id").alias("class_id")))
+
+
 def keep_one_of_each(df: DataFrame, settings: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their class: those with its smallest id.
 
     Rows with a null id stay.  Of rows with the same id one stays.
     """
-    members = materialise(near_duplicate_classes(df, settings, id_col, text_col)[0], "classes")
+    members = materialise(class_members(df, settings, id_col, text_col), "classes")
     by_id = members.where("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
     by_id = materialise(by_id, "kept")
     go = materialise(by_id.where("class_id <> id").select(F.col("id").alias(id_col)), "gone")

@@ -71,6 +71,31 @@ def test_crowded_buckets_lose_no_class(spark):
     assert {r["id"]: r["class_id"] for r in members.collect()} == want
 
 
+@pytest.mark.parametrize("block_texts", [256, 30])
+def test_crowded_buckets_lose_no_link(spark, block_texts):
+    """300 near copies of one text: far over the limit for all pairs, all in one class."""
+    draw = random.Random(8)
+    base = prose(150, 300).split()
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for _ in range(draw.randint(1, 4)):
+            words[draw.randrange(len(words))] = f"new{draw.randint(0, 999)}"
+        texts[i] = " ".join(words)
+    texts |= {300 + i: prose(60, 400 + i) for i in range(20)} | {320: texts[3], 321: texts[3]}
+    want, links = classes_of(texts)
+    settings = near_duplicates.JoinSettings(block_texts=block_texts)
+    members, pairs = near_duplicates.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), settings)
+    got = {r["id"]: r for r in members.collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == want
+    assert {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i in texts}
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    first = {t: i for i, t in reversed(texts.items())}
+    different = {first[t]: t for t in texts.values()}
+    assert len(found) == len(set(found)) and all(a < b for a, b in found)
+    assert 2 * len(found) == sum(classes_of(different)[1].values())
+
+
 def test_awkward_rows(spark, documents, no_documents, awkward):
     members, links = near_duplicates.near_duplicate_classes(documents)
     rows = members.collect()
