@@ -38,6 +38,8 @@ PROSE = tuple("p br b i em strong span h1 h2 h3 h4 h5 h6 blockquote code pre sub
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 NEVER = frozenset("head title nav footer aside form script style noscript template svg math iframe object embed select textarea button input menu dialog canvas audio video map datalist".split())
 CONTENT = frozenset("article main".split())
+#: Elements within the text whose end breaks no line.
+QUIET = frozenset("svg select template".split())
 #: Parts of class, id and role names that mark what is not content.
 NEVER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
@@ -49,7 +51,7 @@ NEVER_NAMES = re.compile(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|iframe|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|textarea|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^<>]*>"
     r"|<(/?[a-zA-Z][^\s<>/]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>"
     r"|<(/?[a-zA-Z][^\s<>/]*)([^<>]*)>"
@@ -102,7 +104,7 @@ def tokens(page: str | None):
                     del stack[k:]
                     _, content, link, cut = stack[-1] if stack else ("", False, False, False)
                     break
-            yield "tag", name, content, link, cut
+            yield "tag", name, content, link, cut or name in QUIET
             continue
         if name in CLOSES_P or name in ("li", "td", "th", "tr", "dt", "dd", "option"):
             same = ("p",) if name in CLOSES_P else (name, "p", *(("td", "th") if name in ("tr", "td", "th") else ()), *(("dt", "dd") if name in ("dt", "dd") else ()))

@@ -239,3 +239,9 @@ def test_url_model(spark):
 @pytest.mark.parametrize("text", [None, "", "plain"])
 def test_nothing_to_find(text):
     assert personal_data.base_spans(text) == []
+
+
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<svg/>", "<svg><path d='M0'/><title>icon</title></svg>", "<div><select><option>one</div>", "<div><template><p>never</p></div>"])
+def test_odd_elements_swallow_no_text(odd):
+    page = f"<body><article><p>first words here</p>{odd}<p>rest of it</p></article><p>after</p></body>"
+    assert html_text.extract(page) == "first words here rest of it"
