@@ -40,12 +40,16 @@ NEVER = frozenset("head title nav footer aside form script style noscript templa
 CONTENT = frozenset("article main".split())
 #: Elements within the text whose end breaks no line.
 QUIET = frozenset("svg select template".split())
-#: Parts of class, id and role names that mark what is not content.
+#: Whole class, id and role names that mark what is not content, alone or with the
+#: usual words for place before and for kind behind.  Other names that have such a
+#: word in them ("no-sidebar", "category-reviews") tell nothing.
 NEVER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
+    r"(?!(?:post|entry|article)[_-]?header)(?:(?:site|page|main|global|primary|secondary|top|left|right|post|entry|article)[_-]?)?"
+    r"(?:ads?|adverts?|advertisement|advertising|adbox|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
     r"|comments?|commentlist|disqus|replies|respond|reactions?|reviews?|sidebar|side|widgets?|aside|complementary|nav|navbar|navigation|menus?|breadcrumbs?|toc|pagination|pager"
     r"|header|masthead|topbar|site-?head|footer|foot|bottom|contentinfo|copyright|legal|share|sharing|social|follow|related|recommended|recommendations|more-?stories|trending|popular"
-    r"|newsletter|subscribe|subscription|signup|login|search|form|skip|hidden|tags|meta|byline)(?:$|[\s_-]|\d)",
+    r"|newsletter|subscribe|subscription|signup|login|search|form|skip|hidden|tags|meta|byline)"
+    r"(?:[_-]?(?:box|list|area|section|block|bar|banner|notice|links?|buttons?|icons?|slot|unit|form|menu|nav|widgets?|posts|articles|stories)|[_-]?\d+)?",
     re.I,
 )
 
@@ -58,6 +62,7 @@ _TOKEN = re.compile(
     r"|[^<]+|<",
     re.S | re.I,
 )
+_CONTENT = re.compile(r"<(?:article|main)\b", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -72,27 +77,50 @@ class ScoreWeights:
     outside: float = -1.0
 
 
-def _never(name: str, attributes: str, within: bool) -> bool:
+def _never(name: str, attributes: str, within: bool, holds: bool) -> bool:
     if name in NEVER:
         return True
     if name == "header":
         return not within
-    if attributes and name not in ("html", "body"):
+    if attributes and not holds and name not in ("html", "body") and name not in CONTENT:
         for m in _NAMED.finditer(attributes):
-            if NEVER_NAMES.search(m[1] or m[2] or m[3] or ""):
+            if any(NEVER_NAMES.fullmatch(word) for word in (m[1] or m[2] or m[3] or "").split()):
                 return True
     return False
 
 
+def _holders(page: str) -> set[int]:
+    """Where the elements begin that hold the page's content: each ``main``, and the
+    first ``article`` in one, or else the first of all.  Their names cut nothing."""
+    found: set[int] = set()
+    first: dict[bool, list[int]] = {}
+    for name, around, in_main in _walk(page, None):
+        if name == "main":
+            for k in range(len(around) - 1, -1, -1):
+                if around[k][-1] in found:
+                    break
+                found.add(around[k][-1])
+        elif in_main not in first:
+            first[in_main] = [x[-1] for x in around]
+    return found.union(first.get(True) or first.get(False) or ())
+
+
 def tokens(page: str | None):
-    """("text", raw text, content?, link?, cut?) and ("tag", name, content?, cut?) in page order."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in content, in link, cut
-    content = link = cut = False
-    for m in _TOKEN.finditer(page or ""):
+    """("text", raw text, content?, link?, cut?) and ("tag", name, content?, link?, cut?) in page order."""
+    page = page or ""
+    return _walk(page, _holders(page) if _CONTENT.search(page) else frozenset())
+
+
+def _walk(page: str, holders: set[int] | frozenset[int] | None):
+    """The tokens; if ``holders`` is None, names cut nothing, and (name, stack of the
+    elements around it, in ``main``?) of each ``article`` and ``main`` come instead."""
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # name, in content, in link, cut, in main, begin
+    content = link = cut = in_main = False
+    for m in _TOKEN.finditer(page):
         name = m[2] or m[4]
         if name is None:
             body = m[0]
-            if body[0] != "<" or body == "<":
+            if holders is not None and (body[0] != "<" or body == "<"):
                 yield "text", body, content, link, cut
             continue
         name = name.lower()
@@ -102,24 +130,30 @@ def tokens(page: str | None):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    _, content, link, cut = stack[-1] if stack else ("", False, False, False)
+                    _, content, link, cut, in_main, _ = stack[-1] if stack else ("", False, False, False, False, 0)
                     break
-            yield "tag", name, content, link, cut or name in QUIET
+            if holders is not None:
+                yield "tag", name, content, link, cut or name in QUIET
             continue
         if name in CLOSES_P or name in ("li", "td", "th", "tr", "dt", "dd", "option"):
             same = ("p",) if name in CLOSES_P else (name, "p", *(("td", "th") if name in ("tr", "td", "th") else ()), *(("dt", "dd") if name in ("dt", "dd") else ()))
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in same:
                     del stack[k:]
-                    _, content, link, cut = stack[-1] if stack else ("", False, False, False)
+                    _, content, link, cut, in_main, _ = stack[-1] if stack else ("", False, False, False, False, 0)
                     break
                 if stack[k][0] not in INLINE:
                     break
-        never = _never(name, attributes, content)
-        yield "tag", name, content or name in CONTENT, link, cut or never
+        if holders is None:
+            never = name in NEVER
+            if name in CONTENT and not cut:
+                yield name, stack, in_main
+        else:
+            never = _never(name, attributes, content, m.start() in holders)
+            yield "tag", name, content or name in CONTENT, link, cut or never
         if name not in VOID and not attributes.endswith("/"):
-            content, link, cut = content or name in CONTENT, link or name == "a", cut or never
-            stack.append((name, content, link, cut))
+            content, link, cut, in_main = content or name in CONTENT, link or name == "a", cut or never, in_main or name == "main"
+            stack.append((name, content, link, cut, in_main, m.start()))
 
 
 def extract(page: str | None, weights: ScoreWeights = ScoreWeights()) -> str:

@@ -245,3 +245,26 @@ def test_nothing_to_find(text):
 def test_odd_elements_swallow_no_text(odd):
     page = f"<body><article><p>first words here</p>{odd}<p>rest of it</p></article><p>after</p></body>"
     assert html_text.extract(page) == "first words here rest of it"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content-area no-sidebar"><p>{}</p></div></body>',
+        '<body><div class="has-sidebar"><p>{}</p></div></body>',
+        '<body><article class="post category-reviews tag-social"><p>{}</p></article></body>',
+        '<body><article class="reviews"><p>{}</p></article></body>',
+        '<body><div class="sidebar"><main id="social"><p>{}</p></main></div></body>',
+        '<body><div class="sidebar"><article>card</article></div><main><div class="reviews"><article><p>{}</p></article></div></main></body>',
+        '<body><div class="reviews"><article><p>{}</p></article></div><div class="comments-area"><article class="comment"><p>I disagree</p></article></div></body>',
+        '<body><article><div class="entry-header"><h1>{}</h1></div><div class="share-buttons">share it</div><div id="comments">no</div><div class="x ad-slot">buy</div></article></body>',
+    ],
+)
+def test_names_cut_no_article(page):
+    words = "the whole article is still here with each of its words"
+    assert html_text.extract(page.format(words)) == words
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div class='sidebar'><main><article>" * 20000 + "words" + "</article></main>" * 20000
+    assert html_text.extract(deep) == "words"
