@@ -268,3 +268,15 @@ def test_names_cut_no_article(page):
 def test_deep_pages_take_linear_time():
     deep = "<div class='sidebar'><main><article>" * 20000 + "words" + "</article></main>" * 20000
     assert html_text.extract(deep) == "words"
+
+
+def test_random_letters_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    draw = random.Random(9)
+    junk = [(i, " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 10))) for _ in range(200)), "") for i in range(60)]
+    found = language_id.predict(spark.createDataFrame(junk, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r["rejected"] for r in found) >= 0.95 * len(found)
+    held = docs.where(language_id.held_out() & (F.size(F.split("text", " ")) >= 20))
+    told = language_id.filter_identified(held, model).count()
+    assert told >= 0.98 * held.count() > 0
