@@ -7,6 +7,7 @@ first, so extra columns of a table never clash with those an operator adds.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,13 +39,16 @@ def spread(scan: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    Only a local session that names none (a test) gets a temporary one; on a cluster
+    each executor would write to a disk of its own, so there that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cellstrand-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -94,6 +98,20 @@ def runtime_filters(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system, so that what one task
+    needed for a while does not stay with the worker, which serves many."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def map_rows(df: DataFrame, work: Callable[[], Callable[[list[list]], dict]], schema: str) -> DataFrame:
     """Map slices of rows through Python, Arrow in and Arrow out.
 
@@ -109,15 +127,42 @@ def map_rows(df: DataFrame, work: Callable[[], Callable[[list[list]], dict]], sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(start, SLICE_ROWS)
-                made = step([column.to_pylist() for column in piece.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+        for piece in slices(batches):
+            made = step([column.to_pylist() for column in piece.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def map_texts(df: DataFrame, text_col: str, work: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """All rows and columns as they are, with other texts in one column, in slices as `map_rows`."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = work()
+        for piece in slices(batches):
+            columns = list(piece.columns)
+            columns[at] = pa.array(step(columns[at].to_pylist()), piece.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+        give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filter_texts(df: DataFrame, text_col: str, work: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows, all columns as they are, that a test of one text column keeps."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = work()
+        for piece in slices(batches):
+            yield piece.filter(pa.array(step(piece.column(at).to_pylist()), pa.bool_()))
+        give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def text_or_empty(column: str):
     """A text column whose nulls count as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

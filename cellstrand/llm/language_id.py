@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import filter_texts, map_rows
 
 UNKNOWN = "und"
 #: Leads under this are rejected.  On the held-out fold of sf0.1 the lowest lead other
@@ -132,21 +132,17 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 def filter_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows, all columns as they are, whose language is told clearly."""
-    names = df.columns
-    at = names.index(text_col)
 
-    def run(batches):
+    def work():
         encoders = compressors(model)
-        for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                found, margin = classify(text.as_py(), model, encoders)
-                keep.append(found != UNKNOWN and margin >= min_margin)
-            import pyarrow as pa
 
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        def step(texts):
+            found = [classify(t, model, encoders) for t in texts]
+            return [x != UNKNOWN and margin >= min_margin for x, margin in found]
+
+        return step
 
-    return df.mapInArrow(run, df.schema)
+    return filter_texts(df, text_col, work)
 
 
 def held_out(id_col: str = "doc_id"):

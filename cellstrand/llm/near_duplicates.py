@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_to_join, map_rows, materialise, runtime_filters
+from .common import give_back, ids_to_join, map_rows, materialise, runtime_filters
 
 _U64 = np.uint64
 
@@ -180,6 +180,7 @@ def verify(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFra
             one, two = batch.column("a_set"), batch.column("b_set")
             keep = pa.array([similar(one[i].as_buffer(), two[i].as_buffer(), percent) for i in range(batch.num_rows)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
+        give_back()
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
@@ -200,6 +201,7 @@ def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
         for batch in batches:
             hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "s"])
+        give_back()
 
     wide = sets.select("id", "shingles").mapInArrow(spread, "id long, s array<long>")
     rows = materialise(wide.select("id", F.size("s").alias("n"), F.explode("s").alias("key")), "spread")
@@ -397,6 +399,7 @@ def compared(texts: DataFrame, sets: DataFrame, roots: DataFrame, settings: Join
             compare(rows)
         if made:
             yield out()
+        give_back()
 
     names = ("a", "b") if pairs else ("id", "links")
     nodes = roots.select(F.col("node").alias("id"), F.col("root").alias("class")).union(roots.select("root", "root").distinct())

@@ -36,6 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 
 @dataclass(frozen=True)
 class PackSettings:
@@ -56,7 +58,7 @@ class WordTokenizer:
 
     _LATIN = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x180), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)]
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -229,5 +231,6 @@ def pack(df: DataFrame, tokenizer_path: str, settings: PackSettings = PackSettin
                     ],
                     names=[id_col, "piece", "start", "length", "ids", "sequence_id", "offset"],
                 )
+        give_back()
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")

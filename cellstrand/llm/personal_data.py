@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
@@ -407,19 +407,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns; spans in the text give way to ``[EMAIL]`` and so on. Nulls stay."""
-    import pyarrow as pa
-
     field = trained_field()
-    at = df.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            texts = [t if t is None else masked(t, all_spans(t, field)[1]) for t in (x.as_py() for x in batch.column(at))]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    def work():
+        return lambda texts: [t if t is None else masked(t, all_spans(t, field)[1]) for t in texts]
 
-    return df.mapInArrow(run, df.schema)
+    return map_texts(df, text_col, work)
 
 
 def sha256_of(spans: list[tuple[str, int, int]]) -> str:

@@ -42,7 +42,7 @@ _SHORT = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 class PrefixCounter:
     """Prefix token counts for a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000) -> None:
         whole = json.loads(Path(path).read_text(encoding="utf-8"))
         model = whole["model"]
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,7 +102,7 @@ class PrefixCounter:
                     m = self.rank.get((x, y))
                     if m is not None and (t := max(m, x_from, y_from)) < x_until and t <= y_until:
                         known = False
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 400_000:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -133,7 +133,7 @@ class PrefixCounter:
                 break
         for k in (3, 6, 9):
             if known < k <= n:
-                if len(self._begun) > 400_000:
+                if len(self._begun) > 100_000:
                     self._begun.clear()
                 self._begun[body[:k]] = count[: k + 1], last[: k + 1]
         return count
