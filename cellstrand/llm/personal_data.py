@@ -5,9 +5,10 @@ numbers exactly as `base_spans` states.  The field then looks at the islands of
 text, maximal runs of space-separated chunks that hold a digit or ``@``, and finds
 spans that the patterns miss (a telephone number without ``+``, say).  Its
 features describe whole candidate segments: shape, digit count, checksum, number
-of parts, what stands around.  Dynamic programming over segments of at most
-``MAX_TOKENS`` tokens chooses boundaries and kinds together.  A span of the field
-that touches a span of the patterns is left out, so those stay as they are.
+of parts, what stands around, which cue word comes before.  Dynamic programming over
+segments of at most ``MAX_TOKENS`` tokens chooses boundaries and kinds together.  Spans
+of the patterns are given segments of every path: what lies between two of them is
+decoded with their kinds on both sides, and they stay as they are.
 
 Outside the islands no candidate has a digit or ``@`` and every path is "other",
 so leaving that text out changes nothing.  Islands are decoded whole.
@@ -16,8 +17,9 @@ The field is trained here, by likelihood, on sentences that `examples` writes fr
 a seed; the number of sentences is a parameter.
 
 Defined cases: a null or empty text has no spans; positions are code points, end
-exclusive; repeated rows get equal results; long texts are read whole, in time
-linear in their length.
+exclusive; repeated rows get equal results; any number of zeros may stand before a part
+of an address; long texts are read whole, in time linear in their length and with some
+100 bytes a token of their longest island.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .common import map_rows, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
+#: What a span must win over "other" in log-probability.
+LEAD = 0.0
 
 # The patterns as the contract gives them, anchored so that they take linear time.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -55,6 +59,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a run of digits, with any number of zeros before, is at most 255."""
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -83,7 +93,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(_octet(p) for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -103,7 +113,17 @@ _SEED = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 _SPACE = " \t\n\r\x0b\x0c"
 _STARTS = frozenset("+(")
-_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
+_BEFORE = re.compile(r"([^\W\d_]+)\.?[^\w]{0,3}$")
+
+# Words that announce a kind of datum, or a number that is none.
+CUES = {
+    "email": "mail email e-mail contact correo courriel",
+    "ip": "ip host server address client peer gateway",
+    "card": "card visa mastercard amex credit debit karte tarjeta carte",
+    "phone": "phone tel telephone call fax mobile cell ring dial whatsapp sms text hotline telefon handy telefono teléfono tél téléphone móvil llame appelez",
+    "other": "order invoice isbn issn id ref reference account number no nr version section page lot serial batch total pid ticket case code sku part item model patent doi year population",
+}
+_CUE_OF = {word: kind for kind, words in CUES.items() for word in words.split()}
 
 
 def islands(text: str) -> list[tuple[int, int]]:
@@ -142,7 +162,7 @@ def _features(text: str, s: int, e: int) -> list[str]:
     elif any(c.isalpha() for c in span):
         out.append("letters")
     if span.count(".") == 3 and re.fullmatch(r"[0-9]+(\.[0-9]+){3}", span):
-        out.append(f"octets={all(int(p[:6]) <= 255 for p in span.split('.'))}")
+        out.append(f"octets={all(_octet(p) for p in span.split('.'))}")
     if 13 <= len(digits) <= 19 and re.fullmatch(r"[0-9 -]+", span):
         out.append(f"luhn={luhn(digits)}")
     seps = "".join(sorted({c for c in span if not c.isalnum()}))
@@ -151,34 +171,44 @@ def _features(text: str, s: int, e: int) -> list[str]:
     left, right = text[s - 1 : s], text[e : e + 1]
     kind = lambda c: "end" if not c or c in _SPACE else "d" if c.isdigit() else "a" if c.isalpha() else c
     out += [f"left={kind(left)}", f"right={kind(right)}"]
-    if m := _BEFORE.search(text, max(0, s - 24), s):
-        out.append(f"before={m[1].lower()[:12]}")
+    m = _BEFORE.search(text, max(0, s - 24), s)
+    cue = _CUE_OF.get(m[1].lower(), "word") if m else "none"
+    form = f"{'+' if span[:1] == '+' else '(' if span[:1] == '(' else '0' if span[:1] == '0' else '-'}{seps[:4]}"
+    out += [f"cue={cue}", f"cue={cue}|digits={_bucket(len(digits))}", f"cue={cue}|form={form}"]
     return out
 
 
+def _candidates(text: str, tokens: list[tuple[int, int]], i: int):
+    """The segments that may start at a token: (end border, features)."""
+    s = tokens[i][0]
+    if not (text[s].isalnum() or text[s] in _STARTS) or (text[s].isalnum() and s and text[s - 1].isalnum()):
+        return
+    count, at, inner = 0, False, False
+    for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+        b, e = tokens[j - 1]
+        piece = text[b:e]
+        if piece in ("\n", "\t"):
+            return
+        at |= piece == "@"
+        digits = piece.isdigit()
+        if digits:
+            count += len(piece)
+        inner |= piece.isalpha()
+        if count > 24 or (inner and not at and count):
+            return
+        # digits of at least seven places, or something with an @ inside
+        if text[e - 1].isalnum() and ((at and text[s] != "@") or (count >= 7 and not inner) or (count >= 4 and digits and not inner and "." in text[s:e])):
+            yield j, _features(text, s, e)
+
+
 def _lattice(text: str, start: int, end: int) -> tuple[list[int], list[list[tuple[int, list[str]]]]]:
     """Token borders of an island, and per end border its candidates (start border, features)."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     borders = [tokens[0][0], *[e for _, e in tokens]]
     by_end: list[list[tuple[int, list[str]]]] = [[] for _ in borders]
-    for i, (s, _) in enumerate(tokens):
-        if not (text[s].isalnum() or text[s] in _STARTS):
-            continue
-        count, at, inner = 0, False, False
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            b, e = tokens[j - 1]
-            piece = text[b:e]
-            if piece in ("\n", "\t"):
-                break
-            at |= piece == "@"
-            if piece.isdigit():
-                count += len(piece)
-            inner |= piece.isalpha()
-            if count > 24:
-                break
-            # digits of at least seven places, or something with an @ inside
-            if text[e - 1].isalnum() and ((at and text[s] != "@") or (count >= 7 and not inner) or (count >= 4 and piece.isdigit() and not inner and "." in text[s:e])):
-                by_end[j].append((i, _features(text, s, e)))
+    for i in range(len(tokens)):
+        for j, features in _candidates(text, tokens, i):
+            by_end[j].append((i, features))
     return borders, by_end
 
 
@@ -193,31 +223,44 @@ class SemiMarkovField:
         zero = np.zeros(len(KINDS))
         return sum((self.weights[f] for f in features if f in self.weights), zero)
 
-    def decode(self, text: str, start: int, end: int, lead: float = 0.0) -> list[tuple[str, int, int]]:
-        """The best segmentation's spans; ``lead`` is what a span must win over "other"."""
-        borders, by_end = _lattice(text, start, end)
-        if not any(by_end):
-            return []
-        n, k = len(borders), len(KINDS) + 1
+    def decode(self, text: str, start: int, end: int, lead: float = 0.0, before: int = 0, after: int = 0) -> list[tuple[str, int, int]]:
+        """The best segmentation's spans; ``lead`` is what a span must win over "other".
+
+        ``before`` and ``after`` are the labels that stand on both sides (0 "other").
+        Candidates are made start by start and dropped when they are scored, and what
+        remains of a place is a row of small numbers, so memory is some 100 bytes a token.
+        """
+        tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+        n, k = len(tokens) + 1, len(KINDS) + 1
         best = np.full((n, k), -np.inf)
-        best[0, 0] = 0.0
-        back: list[list[tuple[int, int] | None]] = [[None] * k for _ in range(n)]
-        for j in range(1, n):
-            x = best[j - 1] + self.follow[:, 0]
+        best[0, before] = 0.0
+        came = np.zeros((n, k), np.int32)
+        label = np.zeros((n, k), np.int8)
+        found = False
+        for i in range(n - 1):
+            here = best[i]
+            x = here + self.follow[:, 0]
             p = int(x.argmax())
-            best[j, 0], back[j][0] = x[p], (j - 1, p)
-            for i, features in by_end[j]:
-                x = best[i][:, None] + self.follow[:, 1:]
-                p = x.argmax(axis=0)
-                y = x[p, range(k - 1)] + self._score(features) - lead
-                for z in np.flatnonzero(y > best[j, 1:]):
-                    best[j, z + 1], back[j][z + 1] = y[z], (i, int(p[z]))
-        out, j, y = [], n - 1, int(best[n - 1].argmax())
+            if x[p] > best[i + 1, 0]:
+                best[i + 1, 0], came[i + 1, 0], label[i + 1, 0] = x[p], i, p
+            ahead = None
+            for j, features in _candidates(text, tokens, i):
+                if ahead is None:
+                    x = here[:, None] + self.follow[:, 1:]
+                    ahead = x.argmax(axis=0)
+                    top = x[ahead, range(k - 1)] - lead
+                    found = True
+                y = top + self._score(features)
+                better = np.flatnonzero(y > best[j, 1:])
+                best[j, better + 1], came[j, better + 1], label[j, better + 1] = y[better], i, ahead[better]
+        if not found:
+            return []
+        out, j, y = [], n - 1, int((best[n - 1] + self.follow[:, after]).argmax())
         while j > 0:
-            i, p = back[j][y]
+            i = int(came[j, y])
             if y:
-                out.append((KINDS[y - 1], borders[i], borders[j]))
-            j, y = i, p
+                out.append((KINDS[y - 1], tokens[i][0], tokens[j - 1][1]))
+            j, y = i, int(label[j, y])
         return out[::-1]
 
     def step(self, text: str, start: int, end: int, gold: list[tuple[str, int, int]], rate: float, decay: float) -> None:
@@ -290,7 +333,30 @@ def examples(count: int, seed: int = 7) -> list[tuple[str, list[tuple[str, int,
         sep = draw.choice(["", "", " ", "-"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
-    phone = lambda: draw.choice([f"+{draw.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{draw.randint(1, 99)} {num(2)} {num(4)} {num(4)}", f"({num(3)}) {num(3)} {num(4)}", f"+{num(11)}"])
+    def groups(total: int) -> list[str]:
+        out = []
+        while total:
+            n = total if total <= 4 else draw.choice([2, 3, 3, 4, 4])
+            n = min(n, total)
+            out.append(num(n))
+            total -= n
+        return out
+
+    def phone() -> tuple[str, bool]:
+        """A number, and whether its form alone tells."""
+        kind = draw.random()
+        if kind < 0.2:
+            return draw.choice([f"+{draw.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"+{draw.randint(1, 99)} {num(2)} {num(4)} {num(4)}", f"+{num(11)}"]), True
+        if kind < 0.45:
+            return draw.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"({num(3)}) {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}"]), True
+        if kind < 0.65:
+            return draw.choice([f"(0{num(draw.randint(2, 4))}) {' '.join(groups(draw.randint(6, 8)))}", f"0{num(draw.randint(2, 4))}/{num(draw.randint(6, 8))}", f"0{num(draw.randint(2, 4))}-{num(draw.randint(6, 8))}"]), True
+        if kind < 0.75:
+            return f"00{draw.choice(['', ' '])}{draw.randint(1, 99)} {' '.join(groups(draw.randint(8, 10)))}", True
+        if kind < 0.9:
+            return f"0{num(draw.randint(2, 4))} {' '.join(groups(draw.randint(6, 8)))}", False
+        return draw.choice([num(10), f"0{num(draw.randint(9, 10))}", " ".join(groups(draw.randint(9, 10)))]), False
+
     ip = lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4))
     email = lambda: f"{word()}{draw.choice(['', '.', '_'])}{draw.choice(['', num(2)])}x@{word()}.{draw.choice(['example.com', 'org', 'net', 'co'])}"
     other = [
@@ -314,30 +380,41 @@ def examples(count: int, seed: int = 7) -> list[tuple[str, list[tuple[str, int,
         lambda: f"{num(3)}-{num(2)}-{num(4)}",
         wrong_card,
         wrong_card,
+        lambda: num(draw.randint(7, 12)),
+        lambda: f"{num(draw.randint(4, 6))}/{num(draw.randint(3, 6))}",
+        lambda: " ".join(groups(draw.randint(7, 14))),
+        lambda: f"{num(3)},{num(3)},{num(3)},{num(3)}",
+        lambda: f"{num(1)}.{num(2)}.{num(3)}.{num(4)}",
+        lambda: f"97{draw.choice('89')}{num(10)}",
+        lambda: f"{draw.randint(1900, 2030)}{draw.randint(10, 12)}{draw.randint(10, 28)}",
+        lambda: f"({draw.randint(1900, 2030)}) {num(3)}-{num(3)}",
     ]
-    cues = {"email": ["mail", "email", "contact"], "ip": ["ip", "host", "address"], "card": ["card", "visa", "account"], "phone": ["phone", "tel", "call", "fax"]}
-    make = {"email": email, "ip": ip, "card": card, "phone": phone}
+    cues = {kind: words.split() for kind, words in CUES.items()}
+    make = {"email": email, "ip": ip, "card": card}
     out = []
     for _ in range(count):
         text, spans = word(), []
         for _ in range(draw.randint(1, 3)):
             text += " " + " ".join(word() for _ in range(draw.randint(0, 3)))
             text = text.rstrip() + " "
+            colon = lambda kind: draw.choice(cues[kind]) + draw.choice([" ", ": ", ". "])  # noqa: E731, B023
             if draw.random() < 0.5:
-                kind = draw.choice(KINDS)
-                if draw.random() < 0.3:
-                    text += draw.choice(cues[kind]) + draw.choice([" ", ": "])
-                body = make[kind]()
+                kind = draw.choice([*KINDS, "phone"])
+                body, clear = (make[kind](), True) if kind != "phone" else phone()
+                if not clear or draw.random() < 0.35:
+                    text += colon(kind)
                 spans.append((kind, len(text), len(text) + len(body)))
             else:
                 body = draw.choice(other)()
+                if draw.random() < 0.3:
+                    text += colon("other")
             text += body + draw.choice(["", "", ".", ",", " " + word()])
         out.append((text, spans))
     return out
 
 
 @functools.cache
-def trained_field(sentences: int = 600, rounds: int = 4) -> SemiMarkovField:
+def trained_field(sentences: int = 1500, rounds: int = 4) -> SemiMarkovField:
     field = SemiMarkovField()
     rows = examples(sentences)
     for r in range(rounds):
@@ -347,16 +424,33 @@ def trained_field(sentences: int = 600, rounds: int = 4) -> SemiMarkovField:
     return field
 
 
-def field_spans(text: str, field: SemiMarkovField, base: list[tuple[str, int, int]], lead: float = 3.0) -> list[tuple[str, int, int]]:
-    """What the field finds beside the spans of the patterns."""
-    taken = sorted((s, e) for _, s, e in base)
-    out = []
+def field_spans(text: str, field: SemiMarkovField, base: list[tuple[str, int, int]], lead: float = LEAD) -> list[tuple[str, int, int]]:
+    """What the field finds beside the spans of the patterns.
+
+    Those are given: they are segments of every path, so what lies between two of them
+    is decoded with their kinds as its neighbours.
+    """
+    taken: list[list] = []  # runs of pattern spans that overlap: start, end, first and last kind
+    for kind, s, e in sorted(base, key=lambda x: (x[1], x[2])):
+        if taken and s < taken[-1][1]:
+            if e > taken[-1][1]:
+                taken[-1][1], taken[-1][3] = e, kind
+        else:
+            taken.append([s, e, kind, kind])
+    out, k = [], 0
     for start, end in islands(text):
-        if sum(1 for _ in _SEED.finditer(text, start, end)) < 4 and "@" not in text[start:end]:
-            continue
-        for kind, s, e in field.decode(text, start, end, lead):
-            if not any(s < b and a < e for a, b in taken):
-                out.append((kind, s, e))
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        at, before = start, 0
+        while at < end:
+            inside = k < len(taken) and taken[k][0] < end
+            stop = taken[k][0] if inside else end
+            if at < stop and ("@" in text[at:stop] or len(_digits(text[at:stop])) >= 4):
+                out += field.decode(text, at, stop, lead, before, KINDS.index(taken[k][2]) + 1 if inside else 0)
+            if not inside:
+                break
+            at, before = taken[k][1], KINDS.index(taken[k][3]) + 1
+            k += 1
     return out
 
 

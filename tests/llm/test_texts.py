@@ -84,12 +84,83 @@ def test_base_spans():
 def test_field_on_held_out_examples():
     field = personal_data.trained_field()
     right = total = wrong = 0
-    for text, gold in personal_data.examples(200, seed=77):
-        found = {x for s, e in personal_data.islands(text) for x in field.decode(text, s, e, 3.0)}
+    for text, gold in personal_data.examples(400, seed=77):
+        found = {x for s, e in personal_data.islands(text) for x in field.decode(text, s, e, personal_data.LEAD)}
         right, total, wrong = right + len(found & set(gold)), total + len(gold), wrong + len(found - set(gold))
     assert right >= 0.85 * total and wrong <= 0.03 * total
 
 
+#: Sentences written by hand, not by the templates: «» marks the numbers to find.
+BY_HAND = (
+    "If the pump fails, call «555-123-4567» and ask for Jo.",
+    "Our new line is «555.123.4567» from Monday.",
+    "tel «030 1234 5678» (office hours)",
+    "Telefon: «0171/2345678», abends auch «089 4567 8910».",
+    "Please ring «(020) 7946 0958» after six.",
+    "mobile «5551234567»",
+    "From abroad dial «00 44 20 7946 0958» instead.",
+    "She left a note: «(415) 555-0132».",
+    "fax: «0151-23456789»",
+    "tél. «01 23 45 67 89» ou «06 12 34 56 78»",
+    "Text «312-555-0199» or «312-555-0198» to vote.",
+    "The hotline «1-800-555-0147» is free.",
+)
+DECOYS = (
+    "Born in 1987, active 1999-2004 and again 2010-2015.",
+    "ISBN 978-3-16-148410-0, second edition.",
+    "Order 5551234567 shipped on 2021-03-14 at 12:30:45.",
+    "Version 1.2.3.4567 replaces 1.2.3.4566.",
+    "A population of 12,345,678 in 2011.",
+    "Pages 100 200 300 400 are missing.",
+    "pi is 3.14159265 and e is 2.71828182",
+    "id 0012345678, batch 4567 8901 234",
+    "invoice 2020/123456 of 20210314",
+    "at 52.520008 13.404954, some 1234567 steps away",
+    "sum 12 34 56 78 90 12 34",
+    "flight 300 of 4500 in 900 days",
+    "score 7654321 to 1234567",
+    "$1,250.00 or 1.250,00 EUR, tax 0.19",
+    "ratio 16:9, 1920x1080, 60 Hz",
+    "see RFC 2616, 7230 and 9110",
+)
+
+
+def test_field_on_sentences_by_hand():
+    """Of these 15 numbers the field misses one; no span is wrong."""
+    field = personal_data.trained_field()
+    hits = 0
+    for marked in BY_HAND:
+        text, want = "", []
+        for k, part in enumerate(re.split("[«»]", marked)):
+            want += [("phone", len(text), len(text) + len(part))] * (k % 2)
+            text += part
+        base, found = personal_data.all_spans(text, field)
+        assert base == [] and set(found) <= set(want), marked
+        hits += len(found)
+    assert hits >= 14
+    for text in DECOYS:
+        assert personal_data.all_spans(text, field)[1] == []
+
+
+def test_spans_of_the_patterns_stand():
+    """The field decides what lies between them, knowing them, and never touches them."""
+    field = personal_data.trained_field()
+    draw = random.Random(4)
+    parts = ["+1 (212) 555-0147", "4111 1111 1111 1111", "10.0.0.1", "a.b@c.de", "555-123-4567", "tel", "0171/2345678", "12", "x", "999", "2020-01-02", "call"]
+    for _ in range(300):
+        text = draw.choice([" ", ""]).join(draw.choice(parts) for _ in range(draw.randint(1, 9)))
+        base, found = personal_data.all_spans(text, field)
+        assert base == plain_spans(text) and set(base) <= set(found)
+        added = [x for x in found if x not in base]
+        assert not any(s < e2 and s2 < e for _, s, e in added for _, s2, e2 in [*base, *[y for y in added if y[1:] != (s, e)]])
+
+
+@pytest.mark.parametrize("zeros", [3, 5000])
+def test_zeros_before_a_number(zeros):
+    assert ("ip", 0, zeros + 6) in personal_data.base_spans("0" * zeros + ".1.1.1")
+    assert personal_data.base_spans("0" * zeros + "256.1.1.1") == []
+
+
 def test_decoding_is_exhaustive_search():
     """The dynamic programme against all segmentations of short islands."""
     field = personal_data.trained_field()
@@ -109,7 +180,7 @@ def test_decoding_is_exhaustive_search():
                     if i == j:
                         s = field._score(features)
                         for k, name in enumerate(personal_data.KINDS):
-                            go(e, k + 1, score + field.follow[kind, k + 1] + s[k] - 3.0, [*spans, (name, borders[j], borders[e])])
+                            go(e, k + 1, score + field.follow[kind, k + 1] + s[k], [*spans, (name, borders[j], borders[e])])
 
         go(0, 0, 0.0, [])
         return list(top[1])
@@ -117,7 +188,7 @@ def test_decoding_is_exhaustive_search():
     for text, _ in personal_data.examples(60, seed=5):
         for s, e in personal_data.islands(text):
             if len(personal_data._lattice(text, s, e)[0]) <= 9:
-                assert field.decode(text, s, e, 3.0) == best(text, s, e)
+                assert field.decode(text, s, e) == best(text, s, e)
 
 
 def test_personal_data_table(spark, documents, no_documents):
