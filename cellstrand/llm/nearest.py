@@ -3,19 +3,28 @@
 A hierarchical k-means tree is fitted on a bounded sample and every vector is put
 into one of its leaves.  A query walks the tree best bin first: a priority queue of
 nodes by distance of their centre, popped until enough leaves are visited.  How
-many are enough is calibrated on the sample against brute force, leaf by leaf,
-until the wanted recall is reached.  Inner products become distances by the usual
+many are enough is calibrated, leaf by leaf, until the wanted recall is reached: for a
+bounded number of queries against brute force over the whole table.  Inner products become distances by the usual
 augmentation: each vector gets one more component that gives all the same norm.
 
-Vectors and queries meet per leaf.  Leaves with many vectors or many visits are
-dealt out to blocks of bounded size, so neither a dense region nor equal vectors
+The sample and with it the tree on the driver are bounded, so in a large table its
+leaves are large.  Such a leaf is split further in the task that holds it: a tree of
+its own vectors, walked and calibrated in the same way.  So leaves stay small and the
+part of the vectors that a query is compared with falls as the table grows.
+
+Neighbouring leaves form groups of bounded size.  A query goes once to each group in
+which it visits leaves, with their numbers.  Groups with many vectors or many queries
+are dealt out to blocks of bounded size, so neither a dense region nor equal vectors
 make a task large.  A block returns its best for each query, ties within rounding
 included; scores are exact double-precision sums in a fixed order.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a
-null or non-finite component take no part; ties go to the smaller id; repeated
-rows are candidates each; with few candidates more leaves are visited until there
-are enough or none is left; an empty table gives an empty result.
+null or non-finite component take no part; ties go to the smaller id; rows of one id
+count once, as a candidate by the one that scores best, as a query by the smallest
+vector, and an id is never its own neighbour; components may be as large as doubles
+are, and a product that is not a number counts as the smallest; with few candidates
+more leaves are visited until there are enough or none is left; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +46,13 @@ class SearchSettings:
     sample_rows: int = 20_000
     branching: int = 8
     #: Sampled vectors in a leaf, about.
-    leaf_rows: int = 96
-    recall: float = 0.97
-    calibration_queries: int = 256
-    block_vectors: int = 8192
+    leaf_rows: int = 24
+    #: Leaves with more vectors than this in a block are split further there.
+    split_rows: int = 1024
+    #: What each of the two walks must find of the true neighbours in its calibration.
+    recall: float = 0.955
+    calibration_queries: int = 128
+    block_vectors: int = 4096
     block_queries: int = 8192
     seed: int = 5
 
@@ -98,6 +110,16 @@ class KMeansTree:
             todo += [(kid, rows[near == c]) for c, kid in enumerate(kids) if (near == c).any()]
         return out
 
+    def in_order(self) -> list[int]:
+        """The leaves as they lie in the tree, so that neighbours are near each other."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            todo += self.children[node]
+            if not self.children[node]:
+                out.append(self.leaf_of[node])
+        return out
+
     def visit(self, q: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[int]:
         """Leaves in best-bin-first order: ``visits`` of them, and more until they hold ``least`` vectors."""
         far = self.squares - 2 * self.points @ q
@@ -130,18 +152,61 @@ def calibrate(tree: KMeansTree, x: np.ndarray, norm: float, settings: SearchSett
     queries = np.random.default_rng(settings.seed + 1).permutation(n)[: settings.calibration_queries]
     leaf = tree.assign(augmented(x, norm))
     sizes = np.bincount(leaf, minlength=tree.leaves)
-    found = np.zeros(tree.leaves)
     k = min(settings.k, n - 1)
+    tops = []
     for i in queries:
         score = x @ x[i]
         score[i] = -np.inf
-        top = np.argpartition(-score, k - 1)[:k]
-        order = tree.visit(np.append(x[i], 0.0), tree.leaves, sizes, 0)
+        tops.append(leaf[np.argpartition(-score, k - 1)[:k]])
+    return enough_visits(tree, x[queries], tops, sizes, settings.recall)
+
+
+def enough_visits(tree: KMeansTree, queries: np.ndarray, tops: list[np.ndarray], sizes: np.ndarray, recall: float) -> int:
+    """The fewest visits with which the queries find that part of their true neighbours,
+    whose leaves are given."""
+    found = np.zeros(tree.leaves)
+    for q, top in zip(queries, tops, strict=True):
+        order = tree.visit(np.append(q, 0.0), tree.leaves, sizes, 0)
         place = np.full(tree.leaves, tree.leaves - 1)
         place[order] = np.arange(len(order))
-        found += np.bincount(place[leaf[top]], minlength=tree.leaves)
-    recall = np.cumsum(found) / (k * len(queries))
-    return int(np.argmax(recall >= settings.recall)) + 1
+        found += np.bincount(place[top], minlength=tree.leaves)
+    reached = np.cumsum(found) >= recall * found.sum()
+    return int(np.argmax(reached)) + 1 if found.sum() else tree.leaves
+
+
+def calibrated(index: DataFrame, tree: KMeansTree, sizes: np.ndarray, scale: float, settings: SearchSettings) -> int:
+    """`enough_visits` for some queries of the table against all of it.
+
+    A pass over the vectors, in which a task keeps the best few for each query; queries
+    have another hash order than the sample, so in large tables the tree was not fitted
+    to them.
+    """
+    rows = index.orderBy(F.xxhash64("id", F.lit(settings.seed)), "id").limit(settings.calibration_queries).select("id", "v").toArrow()
+    ids, q = rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks()) / scale
+    k = settings.k
+
+    def run(batches):
+        best = [(np.empty(0), np.empty(0, np.int32)) for _ in ids]
+        for batch in batches:
+            x, own, leaf = _matrix(batch.column("v")) / scale, batch.column("id").to_numpy(), batch.column("leaf").to_numpy()
+            for a in range(0, len(x), 4096):
+                scores = q @ x[a : a + 4096].T
+                scores[ids[:, None] == own[None, a : a + 4096]] = -np.inf
+                for j, row in enumerate(scores):
+                    both, leaves = np.concatenate([best[j][0], row]), np.concatenate([best[j][1], leaf[a : a + 4096]])
+                    top = np.argpartition(-both, k - 1)[:k] if len(both) > k else np.arange(len(both))
+                    best[j] = both[top], leaves[top]
+        for j, (score, leaf) in enumerate(best):
+            keep = score > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), j), pa.int32()), pa.array(leaf[keep], pa.int32()), pa.array(score[keep], pa.float64())], names=["j", "leaf", "score"])
+
+    found = index.select("id", "leaf", "v").mapInArrow(run, "j int, leaf int, score double")
+    first = Window.partitionBy("j").orderBy(F.desc("score"), "leaf")
+    top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("j", "leaf").collect()
+    tops: list[list[int]] = [[] for _ in ids]
+    for r in top:
+        tops[r["j"]].append(r["leaf"])
+    return enough_visits(tree, q, [np.array(t, np.int64) for t in tops], sizes, settings.recall)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -159,28 +224,104 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def best_of_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): the k best of each query, exact, ties to the smaller id."""
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = q @ x.T
+    return np.nan_to_num(out, copy=False, nan=-np.finfo(float).max, posinf=np.inf, neginf=-np.finfo(float).max)
+
+
+def split_leaf(x: np.ndarray, norm: float, settings: SearchSettings):
+    """(order of the vectors, first of each part, walk) of a large leaf: a tree of its own
+    vectors, and a function from a query to the parts it visits."""
+    few = x[np.random.default_rng(settings.seed).permutation(len(x))[: settings.sample_rows]]
+    tree = KMeansTree(augmented(few, norm), settings)
+    visits = calibrate(tree, few, norm, settings)
+    part = tree.assign(augmented(x, norm))
+    sizes = np.bincount(part, minlength=tree.leaves)
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(sizes)]), lambda q: tree.visit(np.append(q, 0.0), visits, sizes, settings.k + 1)
+
+
+def rough_scores(x: np.ndarray, bounds: list[tuple[int, int, int]], q: np.ndarray, leaves: list[np.ndarray], inside: dict, scale: float) -> np.ndarray:
+    """Products of some queries with the vectors of the leaves they visit, -inf elsewhere.
+
+    ``bounds`` has leaf, first and last of the vectors, ``inside`` the leaves split further.
+    """
+    out = np.full((len(q), len(x)), -np.inf)
+    asked = np.repeat(np.arange(len(q)), [len(v) for v in leaves])
+    wanted = np.concatenate(leaves) if leaves else np.empty(0, np.int64)
+    order = np.argsort(wanted, kind="stable")
+    asked, wanted = asked[order], wanted[order]
+    for leaf, first, last in bounds:
+        low, high = np.searchsorted(wanted, (leaf, leaf + 1))
+        rows = asked[low:high]
+        if not len(rows):
+            continue
+        if leaf not in inside:
+            out[rows, first:last] = products(q[rows], x[first:last])
+            continue
+        starts, walk = inside[leaf]
+        visited: dict[int, list[int]] = {}
+        for r in rows.tolist():
+            for part in walk(q[r] / scale):
+                visited.setdefault(part, []).append(r)
+        for part, those in visited.items():
+            a, b = first + starts[part], first + starts[part + 1]
+            out[those, a:b] = products(q[those], x[a:b])
+    return out
+
+
+def best_of_block(ids: np.ndarray, leaf: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, leaves: list[np.ndarray], scale: float, norm: float, settings: SearchSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the k best of each query, exact, an id once, ties to the smaller id."""
+    k = settings.k
+    order = np.lexsort((ids, leaf))
+    ids, leaf, x = ids[order], leaf[order], x[order]
+    cuts = np.flatnonzero(np.diff(leaf)) + 1
+    bounds = [(int(leaf[a]), int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(leaf)], strict=True)]
+    inside = {}
+    for name, a, b in bounds:
+        if b - a > settings.split_rows:
+            own, starts, walk = split_leaf(x[a:b] / scale, norm, settings)
+            ids[a:b], x[a:b] = ids[a:b][own], x[a:b][own]
+            inside[name] = (starts, walk)
     out_q, out_i, out_s = [], [], []
     for a in range(0, len(q), 256):
-        rough = q[a : a + 256] @ x.T
+        rough = rough_scores(x, bounds, q[a : a + 256], leaves[a : a + 256], inside, scale)
         rough[query_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            edge = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
-        else:
-            edge = np.full(len(rough), -np.finfo(float).max)
-        slack = 1e-9 * (1 + np.abs(edge))
         for j, row in enumerate(rough):
-            near = np.flatnonzero((row >= edge[j] - slack[j]) & (row > -np.inf))
-            score = (x[near] * q[a + j]).cumsum(axis=1)[:, -1]
-            order = np.lexsort((ids[near], -score))[:k]
-            out_q.append(np.full(len(order), query_ids[a + j]))
-            out_i.append(ids[near][order])
-            out_s.append(score[order])
+            near = np.flatnonzero(row > -np.inf)
+            width = k
+            while True:
+                some = near
+                if len(near) > width:
+                    edge = np.partition(row[near], len(near) - width)[len(near) - width]
+                    some = near[row[near] >= (edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else edge)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (x[some] * q[a + j]).cumsum(axis=1)[:, -1]
+                score = np.nan_to_num(score, nan=-np.finfo(float).max, posinf=np.inf, neginf=-np.inf)
+                best = np.lexsort((ids[some], -score))
+                _, first = np.unique(ids[some][best], return_index=True)
+                best = best[np.sort(first)][:k]
+                if len(best) == k or len(some) == len(near):
+                    break
+                width *= 4  # rows of one id took places
+            out_q.append(np.full(len(best), query_ids[a + j]))
+            out_i.append(ids[some][best])
+            out_s.append(score[best])
     join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
     return join(out_q, np.int64), join(out_i, np.int64), join(out_s, np.float64)
 
 
+def grouped_leaves(tree: KMeansTree, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The group of each leaf: neighbours together, as many as hold ``most`` vectors."""
+    out, group, held = np.zeros(tree.leaves, np.int32), 0, 0
+    for leaf in tree.in_order():
+        if held and held + sizes[leaf] > most:
+            group, held = group + 1, 0
+        out[leaf] = group
+        held += int(sizes[leaf])
+    return out
+
+
 def search(
     df: DataFrame, queries: str, settings: SearchSettings = SearchSettings(), id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -193,49 +334,69 @@ def search(
     if not picked.num_rows:
         return spark.createDataFrame([], out_schema)
     sample = _matrix(picked.column(0).combine_chunks())
-    norm = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]) ** 0.5
+    # all is scaled by the largest component, so that squares stay finite
+    scale = float(rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
+    sample = sample / scale
+    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.lit(scale)) * (x / F.lit(scale)))
+    norm = float(rows.agg(F.max(squared)).first()[0]) ** 0.5
     tree = KMeansTree(augmented(sample, norm), settings)
-    visits = calibrate(tree, sample, norm, settings)
 
     def place(batches):
         for batch in batches:
             x = _matrix(batch.column("v"))
-            leaf = tree.assign(augmented(x, norm)) if len(x) else np.empty(0, np.int32)
+            leaf = tree.assign(augmented(x / scale, norm)) if len(x) else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(leaf, pa.int32()), batch.column("v")], names=["id", "leaf", "v"])
 
     index = materialise(rows.mapInArrow(place, "id long, leaf int, v array<double>"), "vectors")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
+    visits = calibrated(index, tree, sizes, scale, settings)
+    group_of = grouped_leaves(tree, sizes, settings.block_vectors)
+    groups = int(group_of.max()) + 1
 
     def walk(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            leaves = [tree.visit(np.append(q, 0.0), visits, sizes, settings.k + 1) for q in x]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "v", "leaves"])
-
-    walked = index.where(queries).select("id", "v").mapInArrow(walk, "id long, v array<double>, leaves array<int>")
-    asked = materialise(walked.select("id", "v", F.explode("leaves").alias("leaf")), "queries")
-    visited = np.zeros(tree.leaves, np.int64)
-    for r in asked.groupBy("leaf").count().collect():
-        visited[r["leaf"]] = r["count"]
+            ids, vectors, asked_groups, asked_leaves = [], [], [], []
+            for row, (i, q) in enumerate(zip(batch.column("id").to_pylist(), _matrix(batch.column("v")), strict=True)):
+                leaves = np.array(tree.visit(np.append(q / scale, 0.0), visits, sizes, settings.k + 1), np.int32)
+                where = group_of[leaves]
+                for g in np.unique(where):
+                    ids.append(i)
+                    vectors.append(row)
+                    asked_groups.append(g)
+                    asked_leaves.append(leaves[where == g])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), batch.column("v").take(pa.array(vectors, pa.int64())), pa.array(asked_groups, pa.int32()), pa.array(asked_leaves, pa.list_(pa.int32()))],
+                names=["id", "v", "group", "leaves"],
+            )
+
+    once = index.where(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = materialise(once.mapInArrow(walk, "id long, v array<double>, group int, leaves array<int>"), "queries")
+    held, visited = np.bincount(group_of, sizes, groups).astype(np.int64), np.zeros(groups, np.int64)
+    for r in asked.groupBy("group").count().collect():
+        visited[r["group"]] = r["count"]
     parts = lambda counts, size: F.array(*[F.lit(int(-(-c // size)) or 1) for c in counts])
-    of_vectors = F.element_at(parts(sizes, settings.block_vectors), F.col("leaf") + 1)
-    of_queries = F.element_at(parts(visited, settings.block_queries), F.col("leaf") + 1)
+    of_vectors = F.element_at(parts(held, settings.block_vectors), F.col("group") + 1)
+    of_queries = F.element_at(parts(visited, settings.block_queries), F.col("group") + 1)
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.select("leaf", deal(of_vectors).alias("vb"), spread(of_queries).alias("qb"), "id", "v")
-    right = asked.select("leaf", spread(of_vectors).alias("vb"), deal(of_queries).alias("qb"), "id", "v")
+    grouped = index.withColumn("group", F.element_at(F.array(*[F.lit(int(g)) for g in group_of]), F.col("leaf") + 1))
+    left = grouped.select("group", deal(of_vectors).alias("vb"), spread(of_queries).alias("qb"), "id", "leaf", "v")
+    right = asked.select("group", spread(of_vectors).alias("vb"), deal(of_queries).alias("qb"), "id", "v", "leaves")
 
     def block(vectors: pa.Table, asked_: pa.Table) -> pa.Table:
-        x, q = (_matrix(t.column("v").combine_chunks()) if t.num_rows else np.empty((0, 1)) for t in (vectors, asked_))
-        if not len(x) or not len(q):
+        if not vectors.num_rows or not asked_.num_rows:
             found = [np.empty(0, t) for t in (np.int64, np.int64, np.float64)]
         else:
-            found = best_of_block(vectors.column("id").to_numpy(), x, asked_.column("id").to_numpy(), q, settings.k)
+            x, q = (_matrix(t.column("v").combine_chunks()) for t in (vectors, asked_))
+            to = [np.array(v, np.int64) for v in asked_.column("leaves").to_pylist()]
+            found = best_of_block(vectors.column("id").to_numpy(), vectors.column("leaf").to_numpy(), x, asked_.column("id").to_numpy(), q, to, scale, norm, settings)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    keys = ("leaf", "vb", "qb")
+    keys = ("group", "vb", "qb")
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score double")
+    # an id whose rows lie in several blocks may come more than once
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k).select("query_id", "rank", "vec_id", "score")

@@ -209,13 +209,14 @@ def test_hypergeometric_law(spark):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def test_search(spark):
+@pytest.mark.parametrize("split", [1024, 40])
+def test_search(spark, split):
     draw = np.random.default_rng(2)
     x = draw.normal(size=(2500, 16)).astype(np.float32)
     x[100:140] = x[100]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     bad = [(9000, None, 0), (9001, [0.0] * 16, 0), (9002, [float("nan")] + [1.0] * 15, 0), (9003, [1.0] * 3, 0), (9004, [None] + [1.0] * 15, 0), (9005, [float("inf")] * 16, 0)]
-    settings = nearest.SearchSettings(leaf_rows=48, block_vectors=64, block_queries=16)
+    settings = nearest.SearchSettings(leaf_rows=400 if split < 100 else 24, split_rows=split, block_vectors=600, block_queries=50)
     got = nearest.search(spark.createDataFrame(rows + bad, VECTORS), "id % 20 = 0", settings).collect()
     d = x.astype(float)
     hits = 0
@@ -234,6 +235,27 @@ def test_search(spark):
     assert hits >= 0.9 * 20 * len(by)
 
 
+def test_search_repeated_rows(spark):
+    """Rows of one id count once; the best of them as a candidate, the smallest as a query."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(60, 4)).tolist()
+    rows = [(i, v, 0) for i, v in enumerate(x)]
+    one_leaf = nearest.SearchSettings(leaf_rows=1000)  # exact, whatever the rows
+    plain = sorted(tuple(r) for r in nearest.search(spark.createDataFrame(rows, VECTORS), "id % 20 = 0", one_leaf).collect())
+    doubled = sorted(tuple(r) for r in nearest.search(spark.createDataFrame(rows + rows[:25] + rows[7:8] * 30, VECTORS), "id % 20 = 0", one_leaf).collect())
+    assert plain == doubled and len(plain) == 60
+    twice = nearest.search(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (1, [3.0, 0.0], 0), (2, [1.0, 1.0], 0)], VECTORS), "id = 0").collect()
+    assert [tuple(r) for r in twice] == [(0, 1, 1, 3.0), (0, 2, 2, 1.0)]
+
+
+def test_search_large_components(spark):
+    rows = [(0, [1e200, 1.0], 0), (1, [1e200, -1e200], 0), (2, [1.0, 1.0], 0), (3, [-1e200, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = nearest.search(df, "id = 2").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(0, 1e200 + 1.0), (1, 0.0), (3, -1e200 + 2.0)]
+    assert [r["vec_id"] for r in nearest.search(df, "id = 0").collect()] == [1, 2, 3]
+
+
 def test_search_few_rows(spark):
     one = nearest.search(spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0), (2, [2.0, 1.0], 0)], VECTORS), "id % 20 = 0").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in one] == [(0, 1, 1, 4.0), (0, 2, 2, 4.0)]
