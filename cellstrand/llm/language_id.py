@@ -1,14 +1,16 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary, made of the opening parts
-of a bounded sample of its texts.  A text is encoded with every dictionary; the
+Each language has a zstandard raw-content dictionary, made of a bounded sample of its
+texts, each of them whole.  A text is encoded with every dictionary; the
 language whose dictionary makes it smallest wins, and a narrow lead is rejected.
 Digits, punctuation and case carry no language and are removed first.  Long texts
 are encoded in blocks, since within one long stream a text's own repetitions
 would soon outweigh any dictionary.
 
+Letters are what Unicode calls letters: figures in any script or shape are none.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal
-sizes go to the language with more sampled texts, then to the smaller name; with
+sizes go to the language with more labelled texts, then to the smaller name; with
 no training rows every text is ``und``; training rows with a null text or
 language are skipped; repeated rows are predicted alike.
 """
@@ -16,6 +18,7 @@ language are skipped; repeated rows are predicted alike.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import zstandard
@@ -28,7 +31,9 @@ UNKNOWN = "und"
 #: Leads under this are rejected.  On the held-out fold of sf0.1 the lowest lead other
 #: than 0 of a right prediction is 0.0149; of texts of random letters, most fall below.
 MIN_MARGIN = 0.01
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor decimal digits (superscripts, fractions, Roman numerals).
+_FIGURES = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+_NOT_LETTERS = re.compile(rf"[\W\d_{_FIGURES}]+")
 
 
 @dataclass(frozen=True)
@@ -51,21 +56,26 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_texts: int = 48,
-    sample_chars: int = 1024,
+    short_chars: int = 2048,
+    dictionary_bytes: int = 1 << 17,
 ) -> LanguageModel:
-    """Dictionaries from at most ``sample_texts`` texts of each language.
-
-    The sample has the texts with the smallest hash of their id.  Each task keeps
-    that many rows a language before the shuffle (window group limit), so neither
-    a common language nor a long text makes a task large.
+    """Dictionaries from at most ``sample_texts`` whole texts of each language.
+
+    The sample has the texts with the smallest hash of their id among those of up to
+    ``short_chars`` characters; only where a language has too few of these, texts of up to
+    twice that length, and so on, follow.  Texts that would take a dictionary beyond
+    ``dictionary_bytes`` are left out, but for the first.  Each task keeps that many rows
+    a language before the shuffle (window group limit), so neither a common language nor
+    a long text makes a task large.
     """
     rows = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    order = Window.partitionBy("lang").orderBy("h", "sample")
+    order = Window.partitionBy("lang").orderBy("class", "h", "sample")
     picked = (
         rows.select(
             F.col(lang_col).alias("lang"),
+            F.greatest(F.lit(0), F.ceil(F.log2(F.length(text_col) / short_chars))).alias("class"),
             F.xxhash64(F.col(id_col).cast("string")).alias("h"),
-            F.substring(text_col, 1, sample_chars).alias("sample"),
+            F.col(text_col).alias("sample"),
         )
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= sample_texts)
@@ -74,7 +84,11 @@ def fit(
     )
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     languages = sorted({r["lang"] for r in picked}, key=lambda x: (-counts.get(x, 0), x))
-    made = {x: b"".join(letters_only(r["sample"]) for r in sorted((r for r in picked if r["lang"] == x), key=lambda r: r["k"])) for x in languages}
+    made = dict.fromkeys(languages, b"")
+    for r in sorted(picked, key=lambda r: r["k"]):
+        body = letters_only(r["sample"])
+        if not made[r["lang"]] or len(made[r["lang"]]) + len(body) <= dictionary_bytes:
+            made[r["lang"]] += body
     languages = [x for x in languages if len(made[x]) >= 8]
     return LanguageModel(languages, [made[x] for x in languages])
 

@@ -183,7 +183,7 @@ def test_mix_awkward_rows(spark, documents):
 
 def test_tree_deals_out_everything(spark):
     quotas = spark.createDataFrame([("a", 37), ("b", 500), (None, 3), ("z", 0)], "source string, draws long")
-    rows = mixing.splitting_tree(quotas, mixing.MixSettings(levels=3)).collect()
+    rows = mixing.splitting_tree(quotas, 3, 17).collect()
     by = collections.defaultdict(list)
     sizes = collections.Counter()
     for r in rows:
@@ -201,7 +201,7 @@ def test_tree_deals_out_everything(spark):
 def test_hypergeometric_law(spark):
     from pyspark.sql import functions as F
 
-    df = spark.range(4000).select(mixing.hypergeometric(F.lit(12).cast("long"), F.lit(30).cast("long"), F.lit(10).cast("long"), mixing._uniform(F.col("id"))).alias("k"))
+    df = spark.range(4000).select(F.expr(mixing.hypergeometric("12L", "30L", "10L", mixing._uniform("id"))).alias("k"))
     k = np.array([r["k"] for r in df.collect()])
     assert abs(k.mean() - 4.0) < 0.1 and abs(k.var() - 10 * 0.4 * 0.6 * 20 / 29) < 0.15 and k.min() >= 0 and k.max() <= 10
 

@@ -341,6 +341,22 @@ def test_deep_pages_take_linear_time():
     assert html_text.extract(deep) == "words"
 
 
+def test_figures_are_no_letters():
+    for text in ("²½Ⅷ③", "12 ٣ _ ,", "¹ ¼", ""):
+        assert not any(map(str.isalpha, text)) and language_id.letters_only(text) == b""
+    for c in map(chr, range(0x110000)):
+        assert c.isalpha() or not (c.isnumeric() and language_id.letters_only(c).strip()), hex(ord(c))
+    assert language_id.letters_only("x² 一") == " x 一 ".encode()
+
+
+def test_sample_is_of_whole_texts(spark):
+    rows = [(i, "short text " * (i + 1), "aa") for i in range(3)] + [(9, "long " * 5000, "aa"), (10, "only long " * 3000, "bb")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_texts=3)
+    made = dict(zip(model.languages, model.dictionaries, strict=True))
+    assert b"long" not in made["aa"] and len(made["aa"]) == sum(len("short text ") * (i + 1) + 1 for i in range(3))
+    assert made["bb"].count(b"only long") == 3000
+
+
 def test_random_letters_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~language_id.held_out()))
