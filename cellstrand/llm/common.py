@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds as Python objects at a time.
@@ -65,17 +65,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, rows: int, where: Column | None = None, share: float = 0.25, distinct: bool = False) -> DataFrame:
     """At most ``rows`` rows: those with the smallest hash of a key, the same in reruns.
 
-    A count tells which hashes can be among them, so all tasks together, however
-    many, send little more than ``rows`` rows to the driver.
+    A count (of Parquet, from its footers) tells which hashes can be among them, so all
+    tasks together, however many, send little more than ``rows`` rows to the driver.
+    With a condition, which then is tested on few rows only, a table in which fewer than
+    ``share`` of the rows meet it may give fewer.  ``distinct`` takes equal rows once,
+    among those few.
     """
     total = df.count()
-    share = min(1.0, (rows + 6 * rows**0.5 + 20) / max(1, total))
-    h = F.xxhash64(F.col(key).cast("string"))
-    few = df.where(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else df
-    return few.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(rows)
+    part = min(1.0, (rows + 6 * rows**0.5 + 20) / max(1, total) / (1 if where is None else share))
+    h = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40))
+    few = df.where(h < int(part * (1 << 40))) if part < 1 else df
+    few = few if where is None else few.where(where)
+    few = few.distinct() if distinct else few
+    return few.orderBy(h, key).limit(rows)
 
 
 def ids_to_join(ids: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -205,13 +205,14 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict", sample_urls: int = 4000) -> UrlModel:
-    """A model of at most ``sample_urls`` labelled URLs: those with the smallest hash.
+    """A model of at most ``sample_urls`` different labelled URLs: those with the smallest
+    hash.  Rows without a verdict are not labelled.
 
     Suffix and word shares come from one half of them and the trees from the other,
     so the trees don't take a URL's own label from its words.
     """
-    few = labelled.select(F.col(url_col).alias("u"), F.col(verdict_col).alias("v")).where("u is not null").distinct()
-    rows = hash_sample(few, "u", sample_urls).collect()
+    urls = labelled.select(F.col(url_col).alias("u"), F.col(verdict_col).alias("v"))
+    rows = hash_sample(urls, "u", sample_urls, F.col("u").isNotNull() & F.col("v").isNotNull(), distinct=True).collect()
     urls, y = [r["u"] for r in rows], np.array([float(r["v"] == "block") for r in rows])
     if not rows or y.min() == y.max():
         only = 6.0 if len(y) and y[0] else -6.0
@@ -230,7 +231,7 @@ def judge(df: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col:
     split = base.select("id", "url", host.alias("host"), path.alias("path"))
     name, verdict = longest_rule(rules, F.col("host"), F.col("path"))
     ruled = split.select("*", name.alias("rule"), verdict.alias("by_rule"))
-    used = model or fit(ruled.where("by_rule is not null"), "url", "by_rule")
+    used = model or fit(ruled, "url", "by_rule")
 
     def work():
         def step(columns):

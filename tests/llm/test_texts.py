@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import html
 import random
 import re
 
@@ -51,6 +52,46 @@ def test_quality_verdicts():
     assert not quality.measure(" | ".join(prose(60, 6).split()))["kept"]
 
 
+def plain_shares(t, sizes):
+    """Characters in repeated n-grams and in lines equal to an earlier one, counted place by place."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    chars = sum(map(len, w))
+    shares = []
+    for n in sizes:
+        grams = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        inside = {k for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}
+        shares.append(sum(len(w[k]) for k in inside) / max(1, chars))
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        body = sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line)))
+        if body:
+            dup += body * (line in seen)
+            seen.add(line)
+    return shares, dup / max(1, chars)
+
+
+def test_quality_verdict_is_brute_force(spark):
+    limits = quality.QualityLimits()
+    sizes = [n for n, _ in limits.repeated]
+    draw = random.Random(8)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += [" ".join(draw.choice("aa b ccc é |".split()) for _ in range(draw.randint(0, 90))) for _ in range(150)]
+    texts += ["\n".join(" ".join(draw.choice("one two three four five six".split()) for _ in range(6)) for _ in range(draw.randint(1, 12))) for _ in range(150)]
+    seen = collections.Counter()
+    for t in texts:
+        m = quality.measure(t)
+        shares, lines = plain_shares(t, sizes)
+        assert m["repeated"] == pytest.approx(shares) and m["dup_line_chars"] == pytest.approx(lines)
+        n, _, symbols, _, rep = plain_measures(t)
+        failed = n < 20 or 100 * rep > 30 * n
+        kept = not failed and symbols <= limits.symbols_per_word * n and lines <= limits.duplicate_line_chars
+        kept = kept and all(share <= most for share, (_, most) in zip(shares, limits.repeated, strict=True))
+        assert (m["base_failed"], m["kept"]) == (failed, kept)
+        seen[failed, kept] += 1
+    assert min(seen[True, False], seen[False, False], seen[False, True]) > 5
+
+
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -263,9 +304,52 @@ def test_html_scan_is_the_best_region():
     weights = html_text.ScoreWeights(tags={}, tag=-1.3)
     for _ in range(150):
         page = "".join(draw.choice(["<div>", "</div>", "<td>", f" w{k} ", f" x{k} y{k} z{k} "]) for k in range(14))
-        kept = [t for t in html_text.tokens(page) if not t[4]]
-        _, a, b = best_region([-1.3 if t[0] == "tag" else len(t[1].split()) * 1.0 for t in kept])
-        assert html_text.extract(page, weights) == " ".join("".join(" " if t[0] == "tag" else t[1] for t in kept[a:b]).split())
+        read = html_text.scored(page, weights)
+        assert [t[2] for t in read] == [-1.3 if t[0] is None else len(t[0].split()) for t in read]
+        _, a, b = best_region([t[2] for t in read])
+        assert html_text.extract(page, weights) == " ".join("".join(" " if t[0] is None else t[0] for t in read[a:b]).split())
+
+
+def plain_article(page):
+    """What stands in the one ``article`` of a page of the test tables."""
+    inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inside = re.sub(r"</?b>|<!--.*?-->", "", inside, flags=re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inside)).split())
+
+
+def test_html_query_on_held_out_pages(spark):
+    """Every page of the table against its article; also without the labels, where the
+    scan alone tells the region."""
+    from cellstrand.llm.queries import op5_html_extraction
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = op5_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(pages) and all(r["text"] == plain_article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in rows)
+    held_out = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id % 10 = 3").collect()]
+    weights = html_text.fit(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id % 10 <> 3"))
+    scan = everything = 0.0
+    for page in held_out:
+        wanted, bare = plain_article(page), html_text.unlabelled(page)
+        assert html_text.extract(page, weights) == wanted
+        scan += html_text.likeness(html_text.extract(bare, weights), wanted)
+        everything += html_text.likeness(" ".join(t for t, _, score in html_text.scored(bare, weights) if t and score >= 0), wanted)
+    assert scan >= 0.985 * len(held_out) and scan > everything
+
+
+def test_html_scan_decides():
+    story = "<p>" + "a long story in many words. " * 60 + "</p>"
+    assert html_text.extract(f"<body><article>short teaser</article><div>{story}</div></body>").startswith("a long story")
+    assert html_text.extract(f'<body><nav><a href="/">menu</a></nav><div class="review">{story}</div></body>').startswith("a long story")
+    far = "<div><ul><li>" + "</li><li>".join(["x"] * 60) + "</li></ul></div>"
+    assert "last" not in html_text.extract(f"<body><div>{story}</div>{far}<p>last words</p></body>")
+    parts = f'<body><article><div class="post-header"><h1>Title</h1></div>{story}<div class="form factor"><p>End.</p></div><div class="sponsored">Buy.</div></article></body>'
+    found = html_text.extract(parts)
+    assert found.startswith("Title a long") and found.endswith("words. End.")
+
+
+def test_names():
+    assert all(html_text._boilerplate(n) for n in ("ad", "ad-slot", "cookie-notice", "site-footer", "post-comments", "entry_related", "header", "page-header"))
+    assert not any(html_text._boilerplate(n) for n in ("review", "reviews", "post-header", "form", "factor", "no-sidebar", "has-sidebar", "category-social", "tag-ads", "load", "heading", "content-area"))
 
 
 def test_html_table(spark):
@@ -307,6 +391,19 @@ def test_url_model(spark):
     assert url_filter.fit(df.limit(0)).block(["x", None])[0] < 0.5
 
 
+def test_url_model_on_held_out_urls(spark):
+    """Trained on four fifths of the ruled URLs of the table, judged on the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = url_filter.host_and_path("url")
+    _, verdict = url_filter.longest_rule(URL_RULES, host, path)
+    ruled = pages.select("url", verdict.alias("verdict")).where("verdict is not null").distinct()
+    fold = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model = url_filter.fit(ruled.where(~fold))
+    rest = ruled.where(fold).collect()
+    right = sum((p > 0.5) == (r["verdict"] == "block") for p, r in zip(model.block([r["url"] for r in rest]), rest, strict=True))
+    assert len(rest) > 100 and right >= 0.95 * len(rest), (right, len(rest))
+
+
 @pytest.mark.parametrize("text", [None, "", "plain"])
 def test_nothing_to_find(text):
     assert personal_data.base_spans(text) == []
@@ -336,6 +433,17 @@ def test_names_cut_no_article(page):
     assert html_text.extract(page.format(words)) == words
 
 
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        began = time.perf_counter()
+        html_text.extract("<b>" * n + "</i>" * n + "<div></div>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
+
+
 def test_deep_pages_take_linear_time():
     deep = "<div class='sidebar'><main><article>" * 20000 + "words" + "</article></main>" * 20000
     assert html_text.extract(deep) == "words"
