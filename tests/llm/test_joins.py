@@ -263,19 +263,66 @@ def test_search_few_rows(spark):
 
 
 def test_pipeline(spark):
+    """Every stage's rows against a plain version, on all documents of the smallest table."""
+    import public_tokenizers
     from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from cellstrand.llm import language_id, personal_data
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        new = stage(spark, docs, "")
-        assert new.columns == docs.columns, name
-        before, docs = docs.count(), spark.createDataFrame(new.toPandas(), new.schema)
-        if name in ("language_id", "near_duplicates"):
-            assert 0.8 * before <= docs.count() <= before
-    assert docs.where("text rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][a-z]'").count() == 0
-    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    full = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
-    assert full.where("n > 2048").count() == 0 and packed.count() > 0
+    columns = docs.columns
+    rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "personal_data", "source_mixing", "best_fit_packing"]
+    step = lambda k, df: corpus_pipeline.STAGES[k][1](spark, df, "/root/testdata/sf0.001")
+    again = lambda df: spark.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    encoders = language_id.compressors(model)
+    told = {i: language_id.classify(r["text"], model, encoders) for i, r in rows.items()}
+    rows = {i: r for i, r in rows.items() if told[i][0] != "und" and told[i][1] >= language_id.MIN_MARGIN}
+    now = again(step(0, docs))
+    assert now.columns == columns and {r["doc_id"]: r.asDict() for r in now.collect()} == rows and len(rows) >= 190
+
+    classes, _ = classes_of({i: r["text"] for i, r in rows.items()})
+    rows = {i: r for i, r in rows.items() if classes[i] == i}
+    now = again(step(1, now))
+    assert now.columns == columns and {r["doc_id"]: r.asDict() for r in now.collect()} == rows and 150 < len(rows) < 190
+
+    field = personal_data.trained_field()
+    for r in rows.values():
+        r["text"] = personal_data.masked(r["text"], personal_data.all_spans(r["text"], field)[1])
+        r["n_chars"] = len(r["text"])
+    now = again(step(2, now))
+    assert now.columns == columns and {r["doc_id"]: r.asDict() for r in now.collect()} == rows
+    assert now.where("text rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][a-z]'").count() == 0
+
+    size = {i: len(r["text"].split()) for i, r in rows.items()}
+    sources = sorted({r["source"] for r in rows.values()})
+    words = [sum(size[i] for i, r in rows.items() if r["source"] == s) for s in sources]
+    target = water(words, [(5, 2, 1)[k % 3] for k in range(len(sources))], 3)
+    now = again(step(3, now))
+    times = collections.Counter(r["doc_id"] for r in now.collect())
+    assert now.columns == columns and max(times.values()) <= 3 and all(r.asDict() == rows[r["doc_id"]] for r in now.collect())
+    for s, t in zip(sources, target, strict=True):
+        own = {i for i, r in rows.items() if r["source"] == s}
+        assert abs(sum(size[i] * times[i] for i in own) - t) <= max(size[i] for i in own)
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = step(4, now).collect()
+    want = collections.Counter()
+    for i, n in times.items():
+        ids = [*library.encode(rows[i]["text"], add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want[i, k, at, np.array(ids[at : at + 2048], "<u4").tobytes()] += n
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], bytes(r["ids"])) for r in packed) == want
+    places = collections.defaultdict(list)
+    for r in packed:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for found in places.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(n for _, n in found[:k]) for k in range(len(found))] and sum(n for _, n in found) <= 2048
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").agg(F.sum("length")).first()[0] == sum(r["length"] for r in packed)
 
 
 @pytest.mark.parametrize("k", [1, 5])
