@@ -158,5 +158,5 @@ def read_structure(protocol: str) -> ReadStructure:
     """The read structure of a protocol, whatever its case and punctuation."""
     name = re.sub(r"[^0-9A-Za-z_]", "", protocol).lower()
     if name not in PROTOCOLS:
-        raise ValueError(f"No read structure for {protocol} found")
+        raise ValueError(f"unknown protocol {protocol!r}; known are {', '.join(PROTOCOLS)}")
     return ReadStructure(*PROTOCOLS[name])

@@ -145,23 +145,27 @@ def prefix_match(reads: DataFrame, barcodes: DataFrame, seen: str = "seen", list
     return scored.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_q", "_k")
 
 
-def start_position(reads: DataFrame, barcodes: DataFrame, start: int, length: int, sequence: str = "seq", ordinal: str = "ordinal", max_reads: int = 1000, threshold: float = 0.8, listed: str = "barcode") -> dict:
+def position_hits(reads: DataFrame, barcodes: DataFrame, positions: int, length: int, sequence: str = "seq", listed: str = "barcode") -> DataFrame:
+    """(position, hits): reads that have a listed barcode at each of the first places, from 0."""
+    words = barcodes.select(F.col(listed).alias("_w")).distinct()
+    window = lambda k: F.struct(k.alias("position"), F.substring(F.col(sequence), k + 1, F.lit(length)).alias("_w"))
+    cut = reads.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(positions - 1)), window)).alias("x")).select("x.*")
+    return cut.join(words, "_w", "left_semi").groupBy("position").agg(F.count("*").alias("hits"))
+
+
+def start_position(reads: DataFrame, barcodes: DataFrame, start: int, length: int, sequence: str = "seq", ordinal: str = "ordinal", max_reads: int = 10_000, threshold: float = 0.8, listed: str = "barcode") -> dict:
     """Whether enough of the first reads have a listed barcode at ``start``; if not, where most do.
 
     A summary of a bounded number of reads, so an action: {ok, fraction, best, best_fraction}.
     """
     probe = reads.where(F.col(ordinal) < max_reads).select(ordinal, sequence)
-    words = barcodes.select(F.col(listed).alias("_w")).distinct()
-    cut = lambda df, at: df.withColumn("_w", F.substring(F.col(sequence), at + 1, F.lit(length)))
     total = probe.count()
-    hits = cut(probe, F.lit(start)).join(words, "_w", "left_semi").count()
-    share = hits / total if total else 0.0
+    hits = {r["position"]: r["hits"] for r in position_hits(probe, barcodes, start + 10, length, sequence, listed).collect()}
+    share = hits.get(start, 0) / total if total else 0.0
     out = {"ok": share >= threshold, "fraction": share, "best": start, "best_fraction": share}
-    if not out["ok"] and total:
-        scan = cut(probe.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(start + 9)))), F.col("_at")).join(words, "_w", "left_semi")
-        best = scan.groupBy("_at").count().orderBy(F.desc("count"), "_at").first()
-        if best:
-            out |= {"best": best["_at"], "best_fraction": best["count"] / total}
+    if not out["ok"] and hits:
+        best = min(hits, key=lambda k: (-hits[k], k))
+        out |= {"best": best, "best_fraction": hits[best] / total}
     return out
 
 

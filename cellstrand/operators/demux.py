@@ -124,6 +124,12 @@ def match_type_statistics(trimmed: DataFrame) -> DataFrame:
     return trimmed.where("status = 'pass'").groupBy("match_type").agg((F.count("*") * 2).alias("count"))
 
 
+def matched_reads(trimmed: DataFrame) -> DataFrame:
+    """Reads that passed with an exact or partial match, those of both files in one."""
+    good = trimmed.where("status = 'pass'")
+    return good.where("match_type = 'exact'").unionByName(good.where("match_type = 'partial'"))
+
+
 def contigs(alignments: DataFrame, pattern: str = "^chr") -> DataFrame:
     """Names of contigs with aligned reads that match a pattern, whatever its case."""
     return alignments.where(~unaligned() & F.col("rname").rlike(f"(?i){pattern}")).select("rname").distinct()

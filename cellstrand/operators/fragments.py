@@ -95,6 +95,20 @@ def collapsed(pairs: DataFrame) -> DataFrame:
     return _collapse(by_end, ["chrom", "start", "end"])
 
 
+def fragment_ids(pairs: DataFrame) -> DataFrame:
+    """(key, id): distinct fragments as text, numbered from 0 in order of their keys.
+
+    Keys that share their first letters (contig and leading digits) are one part, numbered
+    from the size of the parts before, so no task holds all keys.
+    """
+    keys = pairs.select(fragment_key("chrom", "start", "end", "barcode").alias("key")).distinct()
+    placed = keys.withColumn("part", F.substring("key", 1, 8))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    return placed.withColumn("k", own).join(sizes, "part").select("key", (F.col("first") + F.col("k") - 1).alias("id"))
+
+
 def create_fragments(alignments: DataFrame, min_mapq: int = 30, chromosomes: str = "^chr", barcode: str = "cell_bc", name_pattern: str | None = None, cells: DataFrame | None = None, max_distance: int = 5000, min_distance: int = 10) -> DataFrame:
     return collapsed(paired(eligible_ends(alignments, min_mapq, chromosomes, barcode, name_pattern, cells), min_distance, max_distance))
 

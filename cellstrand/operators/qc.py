@@ -235,11 +235,11 @@ def detect_outliers(cells: DataFrame, comp: int = 1, columns: list[str] | None =
     wanted = columns or list(OUTLIER_COLUMNS)
     used = [c for c in wanted if c in cells.columns]
     if not {"number_of_genes", "total_count_per_cell"} <= set(used) and columns is None:
-        raise ValueError("the quality control metrics must have number_of_genes and total_count_per_cell")
+        raise ValueError(f"to judge cells by default columns, these are needed: {', '.join(OUTLIER_COLUMNS[:2])}")
     if not cells.where(" or ".join(f"`{c}` is null" for c in used)).isEmpty():
-        raise ValueError("NAs found in the selected columns, check the quality control matrix")
+        raise ValueError(f"some cells lack a value in one of {', '.join(used)}")
     if not cells.where(sum((F.col(c) for c in used[1:]), F.col(used[0])) == 0).isEmpty():
-        raise ValueError("Some cells have zero counts. Remove these cells before detecting outliers.")
+        raise ValueError("cells without any count can't be judged; filter them first")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[used].to_numpy(float)
@@ -361,4 +361,4 @@ def correlations(cells: DataFrame, columns: list[str]) -> DataFrame:
 
 def sampled(rows: DataFrame, at_most: int, key: str, seed: int = 1) -> DataFrame:
     """A random subset of fixed size, the same in reruns: the smallest hashes of a key."""
-    return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(at_most)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed).cast("string"))), key).limit(at_most)

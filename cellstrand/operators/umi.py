@@ -139,10 +139,10 @@ def duplication_histogram(kept: DataFrame) -> DataFrame:
 
 
 def dedup_statistics(kept: DataFrame, dropped: DataFrame | None, cells: DataFrame) -> DataFrame:
-    """Per cell: filtered_gene and corrected_UMI."""
+    """Per cell: filtered_gene, corrected_UMI, and shares of the bases, which the report has always as 0."""
     out = cells.select("cell_id").distinct().join(kept.groupBy("cell_id").agg(F.sum("corrected").alias("corrected_UMI")), "cell_id", "left")
     out = out.join(dropped, "cell_id", "left") if dropped is not None else out.withColumn("filtered_gene", F.lit(0).cast("long"))
-    return out.select("cell_id", F.coalesce("filtered_gene", F.lit(0)).alias("filtered_gene"), F.coalesce("corrected_UMI", F.lit(0)).alias("corrected_UMI"))
+    return out.select("cell_id", F.coalesce("filtered_gene", F.lit(0)).alias("filtered_gene"), F.coalesce("corrected_UMI", F.lit(0)).alias("corrected_UMI"), *[F.lit(0.0).alias(f"{base}_prop") for base in "ATGC"])
 
 
 def count_matrix(counts: DataFrame, cells: list[str]) -> DataFrame:

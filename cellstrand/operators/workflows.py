@@ -6,6 +6,8 @@ and peaks, come in as tables.  Stages stay lazy; a sink at the end runs them.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,10 @@ def atac_trim(
         if turn is None:
             turn = barcodes.needs_reverse_complement(probe, valid, start, length).first()["reverse"]
         valid = barcodes.oriented(valid, turn)
+        if not barcode_reads:
+            found = barcodes.start_position(probe, valid, start, length)
+            if not found["ok"]:
+                warnings.warn(f"{found['fraction']:.0%} of the first reads have a listed barcode at {start}; at {found['best']} it is {found['best_fraction']:.0%}", stacklevel=2)
     if barcode_reads:
         made = reads.with_barcode_reads(pairs, rmN, rmlow, min_qual, below_min, valid)
     else:

@@ -1,13 +1,12 @@
-"""All queries of the library by name, and the SQL that says the same.
+"""Queries of the operators by name, and the SQL that says the same.
 
 Each runs over whole tables of the virtual assay.  Doubles are rounded in both to
-six digits.
+six digits.  Further queries are in `steps`, `files`, `containers` and `streams`;
+importing this module registers them all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +15,9 @@ from ..operators import barcodes as bc
 from ..operators import demux, experiment, features, fragments, intervals, mapping, matrix, qc, reads, umi
 from ..operators.annotation import convert_ids
 from .assay import base4, frame, sql
+from .catalog import ORACLE_SQL, QUERIES, query, rounded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # --- fragments on features ----------------------------------------------------------------
@@ -260,9 +245,7 @@ def prefix_mismatch_barcode(spark, d):
 
 @query(sql("v_pairs", "v_cells") + _VALID + ", h AS (SELECT k, count(*) AS n FROM v_pairs, generate_series(0, 8) g(k) WHERE substr(seq2, CAST(k AS INT) + 1, 6) IN (SELECT barcode FROM w) GROUP BY 1) SELECT CAST(k AS INT) AS position, n AS hits FROM h")
 def barcode_start_position(spark, d):
-    words = frame(spark, d, "v_cells").select(F.col("barcode").alias("w")).distinct()
-    cut = frame(spark, d, "v_pairs").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct(k.alias("position"), F.substring("seq2", k + 1, F.lit(6)).alias("w")))).alias("x"))
-    return cut.select("x.*").join(words, "w", "left_semi").groupBy("position").agg(F.count("*").alias("hits"))
+    return bc.position_hits(frame(spark, d, "v_pairs"), frame(spark, d, "v_cells"), 9, 6, "seq2")
 
 
 @query(sql("v_pairs", "v_cells") + _VALID + " SELECT count(*) AS missed, count(*) >= 4000 AS reverse FROM v_pairs WHERE ordinal < 10000 AND substr(seq2, 1, 6) NOT IN (SELECT barcode FROM w)")
@@ -404,26 +387,35 @@ def _alignments(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "v_aligned").groupBy("qname").agg(*[F.min(c).alias(c) for c in ("flag", "rname", "pos", "cigar")])
 
 
-_VOTE = (
+_HITS = (
     _FLAT
     + ", g AS (SELECT chrom, gene_id, min(start) AS gs, max(stop) AS ge, min(strand) AS strand FROM v_exon GROUP BY 1, 2)"
     + ", al AS (SELECT qname, min(flag) AS flag, min(rname) AS rname, min(pos) AS pos, min(cigar) AS cigar FROM v_aligned GROUP BY 1)"
     + ", c AS (SELECT *, CAST(regexp_extract(cigar, '^([0-9]+)M', 1) AS INT) AS m1, CAST(regexp_extract(cigar, 'M([0-9]+)N', 1) AS INT) AS nn, CASE WHEN flag & 16 <> 0 THEN -1 ELSE 1 END AS rs FROM al)"
     + ", seg AS (SELECT qname, rname AS chrom, 0 AS k, pos AS s, pos + m1 AS e, rs FROM c UNION ALL SELECT qname, rname, 2, pos + m1 + nn, pos + m1 + nn + 30, rs FROM c)"
-    + ", hit AS (SELECT seg.qname, seg.k, g.gene_id, (g.strand * rs <> -1) AND EXISTS (SELECT 1 FROM flat f WHERE f.chrom = g.chrom AND f.gene_id = g.gene_id AND s <= f.stop AND e >= f.start) AS ex FROM seg JOIN g ON g.chrom = seg.chrom AND s <= ge AND e >= gs)"
-    + ", v AS (SELECT seg.qname, seg.k, count(h.gene_id) AS bodies, count(DISTINCT CASE WHEN ex THEN h.gene_id END) AS n, min(CASE WHEN ex THEN h.gene_id END) AS gene FROM seg LEFT JOIN hit h ON h.qname = seg.qname AND h.k = seg.k GROUP BY 1, 2)"
-    + ", w AS (SELECT qname, CASE WHEN bodies = 0 THEN 3 WHEN n = 0 THEN 2 WHEN n = 1 THEN 0 ELSE 1 END AS code, CASE WHEN n = 1 THEN gene END AS gene FROM v)"
-    + ", z AS (SELECT qname, count(DISTINCT gene) AS n, min(code) AS least, min(gene) AS gene FROM w GROUP BY 1)"
+    + ", body AS (SELECT seg.*, g.gene_id, g.strand, g.strand * rs <> -1 AS same FROM seg JOIN g ON g.chrom = seg.chrom AND s <= ge AND e >= gs)"
+    # the first exon that a segment meets, and the lengths of the exons before and behind it
+    + ", ex AS (SELECT *, stop - start AS len, sum(stop - start) OVER (PARTITION BY chrom, gene_id ORDER BY start) AS until, sum(stop - start) OVER (PARTITION BY chrom, gene_id) AS total FROM flat)"
+    + ", met AS (SELECT qname, k, body.gene_id, min(start) AS first FROM body JOIN ex ON ex.chrom = body.chrom AND ex.gene_id = body.gene_id AND s <= ex.stop AND e >= ex.start WHERE same GROUP BY 1, 2, 3)"
+    + ", hit AS (SELECT body.qname, body.k, body.gene_id, met.first IS NOT NULL AS ex, CASE body.strand WHEN 1 THEN ex.stop - greatest(ex.start, s) + ex.total - ex.until WHEN -1 THEN least(ex.stop, e) - ex.start + ex.until - ex.len ELSE 0 END AS rest"
+    + " FROM body LEFT JOIN met ON met.qname = body.qname AND met.k = body.k AND met.gene_id = body.gene_id LEFT JOIN ex ON ex.chrom = body.chrom AND ex.gene_id = body.gene_id AND ex.start = met.first)"
+    + ", v AS (SELECT seg.qname, seg.k, count(h.gene_id) AS bodies, count(DISTINCT CASE WHEN ex THEN h.gene_id END) AS n, min(CASE WHEN ex THEN h.gene_id END) AS gene, min(CASE WHEN ex THEN rest END) AS rest FROM seg LEFT JOIN hit h ON h.qname = seg.qname AND h.k = seg.k GROUP BY 1, 2)"
+    + ", w AS (SELECT qname, k, CASE WHEN bodies = 0 THEN 3 WHEN n = 0 THEN 2 WHEN n = 1 THEN 0 ELSE 1 END AS code, CASE WHEN n = 1 THEN gene END AS gene, rest FROM v)"
+    + ", z AS (SELECT qname, count(DISTINCT gene) AS n, min(code) AS least, min(gene) AS gene, max_by(rest, CASE WHEN code = 0 THEN k END) AS rest FROM w GROUP BY 1)"
+    + ", voted AS (SELECT qname, CAST(CASE WHEN n = 1 THEN -rest WHEN n > 1 THEN 1 ELSE least END AS INT) AS map_status, CASE WHEN n = 1 THEN gene END AS gene_id FROM z)"
 )
 
 
-@query(sql("v_aligned", "v_exon") + _VOTE + " SELECT qname, CAST(CASE WHEN n = 1 THEN 0 WHEN n > 1 THEN 1 ELSE least END AS INT) AS code, CASE WHEN n = 1 THEN gene END AS gene_id FROM z")
+@query(sql("v_aligned", "v_exon") + _HITS + " SELECT qname, map_status, gene_id FROM voted")
 def exon_vote(spark, d):
     voted = mapping.vote_reads(mapping.vote_segments(mapping.segments(_alignments(spark, d)), _genes(spark, d)))
-    return voted.select("qname", F.greatest("map_status", F.lit(0)).alias("code"), "gene_id")
+    return voted.select("qname", "map_status", "gene_id")
 
 
-@query()
+@query(
+    sql("v_aligned", "v_exon") + _HITS
+    + ", m AS (SELECT greatest(map_status, 0) AS code FROM voted) SELECT CAST(k AS INT) AS code, count(m.code) AS \"count\", round(100.0 * count(m.code) / (SELECT count(*) FROM m), 6) AS percent FROM generate_series(0, 4) g(k) LEFT JOIN m ON m.code = k GROUP BY 1"
+)
 def exon_mapping_summary(spark, d):
     return rounded(mapping.mapping_summary(mapping.map_exons(_alignments(spark, d), _genes(spark, d))), "percent")
 
@@ -573,23 +565,23 @@ def outliers_mahalanobis(spark, d):
 
 @query()
 def empty_droplets(spark, d):
-    return rounded(qc.empty_droplets(_counts(spark, d), lower=50, rounds=200), "log_probability", "p_value", "fdr")
+    return rounded(qc.empty_droplets(_counts(spark, d), lower=50), "log_probability", "p_value", "fdr")
 
 
 @query()
 def lsi_scores(spark, d):
-    scores = matrix.lsi(matrix.tf_idf(_umi_matrix(spark, d)), rank=6, rounds=4)
+    scores = matrix.lsi(matrix.tf_idf(_umi_matrix(spark, d)))
     return scores.select("barcode", F.transform("scores", lambda x: F.round(x, 4)).alias("scores"))
 
 
 @query()
 def knn_cells(spark, d):
-    return rounded(matrix.nearest_cells(matrix.lsi(matrix.tf_idf(_umi_matrix(spark, d)), rank=6, rounds=4), 10), "distance")
+    return rounded(matrix.nearest_cells(matrix.lsi(matrix.tf_idf(_umi_matrix(spark, d)))), "distance")
 
 
 @query()
 def cell_clusters(spark, d):
-    return matrix.clusters(matrix.nearest_cells(matrix.lsi(matrix.tf_idf(_umi_matrix(spark, d)), rank=6, rounds=4), 10))
+    return matrix.clusters(matrix.nearest_cells(matrix.lsi(matrix.tf_idf(_umi_matrix(spark, d)))))
 
 
 _TYPES = ("unaligned", "aligned_unmapped", "ambiguous_mapping", "mapped_to_intron", "mapped_to_exon")
@@ -639,12 +631,12 @@ def qc_correlations(spark, d):
 
 # --- integration --------------------------------------------------------------------------
 
-_MERGE = f"WITH a AS (SELECT {base4('c_custkey', 6)} AS rna, c_nationkey AS rna_q, concat('k', c_custkey % 300) AS key FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT {base4('s_suppkey', 5)} AS atac, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS atac_q, concat('k', s_suppkey % 300) AS key FROM supplier), m AS (SELECT a.rna, a.rna_q, b.atac, b.atac_q, coalesce(a.key, b.key) AS key FROM a FULL JOIN b ON a.key = b.key)"
+_MERGE = f"WITH a AS (SELECT {base4('c_custkey', 6)} AS rna, c_nationkey AS rna_q, concat('k', c_custkey % 450) AS key FROM customer), b AS (SELECT {base4('s_suppkey', 5)} AS atac, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS atac_q, concat('k', s_suppkey % 300 * 3) AS key FROM supplier), m AS (SELECT a.rna, a.rna_q, b.atac, b.atac_q, coalesce(a.key, b.key) AS key FROM a FULL JOIN b ON a.key = b.key)"
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    a = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 <> 0").selectExpr(f"{base4('c_custkey', 6)} as rna", "c_nationkey as rna_q", "concat('k', c_custkey % 300) as key")
-    b = spark.read.parquet(f"{d}/supplier.parquet").selectExpr(f"{base4('s_suppkey', 5)} as atac", "case when s_suppkey % 7 = 0 then null else s_nationkey end as atac_q", "concat('k', s_suppkey % 300) as key")
+    a = spark.read.parquet(f"{d}/customer.parquet").selectExpr(f"{base4('c_custkey', 6)} as rna", "c_nationkey as rna_q", "concat('k', c_custkey % 450) as key")
+    b = spark.read.parquet(f"{d}/supplier.parquet").selectExpr(f"{base4('s_suppkey', 5)} as atac", "case when s_suppkey % 7 = 0 then null else s_nationkey end as atac_q", "concat('k', s_suppkey % 300 * 3) as key")
     return experiment.outer_merge([a, b])
 
 
@@ -659,9 +651,13 @@ def shared_barcodes(spark, d):
 
 
 @query(
-    "WITH f AS (SELECT concat('g', p_partkey) AS gene_id FROM part), m AS (SELECT concat('g', p_partkey) AS old_id, min(CASE WHEN p_partkey % 5 <> 0 THEN concat('n', p_partkey % 1500) END) AS new_id FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), j AS (SELECT f.gene_id, m.new_id AS x, count(m.new_id) OVER (PARTITION BY m.new_id) AS k FROM f LEFT JOIN m ON m.old_id = f.gene_id) SELECT gene_id, CASE WHEN x IS NULL OR k > 1 THEN gene_id ELSE x END AS new_id FROM j"
+    "WITH f AS (SELECT concat('g', p_partkey) AS gene_id FROM part), m AS (SELECT concat('g', p_partkey) AS old_id, min(CASE WHEN p_partkey % 5 <> 0 THEN concat('n', p_partkey % 1500) END) AS new_id FROM (SELECT p_partkey * CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END AS p_partkey FROM part) GROUP BY 1), j AS (SELECT f.gene_id, m.new_id AS x, count(m.new_id) OVER (PARTITION BY m.new_id) AS k FROM f LEFT JOIN m ON m.old_id = f.gene_id) SELECT gene_id, CASE WHEN x IS NULL OR k > 1 THEN gene_id ELSE x END AS new_id FROM j"
 )
 def convert_gene_ids(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    table = part.where("p_partkey % 3 <> 0").selectExpr("concat('g', p_partkey) as old_id", "case when p_partkey % 5 <> 0 then concat('n', p_partkey % 1500) end as new_id")
+    # a third of the ids is not in the mapping, which has others instead
+    table = part.selectExpr("p_partkey * case when p_partkey % 3 = 0 then -1 else 1 end as p_partkey").selectExpr("concat('g', p_partkey) as old_id", "case when p_partkey % 5 <> 0 then concat('n', p_partkey % 1500) end as new_id")
     return convert_ids(part.selectExpr("concat('g', p_partkey) as gene_id"), table)
+
+
+from . import containers, files, steps, streams  # noqa: E402, F401

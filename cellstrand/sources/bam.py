@@ -3,23 +3,29 @@
     spark.dataSource.register(BamSource)
     spark.read.format("bam").load("a.bam,b.bam")
 
-Partitions are files; BGZF blocks are gzip members, so a file is read as a stream.
-Large inputs are best turned into a Parquet table of alignments once.
+Large files are split at BGZF blocks: a partition is a range of bytes and has the
+records that begin in the blocks that begin there.  Where the first of them begins is
+found by trying places until a run of records makes sense (`first_record`), as records
+need not begin with a block.  The option ``contig`` keeps one contig's alignments;
+others are left out before their fields are decoded.
 """
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from .. import schemas
-from .fastq import open_path
+from .fastq import file_size, file_system, open_seekable
 
 # Fixed values of the format.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -63,12 +69,136 @@ def read_header(f) -> list[tuple[str, int]]:
     return out
 
 
-def alignments(path: str) -> Iterator[tuple]:
-    with gzip.open(open_path(path), "rb") as f:
-        targets = [name for name, _ in read_header(f)]
+class Blocks:
+    """The inflated bytes of a BGZF file from one block on, as one stream."""
+
+    def __init__(self, file, at: int) -> None:
+        self.file, self.next = file, at
+        self.data, self.used = b"", 0
+        #: Where in ``data`` each block begins that is still in it, and where in the file.
+        self.begins: deque[tuple[int, int]] = deque()
+
+    def more(self) -> bool:
+        """The next block's bytes, behind those not read yet; False at the end."""
+        self.file.seek(self.next)
+        head = self.file.read(18)
+        if len(head) < 18:
+            return False
+        size = block_size(head)
+        if size is None:
+            raise ValueError(f"no BGZF block at byte {self.next}")
+        body = zlib.decompress(head + self.file.read(size - 18), wbits=31)
+        if self.used:
+            self.begins = deque((k - self.used, at) for k, at in self.begins)
+            while len(self.begins) > 1 and self.begins[1][0] <= 0:
+                self.begins.popleft()
+            self.data, self.used = self.data[self.used :], 0
+        self.begins.append((len(self.data), self.next))
+        self.data += body
+        self.next += size
+        return True
+
+    def fill(self, n: int) -> bool:
+        """Whether at least so many bytes are there to be read."""
+        while len(self.data) - self.used < n:
+            if not self.more():
+                return False
+        return True
+
+    def block(self) -> int:
+        """Where in the file the block of the next byte begins."""
+        return max((at for k, at in self.begins if k <= self.used), default=self.next)
+
+    def read(self, n: int) -> bytes:
+        self.fill(n)
+        out = self.data[self.used : self.used + n]
+        self.used += len(out)
+        return out
+
+
+def block_size(head: bytes) -> int | None:
+    """Size of the BGZF block that begins with these 18 bytes; None if none does."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"BC\x02\0":
+        return None
+    return struct.unpack_from("<H", head, 16)[0] + 1
+
+
+def next_block(file, at: int, size: int) -> int:
+    """The place of the first block that begins at ``at`` or later; ``size`` if none does.
+
+    What looks like a head must be followed by another or by the end of the file.
+    """
+    while at < size:
+        file.seek(at)
+        window = file.read(1 << 17)
+        k = window.find(b"\x1f\x8b\x08\x04")
+        while k >= 0 and k + 18 <= len(window):
+            step = block_size(window[k : k + 18])
+            if step is not None:
+                file.seek(at + k + step)
+                after = file.read(18)
+                if not after or block_size(after) is not None:
+                    return at + k
+            k = window.find(b"\x1f\x8b\x08\x04", k + 1)
+        if len(window) < 1 << 17:
+            return size
+        at += len(window) - 18
+    return size
+
+
+def _plausible(data: bytes, at: int, targets: int) -> int | None:
+    """Where the record at ``at`` ends, if its fields make sense together."""
+    size, ref, pos, n_name, _, _, n_cigar, _, n_seq, next_ref, next_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+    fits = 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq <= size < 1 << 26
+    if not fits or n_name < 2 or n_seq < 0 or not (-1 <= ref < targets and -1 <= next_ref < targets and pos >= -1 and next_pos >= -1):
+        return None
+    end = at + 36 + n_name
+    if end <= len(data) and (data[end - 1] != 0 or not all(33 <= c < 127 for c in data[at + 36 : end - 1])):
+        return None
+    return at + 4 + size
+
+
+def first_record(stream: Blocks, targets: int, run: int = 6) -> bool:
+    """Goes to a stream's first record: the first place from which ``run`` records, or all
+    up to the end of the file, make sense.  False if there is none."""
+    while stream.fill(40):
+        at, seen = stream.used, 0
+        while seen < run:
+            ahead = at - stream.used
+            if not stream.fill(ahead + 296) and len(stream.data) - stream.used <= ahead:
+                seen = run if len(stream.data) - stream.used == ahead else seen
+                break
+            at = stream.used + ahead
+            end = _plausible(stream.data, at, targets) if len(stream.data) >= at + 40 else None
+            if end is None:
+                break
+            at, seen = end, seen + 1
+        if seen == run:
+            return True
+        stream.used += 1
+    return False
+
+
+def alignments(path: str, begin: int = 0, end: int | None = None, contig: str | None = None) -> Iterator[tuple]:
+    """The records that begin in the blocks that begin in a range of bytes of a file."""
+    with open_seekable(path) as file:
+        stream = Blocks(file, 0)
+        targets = [name for name, _ in read_header(stream)]
         named = lambda i: targets[i] if 0 <= i < len(targets) else None
-        while head := f.read(4):
-            body = f.read(struct.unpack("<i", head)[0])
+        if begin > 0:
+            size = file_size(file)
+            at = next_block(file, begin, size)
+            if at >= size or (end is not None and at >= end):
+                return
+            stream = Blocks(file, at)
+            if not first_record(stream, len(targets)):
+                return
+        wanted = None if contig is None else targets.index(contig) if contig in targets else -2
+        while stream.fill(4) and (end is None or stream.block() < end):
+            head = stream.read(4)
+            body = stream.read(struct.unpack("<i", head)[0])
+            if wanted is not None and struct.unpack_from("<i", body)[0] != wanted:
+                continue
             ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", body)
             at = 32
             qname = body[at : at + n_name - 1].decode()
@@ -85,14 +215,23 @@ def alignments(path: str) -> Iterator[tuple]:
 
 
 class BamReader(DataSourceReader):
+    """Options: ``contig`` (all if not given), ``splitBytes`` (bytes of a partition)."""
+
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.contig = options.get("contig")
+        self.bytes = int(options.get("splitbytes", options.get("splitBytes", 1 << 27)))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        out = []
+        for p in self.paths:
+            with open_seekable(p) as f:
+                size = file_size(f)
+            out += [InputPartition((p, at, min(at + self.bytes, size))) for at in range(0, max(size, 1), self.bytes)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from alignments(partition.value)
+        yield from alignments(*partition.value, self.contig)
 
 
 class BamSource(DataSource):
@@ -135,7 +274,26 @@ def _block(data: bytes) -> bytes:
     return head + packed + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def write_file(path: str, targets: list[tuple[str, int]], rows: Iterable) -> None:
+def write_parts(alignments: DataFrame, targets: list[tuple[str, int]], folder: str) -> list[str]:
+    """A BAM file for each partition of a table of alignments, in a folder that all
+    executors reach; their paths.  A task writes under a name of its own attempt and
+    renames, so a repeated task leaves one file."""
+    names = StructType.fromDDL(schemas.ALIGNMENTS).names
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        system, inner = file_system(folder)
+        system.create_dir(inner, recursive=True)
+        path = f"{inner}/part-{context.partitionId():05d}.bam"
+        rows = (tuple(row[c] for c in names) for batch in batches for row in batch.to_pylist(maps_as_pydicts="lossy"))
+        write_file(f"{path}.{context.taskAttemptId()}", targets, rows, system)
+        system.move(f"{path}.{context.taskAttemptId()}", path)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{context.partitionId():05d}.bam"])], names=["path"])
+
+    return sorted(r["path"] for r in alignments.select(names).mapInArrow(write, "path string").collect())
+
+
+def write_file(path: str, targets: list[tuple[str, int]], rows: Iterable, system=None) -> None:
     """A BAM file of rows in the order of `schemas.ALIGNMENTS`; tags are written as text or numbers."""
     index = {name: i for i, (name, _) in enumerate(targets)}
     text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in targets).encode()
@@ -143,7 +301,7 @@ def write_file(path: str, targets: list[tuple[str, int]], rows: Iterable) -> Non
     for name, size in targets:
         raw = name.encode() + b"\0"
         buffer += struct.pack("<i", len(raw)) + raw + struct.pack("<i", size)
-    with open(path, "wb") as f:
+    with system.open_output_stream(path) if system else open(path, "wb") as f:
         for qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags in rows:
             name = qname.encode() + b"\0"
             ops, number = [], ""
@@ -164,9 +322,11 @@ def write_file(path: str, targets: list[tuple[str, int]], rows: Iterable) -> Non
             core = struct.pack("<iiBBHHHiiii", index.get(rname, -1), -1 if pos is None else pos, len(name), mapq or 0, 4680, len(ops), flag, len(bases), index.get(rnext, -1), -1 if pnext is None else pnext, tlen or 0)
             body = core + name + struct.pack(f"<{len(ops)}I", *ops) + packed + quality + extra
             buffer += struct.pack("<i", len(body)) + body
-            while len(buffer) >= 60000:
-                f.write(_block(buffer[:60000]))
-                buffer = buffer[60000:]
-        if buffer:
-            f.write(_block(buffer))
+            # records don't span blocks unless they are larger than one
+            if len(buffer) >= 48000:
+                for at in range(0, len(buffer), 60000):
+                    f.write(_block(buffer[at : at + 60000]))
+                buffer = b""
+        for at in range(0, len(buffer), 60000):
+            f.write(_block(buffer[at : at + 60000]))
         f.write(_EOF)

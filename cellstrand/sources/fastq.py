@@ -22,16 +22,30 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .. import schemas
 
 
+def file_system(path: str):
+    """(file system, path in it) of a local path or any that pyarrow's file systems know."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def open_seekable(path: str):
+    system, inner = file_system(path)
+    return system.open_input_file(inner)
+
+
+def file_size(file) -> int:
+    file.seek(0, 2)
+    return file.tell()
+
+
 def open_path(path: str) -> io.BufferedReader:
-    """A local path or any that pyarrow's file systems know."""
-    if "://" in path and not path.startswith("file://"):
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        raw = system.open_input_stream(inner, compression=None)
-    else:
-        raw = open(path.removeprefix("file://"), "rb")
-    return gzip.open(raw, "rb") if path.endswith(".gz") else io.BufferedReader(raw) if not isinstance(raw, io.BufferedReader) else raw
+    """The bytes of a file, inflated if its name says so."""
+    system, inner = file_system(path)
+    raw = system.open_input_stream(inner, compression=None)
+    return gzip.open(raw, "rb") if path.endswith(".gz") else io.BufferedReader(raw)
 
 
 def records(path: str) -> Iterator[tuple[str, str, str]]:

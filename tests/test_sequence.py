@@ -33,7 +33,7 @@ def test_read_structure(name):
 
 @pytest.mark.parametrize("name", ["FakeSeq", "errorseq"])
 def test_unknown_protocol(name):
-    with pytest.raises(ValueError, match="No read structure"):
+    with pytest.raises(ValueError, match="unknown protocol"):
         sq.read_structure(name)
 
 

@@ -102,3 +102,26 @@ def test_exon_mapping(spark):
 
 def test_text_statistics(spark):
     assert mapping.mapping_summary(spark.createDataFrame([(-5,), (3,)], "map_status int")).agg(F.sum("count")).first()[0] == 2
+
+
+def test_bam_splits(spark, tmp_path):
+    """Every record comes once, wherever the file is cut, also those longer than a block."""
+    import random
+
+    from cellstrand.sources import bam
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(900):
+        n = draw.choice([0, 5, 60, 150]) if i % 211 else 70000
+        seq = "".join(draw.choice("ACGT") for _ in range(n))
+        rows.append((f"read{i}", 0, f"chr{i % 3 + 1}", i, 30, f"{n}M" if n else "*", None, -1, 0, seq, "I" * n, {"BC": "ACGT" * 3, "YE": str(i)}))
+    path = str(tmp_path / "a.bam")
+    bam.write_file(path, [("chr1", 10**6), ("chr2", 10**6), ("chr3", 10**6)], rows)
+    bam.register(spark)
+    for split in (1 << 30, 20_000, 3_000):
+        got = spark.read.format("bam").option("splitBytes", split).load(path)
+        assert sorted((r["qname"], r["pos"], len(r["seq"]) if r["seq"] != "*" else 0, r["tags"]["YE"]) for r in got.collect()) == sorted((r[0], r[3], len(r[9]), str(r[3])) for r in rows)
+    one = spark.read.format("bam").option("contig", "chr2").option("splitBytes", 20_000).load(path)
+    assert {r["qname"] for r in one.collect()} == {r[0] for r in rows if r[2] == "chr2"}
+    assert spark.read.format("bam").option("contig", "chr9").load(path).count() == 0
