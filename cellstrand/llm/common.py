@@ -60,9 +60,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     nothing.  The table is columnar and has a known size, so small ones are
     broadcast by the optimizer's own threshold and large ones are not.
     """
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables as `materialise` writes them, for the time of a ``with`` block.
+
+    What leaves the block must have been written outside of it: a lost executor may
+    read its sources again.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        made, path = _written(df, name)
+        self.paths.append((df.sparkSession, path))
+        return made
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self.paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, where: Column | None = None, share: float = 0.25, distinct: bool = False) -> DataFrame:

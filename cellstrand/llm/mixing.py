@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, Scratch, materialise
 
 #: Digits of a place have so many bits; a place has 60.
 DIGIT_BITS = 10
@@ -54,9 +54,9 @@ class MixSettings:
     block_documents: int = 64
     most_blocks: int = 1 << 16
     #: Words of a shard, about, and levels of the splitting tree at least and at most.
-    shard_words: int = 100_000_000
+    shard_words: int = 10_000_000
     least_levels: int = 4
-    most_levels: int = 12
+    most_levels: int = 16
     #: Documents of an interval that are put in order without a further digit.
     interval_documents: int = 20_000
     seed: int = 17
@@ -146,9 +146,9 @@ def _named(x: DataFrame, y: DataFrame, how: str = "inner") -> DataFrame:
     return x.join(y.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), how).drop("its")
 
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """A table of few rows a source, written as one file."""
-    return materialise(df.repartition(1), name)
+def _small(df: DataFrame) -> DataFrame:
+    """A table of few rows a source, to be written as one file."""
+    return df.repartition(1)
 
 
 def _digit(place: str, k: int) -> Column:
@@ -164,7 +164,7 @@ def _crossed(sums: DataFrame, key: str) -> DataFrame:
     return summed.groupBy("source").agg(first.alias("x")).select("source", "x.at", "x.left", "x.documents")
 
 
-def last_places(sizes: DataFrame, sums: DataFrame, goal: DataFrame, settings: MixSettings) -> DataFrame:
+def last_places(sizes: DataFrame, sums: DataFrame, goal: DataFrame, settings: MixSettings, scratch: Scratch) -> DataFrame:
     """(source, cut, short): the last place whose document still fits into what the last
     pass takes, and by how many words it falls short; sources without last pass have none.
 
@@ -172,13 +172,13 @@ def last_places(sizes: DataFrame, sums: DataFrame, goal: DataFrame, settings: Mi
     digit, ``goal`` the words that the last pass takes (rest).
     """
     wanted = goal.where("rest > 0").select("source", F.col("rest").alias("left"))
-    found = _small(_crossed(_named(sums, wanted), "digit").select("source", F.col("at").cast("long").alias("prefix"), "left", "documents"), "mix-digit")
+    found = scratch.table(_small(_crossed(_named(sums, wanted), "digit").select("source", F.col("at").cast("long").alias("prefix"), "left", "documents")), "mix-digit")
     digits = 1
     inside = lambda: _named(sizes, found.select("source", "prefix", "left")).where(F.shiftright("place", PLACE_BITS - DIGIT_BITS * digits) == F.col("prefix"))
     while DIGIT_BITS * (digits + 1) <= PLACE_BITS and (found.agg(F.max("documents")).first()[0] or 0) > settings.interval_documents:
         by = inside().groupBy("source", "prefix", "left", _digit("place", digits).alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("documents"))
         next_ = _crossed(by, "digit")
-        found = _small(_named(found.select("source", "prefix"), next_).select("source", (F.col("prefix") * (1 << DIGIT_BITS) + F.col("at")).alias("prefix"), "left", "documents"), "mix-digit")
+        found = scratch.table(_small(_named(found.select("source", "prefix"), next_).select("source", (F.col("prefix") * (1 << DIGIT_BITS) + F.col("at")).alias("prefix"), "left", "documents")), "mix-digit")
         digits += 1
     at = inside().groupBy("source", "prefix", "left", "place").agg(F.sum("size").alias("words"))
     at = at.withColumn("until", F.sum("words").over(Window.partitionBy("source").orderBy("place")))
@@ -189,13 +189,20 @@ def last_places(sizes: DataFrame, sums: DataFrame, goal: DataFrame, settings: Mi
 
 
 def plan(sizes: DataFrame, settings: MixSettings) -> tuple[DataFrame, int]:
-    """(plan, number of shards). The plan has one row a source: words, target, blocks, passes, the place where the last pass ends,
+    """As `planned`, its own tables removed."""
+    with Scratch() as scratch:
+        made, levels = planned(sizes, settings, scratch)
+        return materialise(_small(made), "mix-plan"), 2**levels
+
+
+def planned(sizes: DataFrame, settings: MixSettings, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(plan, levels of the tree).  The plan has one row a source: words, target, blocks, passes, the place where the last pass ends,
     the document taken beyond it, and the runs of draws of its shards.
 
     ``sizes`` has source, size and place, a row a document.
     """
     sums = sizes.groupBy("source", _digit("place", 0).alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("documents"))
-    sums = _small(sums, "mix-sums")
+    sums = scratch.table(_small(sums), "mix-sums")
     totals = sums.groupBy("source").agg(F.sum("words").alias("words"), F.sum("documents").alias("documents"))
     goal = _named(targets(totals.select("source", "words"), settings), totals.select("source", "documents"))
     passes = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("words"), F.lit(0))).cast("long"), F.lit(0).cast("long"))
@@ -203,20 +210,20 @@ def plan(sizes: DataFrame, settings: MixSettings) -> tuple[DataFrame, int]:
     # a source taken as often as may be has no last pass, whatever rounding leaves
     rest = F.when(F.col("passes") < settings.max_repeats, F.greatest(F.col("target") - F.col("passes") * F.col("words"), F.lit(0.0))).otherwise(F.lit(0.0))
     blocks = F.greatest(F.lit(1), F.least(F.lit(settings.most_blocks), F.ceil(F.col("documents") / settings.block_documents))).cast("long")
-    goal = _small(goal.withColumns({"rest": rest, "blocks": blocks}), "mix-goal")
-    cuts = _small(last_places(sizes, sums, goal, settings), "mix-cut")
+    goal = scratch.table(_small(goal.withColumns({"rest": rest, "blocks": blocks})), "mix-goal")
+    cuts = scratch.table(_small(last_places(sizes, sums, goal, settings, scratch)), "mix-cut")
     # of the documents behind, the one that comes nearest to what is still short
     gap = F.abs(F.col("short") - F.col("size"))
     behind = _named(sizes, cuts).where((F.col("place") > F.col("cut")) & (gap < F.col("short")))
     extra = behind.groupBy("source").agg(F.min_by("place", F.struct(gap, F.col("place"))).alias("extra"))
     full = _named(_named(goal, cuts, "left"), extra, "left")
     last = F.when(F.col("cut") >= 0, _block("cut", "blocks") + 1).otherwise(F.when(F.col("extra").isNotNull(), 1).otherwise(0))
-    full = _small(full.withColumn("draws", F.col("passes") * F.col("blocks") + F.coalesce(last, F.lit(0))), "mix-full")
+    full = scratch.table(_small(full.withColumn("draws", F.col("passes") * F.col("blocks") + F.coalesce(last, F.lit(0)))), "mix-full")
     words = goal.agg(F.sum("target")).first()[0] or 0.0
     levels = min(settings.most_levels, max(settings.least_levels, math.ceil(math.log2(max(1.0, words / settings.shard_words)))))
     tree = splitting_tree(full.select("source", "draws"), levels, settings.seed)
     runs = tree.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("first", "count", "shard"))).alias("runs"))
-    return _small(_named(full, runs), "mix-plan"), 2**levels
+    return _named(full, runs), levels
 
 
 def _block(place: str, blocks: str) -> Column:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, ids_to_join, map_rows, materialise, runtime_filters
+from .common import Scratch, give_back, ids_to_join, map_rows, materialise, runtime_filters
 
 _U64 = np.uint64
 
@@ -187,7 +187,7 @@ def verify(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFra
     return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
-def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
+def rare_shingles(sets: DataFrame, settings: JoinSettings, scratch: Scratch) -> DataFrame:
     """(key, id, n, at, short): for each set the shared shingles among its rarest.
 
     In any common order two sets of similarity t share one of the first
@@ -204,8 +204,9 @@ def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
         give_back()
 
     wide = sets.select("id", "shingles").mapInArrow(spread, "id long, s array<long>")
-    rows = materialise(wide.select("id", F.size("s").alias("n"), F.explode("s").alias("key")), "spread")
-    shared = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    rows = scratch.table(wide.select("id", F.size("s").alias("n"), F.explode("s").alias("key")), "spread")
+    # written before the join, so that the rows of a common key can be dealt out there
+    shared = scratch.table(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     order = Window.partitionBy("id").orderBy("df", "key")
     placed = rows.join(shared, "key").withColumns({"k": F.row_number().over(order), "common": F.count("*").over(Window.partitionBy("id"))})
     placed = placed.withColumn("at", F.col("n") - F.col("common") + F.col("k") - 1)
@@ -215,7 +216,7 @@ def rare_shingles(sets: DataFrame, settings: JoinSettings) -> DataFrame:
     return kept.select("key", "id", "n", "at", (F.col("at") < first(F.lit(2.0 * p / (100 + p) - 1e-9))).alias("short"))
 
 
-def between_classes(rows: DataFrame, percent: int) -> DataFrame:
+def between_classes(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of different classes with a rare shingle in common, from
     (key, id, n, at, short, class), that may still be similar enough.
 
@@ -224,8 +225,10 @@ def between_classes(rows: DataFrame, percent: int) -> DataFrame:
     shingles only.  From the first shingle in common on, the sets can share no more
     than the shorter remainder; pairs that this rules out are not made.
     """
-    first = rows.groupBy("key").agg(F.min(F.struct("id", "class")).alias("first")).select("key", F.col("first.class").alias("first_class"))
-    marked = rows.join(first, "key").withColumn("outside", F.col("class") != F.col("first_class"))
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "class")).alias("first"), F.count_if("short").alias("shorts"), F.min("class").alias("least"), F.max("class").alias("most"))
+    # keys of one class, or without a short side, make no pair
+    first = scratch.table(first.where("least <> most and shorts > 0").select("key", F.col("first.class").alias("first_class")), "first")
+    marked = scratch.table(rows.join(first, "key").withColumn("outside", F.col("class") != F.col("first_class")), "marked")
     side = lambda df, s: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "at", "class", "outside")])
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
     near = F.col("x_n") * 100 >= F.col("y_n") * percent
@@ -239,12 +242,16 @@ def between_classes(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each node's component, other than itself.
+    """(node, root): the smallest node of each node's component, other than itself."""
+    with Scratch() as scratch:
+        return materialise(contracted(edges, a, b, max_rounds, scratch), "roots")
 
-    Alternating star contraction; each round is written, so a lost executor
+
+def contracted(edges: DataFrame, a: str, b: str, max_rounds: int, scratch: Scratch) -> DataFrame:
+    """`components` by alternating star contraction; each round is written, so a lost executor
     repeats one round at most.
     """
-    now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "components")
+    now = scratch.table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "components")
     state = None
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
@@ -253,7 +260,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = materialise(new.distinct(), "components")
+        now = scratch.table(new.distinct(), "components")
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if found == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -261,49 +268,51 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError("components did not settle")
 
 
-def found_classes(df: DataFrame, settings: JoinSettings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def found_classes(df: DataFrame, settings: JoinSettings, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(signatures, texts, sets, roots): a row per document, per different text, the
     shingles of the documents that share a bucket, and the `components` of the links."""
-    sig = materialise(signatures(df, settings, id_col, text_col), "signatures")
+    sig = scratch.table(signatures(df, settings, id_col, text_col), "signatures")
     grouped = (
         sig.where("id is not null and n > 0")
         .groupBy("text_key")
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by(F.struct("n", "keys"), "id").alias("s"))
     )
-    texts = materialise(grouped.select("text_key", "id", "copies", "s.n", "s.keys"), "texts")
-    rows = texts.select("id", "n", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
-    members = materialise(
-        rows.join(buckets, "key").select("key", "id", "n", "size", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "buckets"
-    )
-    wanted = materialise(members.groupBy("id").agg(F.count("*").alias("rows")), "wanted")
-    bodies = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    with runtime_filters(df.sparkSession):
-        sets = materialise(shingle_sets(bodies.join(ids_to_join(wanted.where("rows >= 1").select("id")), "id", "left_semi"), settings), "shingles")
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * settings.percent) & (F.col(y) * 100 >= F.col(x) * settings.percent)
-
-    to_first = members.where((F.col("id") != F.col("first")) & fits("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    tried = materialise(to_first, "pairs")
-    links = materialise(verify(tried, sets, settings), "links")
-    roots = components(links)
-
-    classed = (
-        members.join(roots.select(F.col("node").alias("id"), F.col("root")), "id", "left")
-        .join(roots.select(F.col("node").alias("first"), F.col("root").alias("first_root")), "first", "left")
-        .select("key", "id", "n", "size", F.coalesce("root", "id").alias("class"), F.coalesce("first_root", "first").alias("first_class"))
-    )
-    classed = materialise(classed, "classed")
-    x = classed.where(F.col("size") <= settings.all_pairs)
-    y = x.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"))
-    small = x.select("key", F.col("id").alias("a"), F.col("n").alias("a_n")).join(y, "key").where((F.col("a") < F.col("b")) & fits("a_n", "b_n")).select("a", "b")
-    crowded = classed.where(F.col("size") > settings.all_pairs)
-    mixed_keys = crowded.where("class <> first_class").select("key").distinct()
-    mixed_ids = materialise(crowded.join(mixed_keys, "key", "left_semi").groupBy("id").agg(F.min("class").alias("class")), "crowded")
-    rare = rare_shingles(sets.join(mixed_ids, "id", "left_semi"), settings).join(mixed_ids, "id")
-    large = between_classes(materialise(rare, "rare"), settings.percent)
-    rest = small.union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = materialise(links.union(verify(rest, sets, settings)), "links")
-    return sig, texts, sets, components(links)
+    texts = scratch.table(grouped.select("text_key", "id", "copies", "s.n", "s.keys"), "texts")
+    with Scratch() as own:
+        rows = texts.select("id", "n", F.explode("keys").alias("key"))
+        # written before the join, so that the members of a crowded bucket can be dealt out there
+        buckets = own.table(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1"), "buckets")
+        members = own.table(
+            rows.join(buckets, "key").select("key", "id", "n", "size", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "members"
+        )
+        wanted = own.table(members.select("id").distinct(), "wanted")
+        bodies = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+        with runtime_filters(df.sparkSession):
+            sets = scratch.table(shingle_sets(bodies.join(ids_to_join(wanted), "id", "left_semi"), settings), "shingles")
+        fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * settings.percent) & (F.col(y) * 100 >= F.col(x) * settings.percent)
+
+        to_first = members.where((F.col("id") != F.col("first")) & fits("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+        tried = own.table(to_first, "pairs")
+        links = own.table(verify(tried, sets, settings), "links")
+        roots = own.table(contracted(links, "a", "b", 60, own), "roots")
+
+        classed = (
+            members.join(roots.select(F.col("node").alias("id"), F.col("root")), "id", "left")
+            .join(roots.select(F.col("node").alias("first"), F.col("root").alias("first_root")), "first", "left")
+            .select("key", "id", "n", "size", F.coalesce("root", "id").alias("class"), F.coalesce("first_root", "first").alias("first_class"))
+        )
+        classed = own.table(classed, "classed")
+        x = classed.where(F.col("size") <= settings.all_pairs)
+        y = x.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"))
+        small = x.select("key", F.col("id").alias("a"), F.col("n").alias("a_n")).join(y, "key").where((F.col("a") < F.col("b")) & fits("a_n", "b_n")).select("a", "b")
+        crowded = classed.where(F.col("size") > settings.all_pairs)
+        mixed_keys = own.table(crowded.where("class <> first_class").select("key").distinct(), "mixed")
+        mixed_ids = own.table(crowded.join(mixed_keys, "key", "left_semi").groupBy("id").agg(F.min("class").alias("class")), "crowded")
+        rare = rare_shingles(sets.join(mixed_ids, "id", "left_semi"), settings, own).join(mixed_ids, "id")
+        large = between_classes(own.table(rare, "rare"), settings.percent, own)
+        rest = small.union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
+        links = own.table(links.union(verify(rest, sets, settings)), "links")
+        return sig, texts, sets, scratch.table(contracted(links, "a", "b", 60, own), "roots")
 
 
 def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -343,12 +352,24 @@ def linked(xs: list[np.ndarray], ys: list[np.ndarray], x_ids: np.ndarray, y_ids:
     return one[0], two[0], found
 
 
-def compared(texts: DataFrame, sets: DataFrame, roots: DataFrame, settings: JoinSettings, pairs: bool) -> DataFrame:
+def dealt_classes(texts: DataFrame, roots: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(class, block, blocks, id, copies): the texts of classes of several, in blocks."""
+    nodes = roots.select(F.col("node").alias("id"), F.col("root").alias("class")).union(roots.select("root", "root").distinct())
+    by_id = texts.groupBy("id").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
+    with Scratch() as own:
+        nodes = own.table(nodes.join(by_id, "id"), "nodes")
+        full = F.greatest(F.count("*") / settings.block_texts, F.sum("n") / settings.block_shingles)
+        counts = own.table(nodes.groupBy("class").agg(F.ceil(full).cast("int").alias("blocks")), "blocks")
+        placed = nodes.join(counts, "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        return materialise(placed.select("class", "block", "blocks", "id", "copies"), "dealt")
+
+
+def compared(placed: DataFrame, sets: DataFrame, settings: JoinSettings, pairs: bool) -> DataFrame:
     """All links within the classes: as (a, b) with a < b if ``pairs``, or else for each
     text the number of documents that link to it, in parts (id, links).
 
-    A class has as many blocks as its texts and shingles fill, by a hash of the id; a
-    row goes to the groups of its block with each block, so every two texts of a class
+    A class has as many blocks as its texts and shingles fill, by a hash of the id
+    (`dealt_classes`); a row goes to the groups of its block with each block, so every two texts of a class
     meet in one group and no group is much larger than two blocks.
     """
     percent = settings.percent
@@ -402,13 +423,7 @@ def compared(texts: DataFrame, sets: DataFrame, roots: DataFrame, settings: Join
         give_back()
 
     names = ("a", "b") if pairs else ("id", "links")
-    nodes = roots.select(F.col("node").alias("id"), F.col("root").alias("class")).union(roots.select("root", "root").distinct())
-    by_id = texts.groupBy("id").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
-    nodes = materialise(nodes.join(by_id, "id"), "nodes")
-    full = F.greatest(F.count("*") / settings.block_texts, F.sum("n") / settings.block_shingles)
-    counts = nodes.groupBy("class").agg(F.ceil(full).cast("int").alias("blocks"))
-    placed = nodes.join(counts, "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    bodies = placed.select("class", "block", "blocks", "id", "copies").join(sets, "id")
+    bodies = placed.join(sets, "id")
     dealt = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "shingles")
     return dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "block", "id").mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -424,11 +439,13 @@ def near_duplicate_classes(
     links: a, a_copies, b, b_copies: verified links between different texts, each
     text under its smallest id; made when read.
     """
-    sig, texts, sets, roots = found_classes(df, settings, id_col, text_col)
+    # the links are made when read, so these tables stay
+    sig, texts, sets, roots = found_classes(df, settings, id_col, text_col, Scratch())
     copies = texts.select("id", "copies")
     named_copies = lambda side: copies.select(F.col("id").alias(side), F.col("copies").alias(f"{side}_copies"))
-    links = compared(texts, sets, roots, settings, pairs=True).join(named_copies("a"), "a").join(named_copies("b"), "b").select("a", "a_copies", "b", "b_copies")
-    linked_to = compared(texts, sets, roots, settings, pairs=False).groupBy("id").agg(F.sum("links").alias("links"))
+    placed = dealt_classes(texts, roots, settings)
+    links = compared(placed, sets, settings, pairs=True).join(named_copies("a"), "a").join(named_copies("b"), "b").select("a", "a_copies", "b", "b_copies")
+    linked_to = compared(placed, sets, settings, pairs=False).groupBy("id").agg(F.sum("links").alias("links"))
     nodes = (
         texts.select("text_key", "id", "copies")
         .join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
@@ -442,7 +459,11 @@ def near_duplicate_classes(
 
 def class_members(df: DataFrame, settings: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and class_id of `near_duplicate_classes`, without the work of counting links."""
-    sig, texts, _, roots = found_classes(df, settings, id_col, text_col)
+    with Scratch() as scratch:
+        return materialise(_members(*found_classes(df, settings, id_col, text_col, scratch)), "classes")
+
+
+def _members(sig: DataFrame, texts: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     nodes = texts.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("text_key", F.coalesce("root", "id").alias("class_id"))
     named = sig.where("id is not null and n > 0").select("id", "text_key").join(nodes, "text_key", "left").select("id", "class_id")
     return named.union(sig.where("id is null or n = 0").select("id", F.col("id").alias("class_id")))
@@ -453,9 +474,8 @@ def keep_one_of_each(df: DataFrame, settings: JoinSettings = JoinSettings(), id_
 
     Rows with a null id stay.  Of rows with the same id one stays.
     """
-    members = materialise(class_members(df, settings, id_col, text_col), "classes")
-    by_id = members.where("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
-    by_id = materialise(by_id, "kept")
+    by_id = class_members(df, settings, id_col, text_col)
+    by_id = by_id.where("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
     go = materialise(by_id.where("class_id <> id").select(F.col("id").alias(id_col)), "gone")
     kept = df.join(ids_to_join(go), id_col, "left_anti")
     again = by_id.where("rows > 1 and class_id = id").select(F.col("id").alias(id_col))

@@ -59,16 +59,21 @@ class WordTokenizer:
     _LATIN = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x180), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)]
 
     def __init__(self, path: str, limit: int = 100_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.limit = limit
+        self.path, self.limit = path, limit
         of = lambda kind: "".join(re.escape(c) for c in self._LATIN if unicodedata.category(c)[0] == kind)
         letters, numbers = of("L"), of("N")
         self._pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
         self._odd = re.compile("[^" + "".join(re.escape(c) for c in self._LATIN) + "]")
         self._merger, self._id_of, self._closes = self._ranked(path)
         self._clear()
+        give_back()
+
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, read when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _ranked(path: str):
