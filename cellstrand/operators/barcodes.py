@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, reverse_complement, zero_padded
+from .graph import components
 
 
 def histogram(reads: DataFrame, length: int, name: str = "name", ordinal: str = "ordinal", max_reads: int = 1_000_000) -> DataFrame:
@@ -81,11 +82,15 @@ def merge_neighbours(counts: DataFrame, min_count: int = 10, absolute: int = 1)
     """Barcodes one substitution from a more than twice as frequent one, or with
     ``absolute`` reads, are added to it, one after the other.
 
-    The order matters, so the pruned histogram is one group; ``min_count`` bounds it
-    by the number of reads looked at.
+    The order matters only among barcodes that neighbours join, so each connected
+    component of them is a group of its own; barcodes without neighbours stay as they are.
     """
     kept = counts.where(F.col("n") >= min_count).select("barcode", "n")
-    return kept.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: _merge_greedily(pdf, absolute), "barcode string, n long")
+    pairs = within(kept, kept.select(F.col("barcode").alias("other")), 1, "barcode", "other").where("distance = 1 and barcode < other")
+    label = components(pairs, "barcode", "other").withColumnRenamed("node", "barcode")
+    alone = kept.join(label, "barcode", "left_anti").where("n > 0").select("barcode", F.col("n").cast("long").alias("n"))
+    merged = kept.join(label, "barcode").groupBy("label").applyInPandas(lambda pdf: _merge_greedily(pdf, absolute), "barcode string, n long")
+    return alone.unionByName(merged)
 
 
 def ranked_cells(counts: DataFrame, cells: int = 10_000, prefix: str = "CELL_") -> DataFrame:

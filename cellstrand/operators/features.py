@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import Span, has_overlap, overlap_join, tss_bins
+from .intervals import Span, overlap_flags, overlap_join, tss_bins
 
 
 def feature_label(chrom: str = "chrom", start: str = "start", end: str = "end") -> Column:
@@ -40,20 +40,22 @@ def binary(counts: DataFrame) -> DataFrame:
 
 
 def cell_qc_metrics(
-    fragments: DataFrame, key: str, peaks: DataFrame, promoters: DataFrame, tss: DataFrame, enhancers: DataFrame, mito: str = "chrM", min_frags: int = 5, tss_gap: int = 1001
+    fragments: DataFrame, key: str | None, peaks: DataFrame, promoters: DataFrame, tss: DataFrame, enhancers: DataFrame, mito: str = "chrM", min_frags: int = 5, tss_gap: int = 1001
 ) -> DataFrame:
     """Per barcode: total_frags and the parts of them on each kind of region.
 
-    ``key`` tells fragments apart.  A fragment counts once a kind, however many
-    regions it meets; start sites count up to 1000 bases away.
+    ``key`` names a column that tells fragments apart, or is None where their places do.
+    A fragment counts once a kind, however many regions it meets; start sites count up
+    to 1000 bases away.
     """
-    flagged = fragments.select(key, "chrom", "start", "end", "barcode")
-    for name, regions, gap in (("peak", peaks, 0), ("promoter", promoters, 0), ("tss", tss, tss_gap), ("enhancer", enhancers, 0)):
-        flagged = has_overlap(flagged, regions.select("chrom", "start", "end"), key, f"in_{name}", gap=gap)
-    share = lambda c: F.avg(c.cast("double"))
+    own = fragments.select(*([key] if key else []), "chrom", "start", "end", "barcode")
+    kinds = {f"in_{n}": (df, gap) for n, df, gap in (("peak", peaks, 0), ("promoter", promoters, 0), ("tss", tss, tss_gap), ("enhancer", enhancers, 0))}
+    flagged = overlap_flags(own, kinds)
+    n = F.sum("n")
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / n
     made = flagged.groupBy(F.col("barcode").alias("bc")).agg(
-        F.count("*").alias("total_frags"),
-        *[share(F.col(f"in_{n}")).alias(f"frac_{n}") for n in ("peak", "promoter", "tss", "enhancer")],
+        n.alias("total_frags"),
+        *[share(F.col(f"in_{k}")).alias(f"frac_{k}") for k in ("peak", "promoter", "tss", "enhancer")],
         share(F.col("chrom") == mito).alias("frac_mito"),
     )
     return made.where(F.col("total_frags") > min_frags)
@@ -115,10 +117,8 @@ def stats_per_feature(counts: DataFrame) -> DataFrame:
 
 def feature_flags(features: DataFrame, promoters: DataFrame, enhancers: DataFrame, tss: DataFrame, genes: DataFrame) -> DataFrame:
     """Per feature, what it overlaps; ``intergenic`` if no gene."""
-    out = features
-    for name, regions in (("promoter_overlaps", promoters), ("enhancer_overlaps", enhancers), ("tss_overlaps", tss), ("gene_overlaps", genes)):
-        out = has_overlap(out, regions.select("chrom", "start", "end"), "feature", name)
-    return out.withColumn("intergenic", ~F.col("gene_overlaps"))
+    kinds = {"promoter_overlaps": promoters, "enhancer_overlaps": enhancers, "tss_overlaps": tss, "gene_overlaps": genes}
+    return overlap_flags(features, kinds).drop("n").withColumn("intergenic", ~F.col("gene_overlaps"))
 
 
 def tss_profile(fragments: DataFrame, tss: DataFrame, key: str) -> DataFrame:

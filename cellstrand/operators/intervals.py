@@ -9,6 +9,7 @@ deduplicated.  Intervals are closed; starts may be negative.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,18 +57,34 @@ def overlap_join(
     if how == "inner":
         once = F.col("_bin") == F.greatest(_bin("_low", bin_width), _bin(left_span.start, bin_width))
         return l_.join(r, on & once, "inner").drop("_at", "_bin", "_low", "_high")
-    # rows may repeat, so they are told apart for the time of the join
-    key = left.select("*", F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
-    hits = key.where(F.col(left_span.start) <= F.col(left_span.end))
-    hits = hits.withColumn("_at", F.explode(F.sequence(_bin(left_span.start, bin_width), _bin(left_span.end, bin_width))))
-    found = hits.join(r, on, "left_semi").select("_row").distinct()
-    return left.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in left.columns])).join(found, "_row", "left_semi" if how == "semi" else "left_anti").select(left.columns)
-
-
-def has_overlap(left: DataFrame, right: DataFrame, key: str, name: str, left_span: Span = Span(), right_span: Span = Span(), **options) -> DataFrame:
-    """``left`` with a flag: whether its row, told by ``key``, has any match."""
-    hits = overlap_join(left.select(key, left_span.chrom, left_span.start, left_span.end), right, left_span, right_span, **options)
-    return left.join(hits.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    # rows of one interval match alike, so distinct intervals are looked up and rows joined to them
+    places = l_.select(*[F.col(c).alias(n) for c, n in zip(_columns(left_span), ("_c", "_s", "_e"), strict=True)], "_at").distinct()
+    on = (F.col("_c") == F.col(prefix + right_span.chrom)) & (F.col("_at") == F.col("_bin")) & (F.col("_s") <= F.col("_high")) & (F.col("_low") <= F.col("_e"))
+    found = places.join(r, on, "left_semi").select("_c", "_s", "_e").distinct()
+    same = reduce(lambda x, y: x & y, (left[c] == found[n] for c, n in zip(_columns(left_span), ("_c", "_s", "_e"), strict=True)))
+    return left.join(found, same, "left_semi" if how == "semi" else "left_anti")
+
+
+def _columns(span: Span) -> tuple[str, str, str]:
+    return span.chrom, span.start, span.end
+
+
+def overlap_flags(left: DataFrame, regions: dict[str, DataFrame | tuple[DataFrame, int]], **options) -> DataFrame:
+    """The distinct rows of ``left`` (chrom, start, end and others that can be grouped by) with
+    ``n``, how often each is there, and a flag for each kind of region: whether it meets one.
+
+    All kinds are one table in one overlap join, and the flags are bits that one aggregate
+    puts together; a kind may come with a gap.
+    """
+    kinds = []
+    for bit, (_, one) in enumerate(regions.items()):
+        df, gap = one if isinstance(one, tuple) else (one, 0)
+        kinds.append(df.select("chrom", (F.col("start") - gap).alias("start"), (F.col("end") + gap).alias("end"), F.lit(1 << bit).alias("bit")))
+    rows = left.groupBy(*left.columns).agg(F.count("*").alias("n"))
+    hits = overlap_join(rows, reduce(DataFrame.unionByName, kinds), **options)
+    bits = hits.select(*rows.columns, F.col("r_bit").alias("bit")).unionByName(rows.withColumn("bit", F.lit(0)))
+    met = bits.groupBy(*rows.columns).agg(F.bit_or("bit").alias("_bits"))
+    return met.select(*rows.columns, *[(F.col("_bits").bitwiseAND(1 << k) != 0).alias(name) for k, name in enumerate(regions)])
 
 
 def tsv_gap(bases: int) -> int:

@@ -14,16 +14,6 @@ def in_exon(exons: Column | str, start: Column, end: Column) -> Column:
     return F.exists(e, lambda x: (start <= x["end"]) & (end >= x["start"]))
 
 
-def distance_to_end(exons: Column, strand: Column, start: Column, end: Column) -> Column:
-    """Bases from a hit to the transcript's end, over the exons behind it; 0 without strand."""
-    length = lambda x: x["end"] - x["start"]
-    hit = F.filter(exons, lambda x: (start <= x["end"]) & (end >= x["start"]))[0]
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + length(x))
-    plus = hit["end"] - F.greatest(hit["start"], start) + total(F.filter(exons, lambda x: x["start"] > hit["end"]))
-    minus = F.least(hit["end"], end) - hit["start"] + total(F.filter(exons, lambda x: x["end"] < hit["start"]))
-    return F.when(strand == 1, plus).when(strand == -1, minus).otherwise(0)
-
-
 def segments(alignments: DataFrame, key: str = "qname") -> DataFrame:
     """(key, chrom, k, start, end, read_strand), a row per aligned CIGAR segment."""
     strand = F.when(F.col("flag").bitwiseAND(16) != 0, -1).otherwise(1)
@@ -31,20 +21,44 @@ def segments(alignments: DataFrame, key: str = "qname") -> DataFrame:
     return rows.select(key, "chrom", "k", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "read_strand")
 
 
+def gene_parts(genes: DataFrame) -> DataFrame:
+    """Bodies and exons of genes as one table of intervals: (chrom, start, end, gene_id, strand,
+    exon, before, behind), with the bases of exons before and behind each exon."""
+    size = lambda x: (x["end"] - x["start"]).cast("long")
+    total = F.aggregate("exons", F.lit(0).cast("long"), lambda n, x: n + size(x))
+    begin = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+    sums = F.aggregate("exons", begin, lambda a, x: F.struct((a["sum"] + size(x)).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
+    rows = genes.select("chrom", "start", "end", "gene_id", "strand", F.arrays_zip("exons", sums.alias("before")).alias("parts"), total.alias("total"))
+    none = F.lit(0).cast("long")
+    bodies = rows.select("chrom", "start", "end", "gene_id", "strand", F.lit(False).alias("exon"), none.alias("before"), none.alias("behind"))
+    exons = rows.select("chrom", "gene_id", "strand", "total", F.explode("parts").alias("p")).select("chrom", "gene_id", "strand", "total", "p.exons.*", "p.before")
+    behind = F.col("total") - F.col("before") - (F.col("end") - F.col("start"))
+    return bodies.unionByName(exons.select("chrom", "start", "end", "gene_id", "strand", F.lit(True).alias("exon"), "before", behind.alias("behind")))
+
+
 def vote_segments(pieces: DataFrame, genes: DataFrame, key: str = "qname", stranded: bool = True, bin_width: int = 1 << 14) -> DataFrame:
     """Per segment: code (0 one gene's exon, 1 exons of several, 2 a gene but no exon,
-    3 nothing), its gene and the distance to that gene's end."""
-    hits = overlap_join(pieces, genes, bin_width=bin_width)
-    fits = in_exon("r_exons", F.col("start"), F.col("end"))
-    if stranded:
-        fits = fits & (F.col("r_strand") * F.col("read_strand") != -1)
-    rest = distance_to_end(F.col("r_exons"), F.col("r_strand"), F.col("start"), F.col("end"))
-    marked = hits.select(key, "k", F.when(fits, F.col("r_gene_id")).alias("gene"), F.when(fits, rest).alias("rest"))
-    per = marked.groupBy(key, "k").agg(F.collect_set("gene").alias("genes"), F.min("rest").alias("rest"), F.count("*").alias("bodies"))
-    all_ = pieces.select(key, "k").join(per, [key, "k"], "left")
-    n = F.coalesce(F.size("genes"), F.lit(0))
-    code = F.when(F.col("bodies").isNull(), 3).when(n == 0, 2).when(n == 1, 0).otherwise(1)
-    return all_.select(key, "k", code.alias("code"), F.when(n == 1, F.col("genes")[0]).alias("gene"), F.when(n == 1, F.col("rest")).alias("rest"))
+    3 nothing), its gene and the distance to that gene's end.
+
+    Bodies and exons meet the segments in one overlap join.  Its rows, and the segments
+    themselves, are dealt out by read once; all votes after that stay where they are.
+    """
+    hits = overlap_join(pieces, gene_parts(genes), bin_width=bin_width)
+    fits = F.col("r_exon") & (F.col("r_strand") * F.col("read_strand") != -1) if stranded else F.col("r_exon")
+    plus = F.col("r_end") - F.greatest("r_start", "start") + F.col("r_behind")
+    minus = F.least("r_end", "end") - F.col("r_start") + F.col("r_before")
+    rest = F.when(F.col("r_strand") == 1, plus).when(F.col("r_strand") == -1, minus).otherwise(0).cast("long")
+    seen = hits.select(key, "k", F.col("r_gene_id").alias("gene"), (~F.col("r_exon")).alias("body"), F.when(fits, F.struct(F.col("r_start").alias("at"), rest.alias("rest"))).alias("hit"))
+    none = lambda kind: F.lit(None).cast(kind)
+    alone = pieces.select(key, "k", none("string").alias("gene"), F.lit(False).alias("body"), none("struct<at:int,rest:bigint>").alias("hit"))
+    dealt = seen.select(key, "k", "gene", "body", F.col("hit").cast("struct<at:int,rest:bigint>").alias("hit")).unionByName(alone).repartition(key)
+    # the first exon that a segment meets counts for its gene
+    per_gene = dealt.groupBy(key, "k", "gene").agg(F.min("hit").alias("hit"), F.max("body").alias("body"))
+    met = F.when(F.col("hit").isNotNull(), F.col("gene"))
+    per = per_gene.groupBy(key, "k").agg(F.collect_set(met).alias("genes"), F.min("hit.rest").alias("rest"), F.count_if(F.col("body") | F.col("hit").isNotNull()).alias("bodies"))
+    n = F.size("genes")
+    code = F.when(F.col("bodies") == 0, 3).when(n == 0, 2).when(n == 1, 0).otherwise(1)
+    return per.select(key, "k", code.alias("code"), F.when(n == 1, F.col("genes")[0]).alias("gene"), F.when(n == 1, F.col("rest")).alias("rest"))
 
 
 def vote_reads(voted: DataFrame, key: str = "qname") -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 
 def tf_idf(counts: DataFrame, scale: float = 1e4) -> DataFrame:
     """(feature, barcode, value): log1p(share of the cell × cells over the feature's sum × scale)."""
@@ -50,40 +56,141 @@ def abundant_features(counts: DataFrame, mean_above: float = 1.1, cells_above: i
     return counts.where("n > 0").join(kept.select("feature"), "feature", "left_semi")
 
 
+def products(rows: DataFrame, one: str, two: str) -> np.ndarray:
+    """The small matrix of products of two columns of equally long arrays, summed over all
+    rows: each task sums its own, so only matrices of that size travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in (0, 1))
+                total = x.T @ y if total is None else total + x.T @ y
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+
+    parts = rows.select(F.col(one).alias("x"), F.col(two).alias("y")).mapInArrow(run, "i int, v array<double>")
+    summed = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    size = 1 + max((r["j"] for r in summed), default=-1), 1 + max((r["i"] for r in summed), default=-1)
+    out = np.zeros((size[1], size[0]))
+    for r in summed:
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def times(rows: DataFrame, column: str, matrix: np.ndarray, name: str) -> DataFrame:
+    """A column of arrays, each multiplied by a small matrix."""
+    c = F.col(column)
+    cut = [F.array(*[F.lit(float(x)) for x in matrix[:, j]]) for j in range(matrix.shape[1])]
+    dot = lambda w: F.aggregate(F.zip_with(c, w, lambda a, b: a * b), F.lit(0.0), lambda n, x: n + x)
+    return rows.withColumn(name, F.array(*[dot(w) for w in cut]))
+
+
+def orthonormal(rows: DataFrame, column: str) -> DataFrame:
+    """A column of arrays made orthonormal over the rows, by their product matrix, twice
+    for the digits that the first time loses; directions that vanish are dropped."""
+    for _ in range(2):
+        d, v = np.linalg.eigh(products(rows, column, column))
+        kept = d > 1e-13 * max(d.max(), 1e-300)
+        rows = times(rows, column, v[:, kept] / np.sqrt(d[kept]), column)
+    return rows
+
+
 def lsi(values: DataFrame, rank: int = 50, rounds: int = 6, seed: int = 3) -> DataFrame:
     """(barcode, scores): V·D of a truncated singular value decomposition.
 
-    Block power iteration on the small cell side: each round multiplies the long
-    matrix with a (cells × rank) block that is joined in, so no dense matrix of
-    features is built; only cell-sized blocks come to the driver.
+    Block power iteration on the cell side: each round multiplies the long matrix and
+    its transpose with a (cells × rank) block, a table like any other, that is written.
+    Only matrices of rank × rank come to the driver.
     """
-    spark = values.sparkSession
-    cells = [r[0] for r in values.select("barcode").distinct().orderBy("barcode").collect()]
-    features = values.select("feature").distinct().count()
-    k = max(min(rank, len(cells), features) - 1, 0)
+    values = written(values.select("feature", "barcode", "value"), "values")
+    sizes = values.agg(F.countDistinct("barcode").alias("cells"), F.countDistinct("feature").alias("features")).first()
+    cells = values.select("barcode").distinct()
+    k = max(min(rank, sizes["cells"], sizes["features"]) - 1, 0)
     if k == 0:
-        return spark.createDataFrame([(c, []) for c in cells], "barcode string, scores array<double>")
-    wide = min(k + 6, len(cells))  # a few columns more settle sooner
-    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(cells), wide)))[0]
-    index = {c: i for i, c in enumerate(cells)}
-    width = [F.col("b")[j] for j in range(wide)]
+        return cells.withColumn("scores", F.array().cast("array<double>"))
+    wide = min(k + 6, sizes["cells"])  # a few columns more settle sooner
+    uniform = lambda j, salt: (F.pmod(F.xxhash64("barcode", j, F.lit(seed + salt)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    normal = lambda j: F.sqrt(-2 * F.log(uniform(j, 0))) * F.cos(2 * math.pi * uniform(j, 1))
+    block = cells.withColumn("b", F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), normal))
     for _ in range(rounds):
-        used = block
-        side = spark.createDataFrame([(c, used[i].tolist()) for c, i in index.items()], "barcode string, b array<double>")
-        up = values.join(side, "barcode").groupBy("feature").agg(F.array(*[F.sum(F.col("value") * w) for w in width]).alias("b"))
-        down = values.join(up, "feature").groupBy("barcode").agg(F.array(*[F.sum(F.col("value") * w) for w in width]).alias("b"))
-        made = np.zeros((len(cells), wide))
-        for r in down.toLocalIterator():
-            made[index[r["barcode"]]] = r["b"]
-        block = np.linalg.qr(made)[0]
+        used = written(orthonormal(written(block, "block"), "b"), "block")
+        width = len(used.first()["b"])
+        summed = F.array(*[F.sum(F.col("value") * F.col("b")[j]) for j in range(width)])
+        up = values.join(used, "barcode").groupBy("feature").agg(summed.alias("b"))
+        block = values.join(up, "feature").groupBy("barcode").agg(summed.alias("b"))
     # within the last block the small eigenproblem gives the squared singular values
-    inner = used.T @ made
+    both = written(used.withColumnRenamed("b", "used").join(block, "barcode"), "block")
+    inner = products(both, "used", "b")
     vals, vecs = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(-vals)[:k]
-    scores = (used @ vecs[:, order]) * np.sqrt(np.maximum(vals[order], 0))
-    signs = np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(k)])
-    scores = scores * np.where(signs == 0, 1, signs)
-    return spark.createDataFrame([(c, scores[i].tolist()) for c, i in index.items()], "barcode string, scores array<double>")
+    scores = times(both, "used", vecs[:, order] * np.sqrt(np.maximum(vals[order], 0)), "scores").select("barcode", "scores")
+    # of each direction the largest score is positive
+    largest = scores.agg(*[F.max_by(F.col("scores")[j], F.struct(F.abs(F.col("scores")[j]), "barcode")).alias(str(j)) for j in range(len(order))]).first()
+    signs = F.array(*[F.lit(-1.0 if x < 0 else 1.0) for x in largest])
+    return scores.select("barcode", F.zip_with("scores", signs, lambda x, s: x * s).alias("scores"))
+
+
+def principal_components(values: DataFrame, genes: DataFrame, rank: int = 10) -> DataFrame:
+    """(barcode, scores): the first principal components of some genes' centred values.
+
+    A cell is one array over the genes (some hundreds: the most variable); the product
+    matrix of the genes is summed over cells and decomposed on the driver.
+    """
+    names = [r[0] for r in genes.select("feature").distinct().orderBy("feature").collect()]
+    if not names:
+        return values.select("barcode").distinct().withColumn("scores", F.array().cast("array<double>"))
+    index = F.array_position(F.lit(names), F.col("feature")).cast("int") - 1
+    wide = values.join(F.broadcast(genes.select("feature").distinct()), "feature").select("barcode", F.struct(index.alias("i"), "value").alias("x"))
+    held = wide.groupBy("barcode").agg(F.map_from_entries(F.collect_list("x")).alias("m"))
+    full = values.select("barcode").distinct().join(held, "barcode", "left")
+    cell = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    rows = written(full.select("barcode", cell.alias("x"), F.array(F.lit(1.0)).alias("one")), "cells")
+    n = rows.count()
+    if not n:
+        return rows.select("barcode", F.array().cast("array<double>").alias("scores"))
+    mean = products(rows, "one", "x")[0] / n
+    cov = (products(rows, "x", "x") - n * np.outer(mean, mean)) / max(n - 1, 1)
+    vals, vecs = np.linalg.eigh(cov)
+    top = vecs[:, np.argsort(-vals)[:rank]]
+    top = top * np.where(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])] < 0, -1, 1)
+    centre = F.array(*[F.lit(float(x)) for x in mean @ top])
+    return times(rows, "x", top, "scores").select("barcode", F.zip_with("scores", centre, lambda x, c: x - c).alias("scores"))
+
+
+def gene_tree(values: DataFrame, genes: DataFrame) -> DataFrame:
+    """(step, one, two, height): average-linkage clustering of some genes by 1 - correlation.
+
+    Genes are some hundreds, so their correlations are a small matrix; members of a merge
+    are named by their smallest gene.
+    """
+    names = [r[0] for r in genes.select("feature").distinct().orderBy("feature").collect()]
+    few = values.join(F.broadcast(genes.select("feature").distinct()), "feature")
+    n = values.select("barcode").distinct().count()
+    x = few.select("barcode", F.col("feature").alias("a"), F.col("value").alias("x"))
+    pairs = x.join(few.select("barcode", F.col("feature").alias("b"), F.col("value").alias("y")), "barcode").where("a <= b")
+    products_ = {(r["a"], r["b"]): r["s"] for r in pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()}
+    sums = {r["a"]: r["s"] for r in x.groupBy("a").agg(F.sum("x").alias("s")).collect()}
+    at = {g: i for i, g in enumerate(names)}
+    cov = np.zeros((len(names), len(names)))
+    for (a, b), s in products_.items():
+        cov[at[a], at[b]] = cov[at[b], at[a]] = s
+    mean = np.array([sums.get(g, 0.0) for g in names]) / max(n, 1)
+    cov -= n * np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    far = 1 - cov / np.outer(spread, spread)
+    groups = {i: 1 for i in range(len(names))}
+    out = []
+    while len(groups) > 1:
+        live = np.array(sorted(groups))
+        part = far[np.ix_(live, live)] + np.where(np.eye(len(live), dtype=bool), np.inf, 0)
+        i, j = divmod(int(part.argmin()), len(live))
+        a, b = sorted((int(live[i]), int(live[j])))
+        out.append((len(out) + 1, names[a], names[b], float(far[a, b])))
+        joined = (groups[a] * far[a] + groups[b] * far[b]) / (groups[a] + groups[b])
+        far[a], far[:, a] = joined, joined
+        groups[a] += groups.pop(b)
+    return values.sparkSession.createDataFrame(out, "step int, one string, two string, height double")
 
 
 def nearest_cells(scores: DataFrame, k: int = 30, block: int = 4096) -> DataFrame:

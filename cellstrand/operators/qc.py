@@ -259,20 +259,49 @@ def remove_outliers(cells: DataFrame) -> DataFrame:
 # --- empty droplets -----------------------------------------------------------------------
 
 
+def ambient_profile(counts: DataFrame, lower: int) -> DataFrame:
+    """(feature, p): the part of each feature in what barcodes up to ``lower`` counts hold.
+
+    By Good and Turing the features not seen there share as much as those seen once
+    have, evenly; the others share the rest as seen.  Without any seen once, each gets
+    one count more.
+    """
+    totals = counts.groupBy("barcode").agg(F.sum("n").alias("total"))
+    empty = counts.join(totals.where(F.col("total") <= lower), "barcode", "left_semi").groupBy("feature").agg(F.sum("n").alias("a"))
+    every = counts.select("feature").distinct().join(empty, "feature", "left").na.fill(0, ["a"])
+    whole = every.agg(F.sum("a").alias("_s"), F.count("*").alias("_f"), F.count_if(F.col("a") == 1).alias("_once"), F.count_if(F.col("a") == 0).alias("_none"))
+    unseen = F.when((F.col("_once") > 0) & (F.col("_none") > 0) & (F.col("_once") < F.col("_s")), F.col("_once") / F.col("_s"))
+    turing = F.when(F.col("a") == 0, unseen / F.col("_none")).otherwise(F.col("a") / F.nullif(F.col("_s"), F.lit(0)) * (1 - unseen))
+    # with every feature seen nothing is kept back
+    seen = F.when((F.col("_none") == 0) & (F.col("_s") > 0), F.col("a") / F.col("_s"))
+    plain = (F.col("a") + 1) / (F.col("_s") + F.col("_f"))
+    return every.crossJoin(F.broadcast(whole)).select("feature", F.coalesce(turing, seen, plain).alias("p"))
+
+
+def false_discovery(tested: DataFrame, p: str = "p_value") -> DataFrame:
+    """Rows with ``fdr`` after Benjamini and Hochberg.
+
+    Equal p-values have equal rates, so rates are found on the distinct ones, of which a
+    simulation has few, and joined to the rows.
+    """
+    by_p = tested.groupBy(p).agg(F.count("*").alias("_n"))
+    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = by_p.withColumns({"_until": F.sum("_n").over(up), "_all": F.sum("_n").over(Window.partitionBy())})
+    rates = summed.withColumn("_raw", F.col(p) * F.col("_all") / F.col("_until")).withColumn("fdr", F.least(F.lit(1.0), F.min("_raw").over(down)))
+    return tested.join(rates.select(p, "fdr"), p)
+
+
 def empty_droplets(counts: DataFrame, lower: int = 1, rounds: int = 1000, seed: int = 9) -> DataFrame:
     """Per barcode above ``lower``: total, log-probability under the ambient profile,
     Monte-Carlo p value and false discovery rate.
 
-    The profile is an aggregate over barcodes up to ``lower``; one reference table of
-    simulated log-probabilities per total is drawn per total, in pandas, bounded by
-    the number of features and rounds.
+    The profile (`ambient_profile`) has a row a feature and goes to all tasks; one
+    reference table of simulated log-probabilities is drawn per total, in pandas, bounded
+    by the number of features and rounds.
     """
     totals = counts.groupBy("barcode").agg(F.sum("n").alias("total"))
-    empty = counts.join(totals.where(F.col("total") <= lower), "barcode", "left_semi").groupBy("feature").agg(F.sum("n").alias("a"))
-    every = counts.groupBy("feature").agg(F.sum("n").alias("_all")).join(empty, "feature", "left").na.fill(0, ["a"])
-    whole = every.agg(F.sum("a").alias("_s"), F.count("*").alias("_f"))
-    # add-one smoothing stands for a Good-Turing estimate of unseen features
-    profile = every.crossJoin(F.broadcast(whole)).select("feature", ((F.col("a") + 1) / (F.col("_s") + F.col("_f"))).alias("p"))
+    profile = ambient_profile(counts, lower)
     rows = counts.join(totals.where(F.col("total") > lower), "barcode").join(profile, "feature")
     stirling = lambda n: F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise((n + 0.5) * F.log(n.cast("double")) - n + 0.9189385332046727 + 1 / (12 * n))
     own = rows.groupBy("barcode", "total").agg(F.sum(F.col("n") * F.log("p") - stirling(F.col("n"))).alias("log_probability"))
@@ -291,10 +320,7 @@ def empty_droplets(counts: DataFrame, lower: int = 1, rounds: int = 1000, seed:
         return pdf.assign(p_value=p)
 
     tested = own.groupBy("total").applyInPandas(judge, "barcode string, total long, log_probability double, p_value double")
-    n = F.count("*").over(Window.partitionBy())
-    ranked = tested.withColumn("_raw", F.col("p_value") * n / F.row_number().over(Window.orderBy("p_value", "barcode")))
-    down = Window.orderBy(F.desc("p_value"), F.desc("barcode")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("fdr", F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw")
+    return false_discovery(tested).select("barcode", "total", "log_probability", "p_value", "fdr")
 
 
 def cells_of_droplets(tested: DataFrame, fdr: float = 0.01) -> DataFrame:

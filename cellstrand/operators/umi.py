@@ -8,6 +8,7 @@ map-side combining, so a group has a row per distinct pair.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,11 +52,47 @@ def _differences(a: str, b: str) -> int:
     return sum(x != y for x, y in zip(a, b, strict=False)) if len(a) == len(b) else max(len(a), len(b))
 
 
-def _absorb(pairs: Pairs, takes: Callable[[str, int, int, str, int, int], bool], *, self_too: bool = False) -> tuple[Pairs, int]:
-    """Goes through the pairs in order; each is absorbed by the first other that takes it."""
+def _cuts(umi: str, most: int) -> set[str]:
+    """A UMI and what is left of it without up to ``most`` letters."""
+    out = {umi}
+    for _ in range(most):
+        out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+    return out
+
+
+def _candidates(order: list[tuple[str, int]], most: int) -> Callable[[str], list[tuple[str, int]]]:
+    """For a UMI the pairs, in order, that may be within ``most`` edits of it.
+
+    UMIs that close share what is left of them without so many letters, so pairs are
+    found by these keys and not by looking at all; in small groups all are.
+    """
+    if len(order) <= 64:
+        return lambda umi: order
+    by_key: dict[str, set[str]] = {}
+    places: dict[str, list[tuple[str, int]]] = {}
+    for pair in order:
+        places.setdefault(pair[0], []).append(pair)
+    for u in places:
+        for key in _cuts(u, most):
+            by_key.setdefault(key, set()).add(u)
+
+    @functools.cache
+    def near(umi: str) -> list[tuple[str, int]]:
+        found = {u for key in _cuts(umi, most) for u in by_key.get(key, ())}
+        return [pair for u in sorted(found) for pair in places[u]]
+
+    return near
+
+
+def _absorb(pairs: Pairs, takes: Callable[[str, int, int, str, int, int], bool], *, most: int, self_too: bool = False) -> tuple[Pairs, int]:
+    """Goes through the pairs in order; each is absorbed by the first other that takes it.
+
+    Pairs only take UMIs within ``most`` edits.
+    """
     left, order, corrected = dict(pairs), sorted(pairs), 0
+    near = _candidates(order, most)
     for one in order:
-        for two in order:
+        for two in near(one[0]):
             if two not in left or (one == two and not self_too):
                 continue
             if takes(*one, left[one], *two, left[two]):
@@ -69,18 +106,18 @@ def _absorb(pairs: Pairs, takes: Callable[[str, int, int, str, int, int], bool],
 
 def correct_mode_1(pairs: Pairs) -> tuple[Pairs, int]:
     """UMIs one substitution apart, or equal at another position, if rarer or single."""
-    return _absorb(pairs, lambda u, p, n, v, q, m: (n == 1 or n < m) and ((u == v and p != q) or _differences(u, v) == 1))
+    return _absorb(pairs, lambda u, p, n, v, q, m: (n == 1 or n < m) and ((u == v and p != q) or _differences(u, v) == 1), most=1)
 
 
 def correct_mode_2(pairs: Pairs, compat: bool = False) -> tuple[Pairs, int]:
     """UMIs at most one substitution apart within one position, if at most half as
     frequent or single.  ``compat`` lets a pair absorb itself, so single ones vanish."""
-    return _absorb(pairs, lambda u, p, n, v, q, m: abs(p - q) < 2 and (n == 1 or 2 * n < m) and _differences(u, v) <= 1, self_too=compat)
+    return _absorb(pairs, lambda u, p, n, v, q, m: abs(p - q) < 2 and (n == 1 or 2 * n < m) and _differences(u, v) <= 1, most=1, self_too=compat)
 
 
 def correct_mode_3(pairs: Pairs) -> tuple[Pairs, int]:
     """UMIs at most two edits apart, or equal at another position, if not more frequent."""
-    return _absorb(pairs, lambda u, p, n, v, q, m: (n == 1 or n <= m) and ((u == v and p != q) or (u != v and _distance(u, v, 2) <= 2)))
+    return _absorb(pairs, lambda u, p, n, v, q, m: (n == 1 or n <= m) and ((u == v and p != q) or (u != v and _distance(u, v, 2) <= 2)), most=2)
 
 
 CORRECTIONS: dict[int, Callable[[Pairs], tuple[Pairs, int]]] = {0: lambda p: (p, 0), 1: correct_mode_1, 2: correct_mode_2, 3: correct_mode_3}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import FilterSettings, ReadStructure
+from ..sources.storage import written
 from . import barcodes, demux, features, fragments, intervals, mapping, matrix, qc, reads, umi
 from .annotation import check_chromosomes, gene_models
 from .experiment import CellExperiment, from_atac_tables, from_rna_tables
@@ -176,7 +177,8 @@ def rna_report(experiment: CellExperiment) -> dict[str, DataFrame]:
     """The tables behind a report of a counting run."""
     counts = experiment.counts.select("feature", F.col("cell").alias("barcode"), "n")
     used = matrix.abundant_features(counts)
-    log = matrix.log_normalised(used)
+    log = written(matrix.log_normalised(used), "log")
+    variable = written(matrix.most_variable(log), "variable")
     cells = experiment.cells.withColumnRenamed("cell", "cell_id")
     genes = qc.gene_metrics(experiment.counts.select(F.col("feature").alias("gene_id"), F.col("cell").alias("cell_id"), "n"))
     return {
@@ -188,7 +190,9 @@ def rna_report(experiment: CellExperiment) -> dict[str, DataFrame]:
         "metric_correlations": qc.correlations(genes, ["number_of_genes", "total_count_per_cell"]),
         "cpm": matrix.counts_per_million(used),
         "log": log,
-        "variable": matrix.most_variable(log),
+        "variable": variable,
+        "components": matrix.principal_components(log, variable),
+        "tree": matrix.gene_tree(log, variable.orderBy(F.desc("variance"), "feature").limit(50)),
     }
 
 

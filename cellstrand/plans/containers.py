@@ -171,7 +171,7 @@ def atac_run_counts(spark, d):
     sql("v_reads", "v_cells") + _ASSIGNED
     + ", k AS (SELECT DISTINCT cell_id, gene_id, umi, map_status FROM x WHERE cell_id IS NOT NULL AND gene_id IS NOT NULL AND flag & 4 = 0), ct AS (SELECT gene_id, cell_id, count(*) AS n FROM k GROUP BY 1, 2), nc AS (SELECT count(DISTINCT cell_id) AS c FROM v_cells)"
     + ", u AS (SELECT gene_id FROM ct GROUP BY 1 HAVING avg(n) > 1.1 AND count(*) > 5), used AS (SELECT count(*) AS c FROM ct WHERE gene_id IN (SELECT gene_id FROM u))"
-    + " SELECT 'mapping' AS name, 6 * c AS n FROM nc UNION ALL SELECT 'mapping_share', 6 * c FROM nc UNION ALL SELECT 'demultiplexing', 6 UNION ALL SELECT 'metrics', count(DISTINCT cell_id) FROM ct UNION ALL SELECT 'metric_correlations', 1 UNION ALL SELECT 'cpm', c FROM used UNION ALL SELECT 'log', c FROM used UNION ALL SELECT 'variable', least(500, count(*)) FROM u"
+    + " SELECT 'mapping' AS name, 6 * c AS n FROM nc UNION ALL SELECT 'mapping_share', 6 * c FROM nc UNION ALL SELECT 'demultiplexing', 6 UNION ALL SELECT 'metrics', count(DISTINCT cell_id) FROM ct UNION ALL SELECT 'metric_correlations', 1 UNION ALL SELECT 'cpm', c FROM used UNION ALL SELECT 'log', c FROM used UNION ALL SELECT 'variable', least(500, count(*)) FROM u UNION ALL SELECT 'components', count(DISTINCT cell_id) FROM ct WHERE gene_id IN (SELECT gene_id FROM u) UNION ALL SELECT 'tree', greatest(least(50, count(*)) - 1, 0) FROM u"
 )
 def report_tables(spark, d):
     made = workflows.rna_report(workflows.demultiplex_and_count(frame(spark, d, "v_reads"), frame(spark, d, "v_cells"), mito="chr7", mode=0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
-from ..operators import annotation, demux, experiment, features, fragments, matrix, qc, reads, umi
+from ..operators import annotation, demux, experiment, features, fragments, mapping, matrix, qc, reads, umi
 from ..operators import barcodes as bc
 from .assay import frame, sql
 from .catalog import query, rounded
@@ -67,6 +67,12 @@ def read_structures(spark, d):
     return spark.createDataFrame([(n, s.bs1, s.bl1, s.bs2, s.bl2, s.us, s.ul) for n, s in made], "protocol string, bs1 int, bl1 int, bs2 int, bl2 int, us int, ul int")
 
 
+@query(sql("v_exon") + " SELECT gene_id, EXISTS (SELECT 1 FROM v_exon x WHERE x.gene_id = e.gene_id AND x.start <= g + 160 AND x.stop >= g + 130) AS inside FROM (SELECT gene_id, min(start) AS g FROM v_exon GROUP BY 1) e")
+def exon_hits(spark, d):
+    genes = frame(spark, d, "v_exon").groupBy("gene_id").agg(F.min("start").alias("g"), F.collect_list(F.struct("start", "end")).alias("exons"))
+    return genes.select("gene_id", mapping.in_exon("exons", F.col("g") + 130, F.col("g") + 160).alias("inside"))
+
+
 # --- reads --------------------------------------------------------------------------------
 
 _SKIP = sq.FilterSettings(rmlow=False, rmN=False)

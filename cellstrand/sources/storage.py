@@ -30,3 +30,10 @@ def files_of(df: DataFrame) -> list[str]:
     """The files that a DataFrame reads, in order of their names, so that parts written by
     the same tasks go by place."""
     return sorted(df.inputFiles())
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again, which cuts its lineage."""
+    place = new_place(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -120,3 +120,22 @@ def test_reverse_decision(spark):
     reads = spark.createDataFrame([(i, "AAAA") for i in range(5)], "ordinal long, seq string")
     row = bc.needs_reverse_complement(reads, frame(spark, ["CCCC"], "barcode"), 0, 4, misses=4).first()
     assert (row["missed"], row["reverse"]) == (5, True)
+
+
+def test_merge_by_components_is_the_greedy_merge(spark):
+    import random
+
+    import pandas as pd
+
+    draw = random.Random(5)
+    counts = {}
+    for _ in range(40):
+        base = "".join(draw.choice("ACGT") for _ in range(7))
+        counts[base] = draw.randint(5, 60)
+        for _ in range(draw.randint(0, 4)):
+            k = draw.randrange(7)
+            counts[base[:k] + draw.choice("ACGTN") + base[k + 1 :]] = draw.randint(1, 12)
+    rows = list(counts.items())
+    want = {r.barcode: r.n for r in bc._merge_greedily(pd.DataFrame(rows, columns=["barcode", "n"]), 1).itertuples()}
+    got = bc.merge_neighbours(spark.createDataFrame(rows, "barcode string, n long"), 1, 1)
+    assert {r["barcode"]: r["n"] for r in got.collect()} == want

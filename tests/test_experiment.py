@@ -108,3 +108,60 @@ def test_streamed_pairs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("pairs").collect()] == [("c", 10, 90, "X")]
+
+
+def test_principal_components_and_tree(spark):
+    draw = np.random.default_rng(7)
+    dense = draw.random((9, 30)) * (draw.random((9, 30)) < 0.8)
+    rows = [(f"f{i}", f"c{j:02d}", float(dense[i, j])) for i in range(9) for j in range(30) if dense[i, j]]
+    values = spark.createDataFrame(rows, "feature string, barcode string, value double")
+    genes = values.select("feature").distinct()
+    got = np.array([r["scores"] for r in matrix.principal_components(values, genes, 3).orderBy("barcode").collect()])
+    x = (dense - dense.mean(axis=1, keepdims=True)).T
+    u, d, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * d[:3]), atol=1e-8)
+    tree = matrix.gene_tree(values, genes).orderBy("step").collect()
+    far = 1 - np.corrcoef(dense)
+    np.fill_diagonal(far, np.inf)
+    assert len(tree) == 8 and tree[0]["height"] == pytest.approx(far.min())
+
+
+def test_components(spark):
+    import random
+
+    from cellstrand.operators.graph import components
+
+    draw = random.Random(2)
+    edges = [(f"n{draw.randint(0, 60):02d}", f"n{draw.randint(0, 60):02d}") for _ in range(40)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_false_discovery(spark):
+    draw = np.random.default_rng(1)
+    p = np.round(draw.random(200) ** 2, 2) + 0.001
+    got = {r["i"]: r["fdr"] for r in qc.false_discovery(spark.createDataFrame(list(enumerate(map(float, p))), "i int, p_value double")).collect()}
+    order = np.argsort(-p, kind="stable")
+    rate, least = {}, 1.0
+    for rank, i in zip(range(len(p), 0, -1), order, strict=True):
+        least = min(least, p[i] * len(p) / rank)
+        rate[i] = least
+    for i in range(len(p)):  # ties share the best
+        assert got[i] == pytest.approx(min(rate[j] for j in range(len(p)) if p[j] == p[i]))
+
+
+def test_ambient_profile(spark):
+    rows = [("a", "e1", 1), ("b", "e2", 1), ("b", "e1", 2), ("c", "big", 50), ("d", "big", 9)]
+    counts = spark.createDataFrame(rows, "feature string, barcode string, n long")
+    got = {r["feature"]: r["p"] for r in qc.ambient_profile(counts, 5).collect()}
+    assert sum(got.values()) == pytest.approx(1) and got == pytest.approx({"a": 0.25 * 0.75, "b": 0.75 * 0.75, "c": 0.125, "d": 0.125})

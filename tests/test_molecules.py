@@ -102,3 +102,20 @@ def test_eligible_ends(spark):
     rows_ = [("a", 0, "chr1", 100, 60, "50M", "AC"), ("a", 16, "chr1", 200, 60, "50M", "AC"), ("b", 0, "chr1", 1, 10, "50M", "AC"), ("c", 0, "other", 1, 60, "50M", "AC")]
     got = fr.create_fragments(spark.createDataFrame(rows_, schema)).collect()
     assert [tuple(r) for r in got] == [("chr1", 104, 245, "AC", 1)]
+
+
+def test_large_groups_are_corrected_like_small_ones():
+    """Candidates by keys give what looking at all pairs gives."""
+    draw = random.Random(9)
+    pairs = {}
+    for _ in range(260):
+        u = "".join(draw.choice("ACGT") for _ in range(draw.choice([5, 5, 5, 4])))
+        pairs[u, draw.randint(0, 3)] = draw.randint(1, 6)
+    every = umi._candidates
+    for fix in (umi.correct_mode_1, umi.correct_mode_2, umi.correct_mode_3):
+        found = fix(pairs)
+        umi._candidates = lambda order, most: lambda u: order
+        try:
+            assert found == fix(pairs)
+        finally:
+            umi._candidates = every
