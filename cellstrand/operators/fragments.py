@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import fragment_key, reference_length
@@ -34,21 +34,27 @@ def eligible_ends(alignments: DataFrame, min_mapq: int = 30, chromosomes: str =
     return ends.join(known, F.col("barcode") == F.col("_cell"), "left").where("barcode is null or _cell is not null").drop("_cell")
 
 
+def fold_end(state: list | None, at: int, reverse: bool, barcode: str | None, low: int, high: int) -> list | None:
+    """The open fragment [start, end, barcode, complete] of a read name after one more end.
+
+    An end that does not fit closes what is open without result.
+    """
+    if state is None:
+        return [None if reverse else at, at if reverse else None, barcode, False]
+    other = state[0] if reverse else state[1]
+    size = None if other is None else (at - other if reverse else other - at)
+    if size is None or not low <= size <= high or (barcode is None and state[2] is None):
+        return None
+    out = [state[0], state[1], state[2] if state[2] is not None else barcode, True]
+    out[1 if reverse else 0] = at
+    return out
+
+
 def fold_pairs(rows: list[tuple[int, bool, str | None]], low: int, high: int) -> tuple[int, int, str] | None:
     """Ends of one read name in order; the complete fragment that is left, if any."""
-    state: list | None = None  # start, end, barcode, complete
+    state: list | None = None
     for at, reverse, barcode in rows:
-        if state is None:
-            state = [None if reverse else at, at if reverse else None, barcode, False]
-            continue
-        other = state[0] if reverse else state[1]
-        size = None if other is None else (at - other if reverse else other - at)
-        if size is None or not low <= size <= high or (barcode is None and state[2] is None):
-            state = None
-            continue
-        state[2] = state[2] if state[2] is not None else barcode
-        state[1 if reverse else 0] = at
-        state[3] = True
+        state = fold_end(state, at, reverse, barcode, low, high)
     return (state[0], state[1], state[2]) if state and state[3] else None
 
 
@@ -113,6 +119,22 @@ def create_fragments(alignments: DataFrame, min_mapq: int = 30, chromosomes: str
     return collapsed(paired(eligible_ends(alignments, min_mapq, chromosomes, barcode, name_pattern, cells), min_distance, max_distance))
 
 
+def quality_sum(qual: str = "qual", least: int = 15, offset: int = 33) -> Column:
+    """Sum of the base qualities of at least ``least``, by which duplicates are chosen."""
+    values = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - offset)
+    return F.aggregate(values, F.lit(0), lambda n, q: n + F.when(q >= least, q).otherwise(0))
+
+
+def best_molecules(alignments: DataFrame, place: list[str], by_barcode: bool = False, barcode: str = "cell_bc") -> DataFrame:
+    """Alignments without duplicates: of each place the template with the highest
+    `quality_sum` over its mates stays, of equals the first by name; tables without
+    qualities go by mapping quality."""
+    if "qual" not in alignments.columns:
+        return remove_duplicates(alignments, place, [F.desc("mapq"), "qname"], by_barcode, barcode)
+    scored = alignments.withColumn("_score", F.sum(quality_sum()).over(Window.partitionBy("qname")))
+    return remove_duplicates(scored, place, [F.desc("_score"), "qname"], by_barcode, barcode).drop("_score")
+
+
 def mark_duplicates(reads: DataFrame, place: list[str], order: list, by_barcode: bool = False, barcode: str = "cell_bc") -> DataFrame:
     """``duplicate``: true but for the best read of each place.
 

@@ -54,13 +54,17 @@ def trim_summary(trimmed: DataFrame) -> DataFrame:
     return trimmed.agg(count("pass").alias("passed"), count("has_n").alias("removed_n"), count("low_quality").alias("removed_low_quality"))
 
 
-def with_barcode_reads(triples: DataFrame, rmN: bool = False, rmlow: bool = False, min_qual: int = 20, below_min: int = 2, valid: DataFrame | None = None) -> DataFrame:
+def with_barcode_reads(triples: DataFrame, rmN: bool = False, rmlow: bool = False, min_qual: int = 20, below_min: int = 2, valid: DataFrame | None = None, window: tuple[int, int] | None = None) -> DataFrame:
     """Reads with barcodes from reads of their own (array ``barcodes`` of seq and qual).
 
     The barcodes stand before both names, that of the last file first.  With a list
     of valid barcodes each is replaced by its match (`prefix_match`, by quality) and
-    ``match_type`` says exact (all), partial (some match) or none.
+    ``match_type`` says exact (all), partial (some match) or none.  ``window`` (start,
+    length) is the place of the barcode within its read; else it is the whole read.
     """
+    if window:
+        cut = lambda c: F.substring(c, window[0] + 1, window[1])
+        triples = triples.withColumn("barcodes", F.transform("barcodes", lambda b: F.struct(cut(b["seq"]).alias("seq"), cut(b["qual"]).alias("qual"))))
     bad_n = F.exists("barcodes", lambda b: F.instr(b["seq"], "N") > 0)
     bad_q = F.exists("barcodes", lambda b: low_quality_count(b["qual"], min_qual) > below_min)
     status = F.lit("pass")

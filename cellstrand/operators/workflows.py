@@ -162,7 +162,7 @@ def atac_run(
 ) -> tuple[CellExperiment, dict[str, DataFrame]]:
     """From tagged alignments to an experiment; without features the genome is tiled."""
     if remove_duplicates:
-        alignments = fragments.remove_duplicates(alignments, ["rname", "pos", "pnext", "flag"], [F.desc("mapq"), "qname"])
+        alignments = fragments.best_molecules(alignments, ["rname", "pos", "pnext", "flag"])
     frags = fragments.create_fragments(alignments)
     if feats is None:
         if sizes is None:

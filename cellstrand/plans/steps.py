@@ -161,6 +161,14 @@ def detected_barcodes(spark, d):
     return bc.detect(named, 6, frame(spark, d, "v_cells"), max_reads=0, min_count=3, cells=20)
 
 
+@query(sql("v_pairs", "v_cells") + _MATCHED + " SELECT ordinal, name, match_type FROM r")
+def barcode_window_matches(spark, d):
+    rows = _triples(spark, d).where("not contains(substr(seq1, 1, 6), 'N') and not contains(substr(seq2, 1, 6), 'N')")
+    pad = lambda b: F.struct(F.concat(F.lit("NNN"), b["seq"], F.lit("NN")).alias("seq"), F.concat(F.lit("###"), b["qual"], F.lit("##")).alias("qual"))
+    wider = rows.withColumn("barcodes", F.transform("barcodes", pad))
+    return reads.with_barcode_reads(wider, valid=frame(spark, d, "v_cells"), window=(3, 6)).select("ordinal", "name", "match_type")
+
+
 # --- demultiplexing -----------------------------------------------------------------------
 
 
@@ -221,6 +229,15 @@ def start_site_ratios(spark, d):
     return rounded(features.start_site_enrichment(sites, frame(spark, d, "v_frag"), "tss_id"), "enrichment")
 
 
+_SCORE = "20 * length(regexp_replace(qual1, '[^5]', '', 'g')) + 30 * length(regexp_replace(qual1, '[^?]', '', 'g')) + 40 * length(regexp_replace(qual1, '[^I]', '', 'g'))"
+
+
+@query(sql("v_pairs") + f", s AS (SELECT name, ordinal % 400 AS pos, {_SCORE} AS score FROM v_pairs) SELECT name AS qname, CAST(pos AS BIGINT) AS pos FROM s QUALIFY row_number() OVER (PARTITION BY pos ORDER BY score DESC, name) = 1")
+def duplicates_by_quality(spark, d):
+    rows = frame(spark, d, "v_pairs").select(F.col("name").alias("qname"), (F.col("ordinal") % 400).alias("pos"), F.col("qual1").alias("qual"))
+    return fragments.best_molecules(rows, ["pos"]).select("qname", "pos")
+
+
 # --- molecules, cells and features --------------------------------------------------------
 
 _FEW = ", pl AS (SELECT cell_id, gene_id FROM pc GROUP BY 1, 2 HAVING sum(n) > 1), kept AS (SELECT pc.* FROM pc JOIN pl ON pl.cell_id = pc.cell_id AND pl.gene_id = pc.gene_id)"

@@ -14,16 +14,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.demux import flag_class
+from ..operators.fragments import fold_end
 
 OPEN_END = "coordinate int, reverse boolean, barcode string"
 FRAGMENT = "chrom string, start int, end int, barcode string"
 
 
+OPEN_FRAGMENT = "start int, end int, barcode string, complete boolean"
+
+
+def folded_stream(ends: DataFrame, time: str = "ts", delay: str = "10 minutes", min_distance: int = 10, max_distance: int = 5000) -> DataFrame:
+    """Fragments as `fragments.paired` gives them, also for names with three or more ends.
+
+    A name's fragment stays open, changed by each further end, until the watermark has
+    passed its last end; then it comes out if it is complete.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = list(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], *open_[:3])] if open_ and open_[3] else [], columns=["chrom", "start", "end", "barcode"])
+            return
+        rows = pd.concat(batches).sort_values([time, "coordinate", "reverse"])
+        for at, reverse, barcode in zip(rows["coordinate"], rows["reverse"], rows["barcode"], strict=True):
+            open_ = fold_end(open_, int(at), bool(reverse), None if pd.isna(barcode) else barcode, min_distance, max_distance)
+        if open_ is not None:
+            state.update(tuple(open_))
+            state.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([], columns=["chrom", "start", "end", "barcode"])
+
+    marked = ends.withWatermark(time, delay)
+    return marked.groupBy("rname", "qname").applyInPandasWithState(fold, FRAGMENT, OPEN_FRAGMENT, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def paired_stream(ends: DataFrame, time: str = "ts", delay: str = "10 minutes", min_distance: int = 10, max_distance: int = 5000) -> DataFrame:
     """Complete fragments out of a stream of ends (rname, qname, coordinate, reverse, barcode, ts).
 
     A second end of a name completes the first if one is forward and one reverse, the
-    distance fits and a barcode is there; either way the name is free again.
+    distance fits and a barcode is there; either way the name is free again, so a
+    fragment comes out at once.  Names with three or more ends need `folded_stream`.
     """
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

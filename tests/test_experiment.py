@@ -165,3 +165,25 @@ def test_ambient_profile(spark):
     counts = spark.createDataFrame(rows, "feature string, barcode string, n long")
     got = {r["feature"]: r["p"] for r in qc.ambient_profile(counts, 5).collect()}
     assert sum(got.values()) == pytest.approx(1) and got == pytest.approx({"a": 0.25 * 0.75, "b": 0.75 * 0.75, "c": 0.125, "d": 0.125})
+
+
+def test_folded_stream_is_the_batch_fold(spark, tmp_path):
+    import random
+
+    from cellstrand.operators import fragments
+
+    draw = random.Random(8)
+    rows = [("c", f"q{draw.randint(0, 40)}", draw.randint(0, 300), draw.random() < 0.5, draw.choice(["X", None]), i) for i in range(160)]
+    ends = spark.createDataFrame(rows, "rname string, qname string, coordinate int, reverse boolean, barcode string, ord long")
+    timed = ends.selectExpr("rname", "qname", "coordinate", "reverse", "barcode", "timestamp_seconds(1700000000 + ord) as ts")
+    # a late end of another name moves the watermark past all
+    last = spark.sql("select 'c' as rname, 'zz' as qname, 1 as coordinate, true as reverse, 'X' as barcode, timestamp_seconds(1800000000) as ts")
+    for k, df in enumerate((timed.where("second(ts) < 30"), timed.where("second(ts) >= 30"))):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last.write.mode("append").parquet(str(tmp_path / "in"))
+    found = stream.folded_stream(spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in")))
+    q = found.writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = fragments.paired(ends).collect()
+    assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, want)) and len(want) > 3
