@@ -289,7 +289,87 @@ def clusters(neighbours: DataFrame) -> DataFrame:
     return neighbours.sparkSession.createDataFrame(sorted(found.items()), "barcode string, cluster int")
 
 
-def layout(scores: DataFrame, groups: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Two coordinates (the first reduced axes), cluster and cell columns."""
-    out = scores.select("barcode", F.try_element_at("scores", F.lit(1)).alias("x"), F.try_element_at("scores", F.lit(2)).alias("y")).join(groups, "barcode", "left")
+# The curve 1 / (1 + a d^2b) that stands for a least distance of 0.1 and a spread of 1.
+CURVE_A, CURVE_B = 1.576943, 0.8950609
+
+
+def _smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(barcode, names, weights) of (barcode, names, distances): how strongly each neighbour
+    belongs, by a width at which the strengths sum to the logarithm of their number."""
+    for batch in batches:
+        made = []
+        for distances in batch.column(2).to_pylist():
+            d = np.array(distances, float)
+            d = np.maximum(d - (d[d > 0].min() if (d > 0).any() else 0.0), 0)
+            low, high = 1e-12, max(1e-12, 64 * d.max())
+            for _ in range(50):
+                mid = (low + high) / 2
+                low, high = (low, mid) if np.exp(-d / mid).sum() > math.log2(max(len(d), 2)) else (mid, high)
+            made.append(np.exp(-d / high))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], names=["barcode", "names", "weights"])
+
+
+def fuzzy_edges(neighbours: DataFrame) -> DataFrame:
+    """(a, b, weight) with a < b: the union of what both cells think of their nearness."""
+    others = neighbours.where("barcode <> neighbour")
+    lists = others.groupBy("barcode").agg(F.array_sort(F.collect_list(F.struct("neighbour", "distance"))).alias("l"))
+    lists = lists.select("barcode", F.col("l.neighbour").alias("names"), F.col("l.distance").alias("distances"))
+    kind = others.schema["barcode"].dataType.simpleString()
+    sided = lists.mapInArrow(_smooth, f"barcode {kind}, names array<{kind}>, weights array<double>")
+    flat = sided.select("barcode", F.explode(F.arrays_zip("names", "weights")).alias("x")).select("barcode", F.col("x.names").alias("other"), F.col("x.weights").alias("w"))
+    both = flat.groupBy(F.least("barcode", "other").alias("a"), F.greatest("barcode", "other").alias("b"))
+    return both.agg((1 - F.exp(F.sum(F.log1p(-F.least("w", F.lit(1 - 1e-12)))))).alias("weight"))
+
+
+def umap(neighbours: DataFrame, scores: DataFrame, epochs: int = 30, negatives: int = 5, group: int = 256, seed: int = 7) -> DataFrame:
+    """(barcode, x, y): a layout in which neighbours attract and others repel each other.
+
+    It starts from the first two reduced axes.  In an epoch edges pull by their weight,
+    one join and one aggregate; for repulsion cells are dealt into new small groups by a
+    hash, and each is pushed by a few others of its group.  Positions are a table that is
+    written each epoch, so nothing grows on the driver.  Rows are bounded by the edges.
+    """
+    edges = written(fuzzy_edges(neighbours), "edges")
+    pulls = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    axis = lambda k: F.coalesce(F.try_element_at("scores", F.lit(k)), F.lit(0.0))
+    start = scores.select("barcode", axis(1).alias("x"), axis(2).alias("y"))
+    reach = start.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
+    jitter = lambda salt: F.pmod(F.xxhash64("barcode", F.lit(seed + salt)), F.lit(1 << 20)) / float(1 << 20) * 0.01
+    now = written(start.select("barcode", (F.col("x") * 10 / reach + jitter(0)).alias("x"), (F.col("y") * 10 / reach + jitter(1)).alias("y")), "layout")
+    groups = max(1, now.count() // group)
+    kind = now.schema["barcode"].dataType.simpleString()
+
+    def push(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("barcode")
+        y = pdf[["x", "y"]].to_numpy()
+        moved = np.zeros_like(y)
+        for k in range(1, min(negatives, len(y) - 1) + 1):
+            gap = y - np.roll(y, k * max(1, len(y) // (negatives + 1)), axis=0)
+            d = (gap**2).sum(axis=1, keepdims=True)
+            moved += np.clip(2 * CURVE_B / ((0.001 + d) * (1 + CURVE_A * d**CURVE_B)) * gap, -4, 4)
+        return pd.DataFrame({"barcode": pdf["barcode"], "dx": moved[:, 0], "dy": moved[:, 1]})
+
+    for epoch in range(epochs):
+        rate = 1.0 - epoch / epochs
+        other = now.select(F.col("barcode").alias("b"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        met = pulls.join(now.withColumnRenamed("barcode", "a"), "a").join(other, "b")
+        d = (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2
+        strength = F.when(d > 0, -2 * CURVE_A * CURVE_B * F.pow(d, CURVE_B - 1) / (1 + CURVE_A * F.pow(d, CURVE_B))).otherwise(0.0)
+        clip = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
+        pull = met.groupBy(F.col("a").alias("barcode")).agg(
+            (F.sum(F.col("weight") * clip(strength * (F.col("x") - F.col("ox")))) / F.sum("weight")).alias("px"),
+            (F.sum(F.col("weight") * clip(strength * (F.col("y") - F.col("oy")))) / F.sum("weight")).alias("py"),
+        )
+        away = now.groupBy(F.pmod(F.xxhash64("barcode", F.lit(seed + 10 + epoch)), F.lit(groups)).alias("g")).applyInPandas(push, f"barcode {kind}, dx double, dy double")
+        joined = now.join(pull, "barcode", "left").join(away, "barcode", "left")
+        step = lambda at, p, q: (F.col(at) + rate * (F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0)) / negatives)).alias(at)
+        now = written(joined.select("barcode", step("x", "px", "dx"), step("y", "py", "dy")), "layout")
+    return now
+
+
+def layout(scores: DataFrame, groups: DataFrame, cells: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Two coordinates (those of `umap` if given, else the first reduced axes), cluster and cell columns."""
+    if places is None:
+        places = scores.select("barcode", F.try_element_at("scores", F.lit(1)).alias("x"), F.try_element_at("scores", F.lit(2)).alias("y"))
+    out = places.join(groups, "barcode", "left")
     return out.join(cells, "barcode", "left") if cells is not None else out

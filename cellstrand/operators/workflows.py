@@ -217,6 +217,7 @@ def atac_report(made: dict[str, DataFrame], subset: int = 500) -> dict[str, Data
 
 
 def reduced(counts: DataFrame, rank: int = 50, neighbours: int = 30) -> DataFrame:
-    """(barcode, x, y, cluster): TF-IDF, truncated decomposition, neighbours, communities."""
-    scores = matrix.lsi(matrix.tf_idf(counts), rank)
-    return matrix.layout(scores, matrix.clusters(matrix.nearest_cells(scores, neighbours)))
+    """(barcode, x, y, cluster): TF-IDF, truncated decomposition, neighbours, layout, communities."""
+    scores = written(matrix.lsi(matrix.tf_idf(counts), rank), "scores")
+    near = written(matrix.nearest_cells(scores, neighbours), "neighbours")
+    return matrix.layout(scores, matrix.clusters(near), places=matrix.umap(near, scores))

@@ -351,3 +351,15 @@ def experiment_folder(spark, d):
         back.features.select(F.lit("features").alias("name"), "feature", none("cell", "string"), none("n", "long")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("SELECT 'nations' AS name, 25 AS n_rows, 2 AS headings UNION ALL SELECT 'regions', 3, 2")
+def report_page(spark, d):
+    place = new_place(spark, "report")
+    nations, regions = table(spark, d, "nation", "n_nationkey", "n_name"), table(spark, d, "region", "r_regionkey", "'<b>' as r_name")
+    sinks.write_report({"nations": nations, "regions": regions}, place, rows=25)
+    sinks.write_report({"nations": nations.limit(0), "regions": regions}, f"{place}-short", rows=3)
+    counted = lambda c, mark: F.size(F.split(c, mark)) - 1
+    section = lambda name, c: spark.read.text(place if name == "nations" else f"{place}-short").select(F.lit(name).alias("name"), c.alias("part"))
+    parts = section("nations", F.split("value", "<h2>")[1]).unionByName(section("regions", F.split("value", "<h2>")[2]))
+    return parts.select("name", (counted("part", "<tr>") - 1).alias("n_rows"), counted("part", "<th>").alias("headings"))

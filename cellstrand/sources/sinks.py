@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,22 @@ def write_lines(rows: DataFrame, column: str, path: str) -> None:
 def write_matrix(counts: DataFrame, path: str) -> None:
     """A long matrix (feature, barcode, n) as Parquet."""
     counts.write.mode("overwrite").parquet(path)
+
+
+def write_report(tables: dict[str, DataFrame], path: str, title: str = "Report", rows: int = 200) -> None:
+    """One HTML page with a section a table, of at most so many rows each (it says so).
+
+    A report is for reading, so its rows are bounded and put together on the driver; the
+    page itself is written by Spark.
+    """
+    cell = lambda x: html.escape("" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x))
+    parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
+    for name, df in tables.items():
+        found = df.limit(rows + 1).collect()
+        head = "".join(f"<th>{cell(c)}</th>" for c in df.columns)
+        body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in found[:rows])
+        more = f"<p>The first {rows} rows.</p>" if len(found) > rows else ""
+        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>{more}")
+    spark = next(iter(tables.values())).sparkSession
+    page = "".join([*parts, "</body></html>"])
+    spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -187,3 +187,22 @@ def test_folded_stream_is_the_batch_fold(spark, tmp_path):
     q.stop()
     want = fragments.paired(ends).collect()
     assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, want)) and len(want) > 3
+
+
+def test_layout_keeps_neighbours_together(spark):
+    """Three clouds far apart in eight dimensions, two of them one in the first two, end up apart."""
+    draw = np.random.default_rng(5)
+    points = {f"c{i:02d}": draw.normal(size=8) + 9 * np.eye(8)[3 * (i % 3)] for i in range(60)}
+    scores = spark.createDataFrame([(c, v.tolist()) for c, v in points.items()], "barcode string, scores array<double>")
+    near = matrix.nearest_cells(scores, 10)
+    edges = matrix.fuzzy_edges(near).collect()
+    assert all(0 < r["weight"] <= 1 and r["a"] < r["b"] for r in edges)
+    got = {r["barcode"]: np.array([r["x"], r["y"]]) for r in matrix.umap(near, scores, epochs=15, group=30).collect()}
+    assert set(got) == set(points)
+    apart = {}
+    for a in got:
+        for b in got:
+            if a < b:
+                apart.setdefault(tuple(sorted((int(a[1:]) % 3, int(b[1:]) % 3))), []).append(np.linalg.norm(got[a] - got[b]))
+    mean = {k: np.mean(v) for k, v in apart.items()}
+    assert min(mean[k] for k in mean if k[0] != k[1]) > 2 * max(mean[k] for k in mean if k[0] == k[1])
