@@ -54,6 +54,8 @@ class SearchSettings:
     calibration_queries: int = 128
     block_vectors: int = 4096
     block_queries: int = 8192
+    #: Queries of a task that walks the tree, about.
+    walk_queries: int = 128
     seed: int = 5
 
 
@@ -371,7 +373,9 @@ def search(
                 names=["id", "v", "group", "leaves"],
             )
 
-    once = index.where(queries).groupBy("id").agg(F.min("v").alias("v"))
+    # walks take milliseconds each, so tasks get few queries, whatever their bytes
+    chosen = index.where(queries)
+    once = chosen.repartition(chosen.count() // settings.walk_queries + 1, "id").groupBy("id").agg(F.min("v").alias("v"))
     asked = materialise(once.mapInArrow(walk, "id long, v array<double>, group int, leaves array<int>"), "queries")
     held, visited = np.bincount(group_of, sizes, groups).astype(np.int64), np.zeros(groups, np.int64)
     for r in asked.groupBy("group").count().collect():
