@@ -11,7 +11,9 @@ The result keeps one signed byte per code point, the change of the count from on
 prefix to the next.  `count_at` and `longest_within` answer how many tokens a
 truncated text has, and how much of a text fits a budget, without encoding again.
 
-Distinct pieces are computed once and kept in a bounded table per worker.
+Distinct pieces are computed once and kept in a table per worker: at most 500,000 pieces,
+400,000 pairs of tokens and 100,000 beginnings, some 200 MB where texts are as varied as
+that.
 
 Defined cases: a null text counts as empty and has 0 tokens; repeated rows get equal
 results; a text of any length takes time linear in it.
@@ -42,7 +44,7 @@ _SHORT = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 class PrefixCounter:
     """Prefix token counts for a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str, limit: int = 200_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         whole = json.loads(Path(path).read_text(encoding="utf-8"))
         model = whole["model"]
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
