@@ -279,14 +279,60 @@ def louvain(edges: list[tuple[str, str, float]], seed: int = 1) -> dict[str, int
     return {x: first.setdefault(group[i], len(first) + 1) for i, x in enumerate(names)}
 
 
-def clusters(neighbours: DataFrame) -> DataFrame:
+def moved_labels(edges: DataFrame, rounds: int = 8, seed: int = 4) -> DataFrame:
+    """(node, label): nodes of a weighted graph (a, b, weight; a <= b) moved, round by round,
+    to the neighbouring community that gains modularity most.
+
+    Half of the nodes, by a hash, may move in a round, so neighbours don't swap places
+    for ever.  Joins and aggregates only; labels are written each round.
+    """
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+    degree = written(ends.groupBy("node").agg(F.sum("weight").alias("degree")), "degrees")
+    between = written(ends.where("node <> other"), "ends")
+    whole = degree.agg(F.sum("degree")).first()[0] or 1.0
+    labels = degree.select("node", "degree", F.col("node").alias("label"))
+    for k in range(rounds):
+        held = labels.groupBy("label").agg(F.sum("degree").alias("held"))
+        near = between.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("links"))
+        stay = labels.select("node", "label", F.lit(0.0).alias("links"))
+        tried = near.unionByName(stay).groupBy("node", "label").agg(F.sum("links").alias("links"))
+        own = labels.select("node", "degree", F.col("label").alias("own"))
+        scored = tried.join(held, "label").join(own, "node")
+        rest = F.col("held") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0.0)
+        gain = F.round(F.col("links") - F.col("degree") * rest / whole, 9)
+        best = scored.groupBy("node", "degree", "own").agg(F.max_by("label", F.struct(gain, F.col("label") == F.col("own"), "label")).alias("best"))
+        free = F.pmod(F.xxhash64("node", F.lit(seed + k)), F.lit(2)) == 0
+        labels = written(best.select("node", "degree", F.when(free, F.col("best")).otherwise(F.col("own")).alias("label")), "labels")
+    return labels.select("node", "label")
+
+
+def clusters(neighbours: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     """(barcode, cluster): communities of the neighbour graph.
 
-    A cell-sized graph, k edges a cell, is put together on the driver.
+    While the graph has more than ``most_edges`` edges its nodes are put together by
+    `moved_labels`, communities becoming nodes; the graph that is left, whose size is
+    bounded, is divided on the driver.
     """
-    rows = neighbours.where("barcode <> neighbour").select(F.least("barcode", "neighbour").alias("a"), F.greatest("barcode", "neighbour").alias("b")).distinct().collect()
-    found = louvain([(r["a"], r["b"], 1.0) for r in rows])
-    return neighbours.sparkSession.createDataFrame(sorted(found.items()), "barcode string, cluster int")
+    pairs = neighbours.where("barcode <> neighbour").select(F.least("barcode", "neighbour").alias("a"), F.greatest("barcode", "neighbour").alias("b")).distinct()
+    edges = written(pairs.withColumn("weight", F.lit(1.0)), "edges")
+    members = None
+    size = edges.count()
+    while size > most_edges:
+        labels = moved_labels(edges)
+        named = lambda c, labels=labels: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+        joined = edges.join(named("a"), "a").join(named("b"), "b")
+        fewer = written(joined.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.sum("weight").alias("weight")), "edges")
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        members = labels if members is None else members.join(further, "label").select("node", F.col("next").alias("label"))
+        members = written(members, "members")
+        before, size, edges = size, fewer.count(), fewer
+        if size > 0.9 * before:
+            raise RuntimeError(f"the neighbour graph has no communities to put together: {size} edges are left")
+    found = louvain([(r["a"], r["b"], r["weight"]) for r in edges.collect()])
+    made = neighbours.sparkSession.createDataFrame(sorted(found.items()), "barcode string, cluster int")
+    if members is None:
+        return made
+    return members.join(made.withColumnRenamed("barcode", "label"), "label").select(F.col("node").alias("barcode"), "cluster")
 
 
 # The curve 1 / (1 + a d^2b) that stands for a least distance of 0.1 and a spread of 1.

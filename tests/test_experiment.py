@@ -79,6 +79,18 @@ def test_tf_idf_and_reduction(spark):
     assert {groups[f"c{j:02d}"] for j in range(10)}.isdisjoint({groups[f"c{j:02d}"] for j in range(10, 20)})
 
 
+def test_communities_of_a_large_graph(spark):
+    """A graph over the driver's bound is put together first; rings of cliques stay apart."""
+    edges = [(f"c{k}n{i}", f"c{k}n{j}") for k in range(6) for i in range(8) for j in range(8) if i != j]
+    edges += [(f"c{k}n0", f"c{(k + 1) % 6}n1") for k in range(6)]
+    near = spark.createDataFrame([(a, 1, b, 0.5) for a, b in edges], "barcode string, rank int, neighbour string, distance double")
+    whole = {r["barcode"]: r["cluster"] for r in matrix.clusters(near).collect()}
+    parts = {r["barcode"]: r["cluster"] for r in matrix.clusters(near, most_edges=40).collect()}
+    for found in (whole, parts):
+        assert len(found) == 48 and len(set(found.values())) == 6
+        assert all(found[f"c{k}n{i}"] == found[f"c{k}n0"] for k in range(6) for i in range(8))
+
+
 def test_lsi_is_the_decomposition(spark):
     draw = np.random.default_rng(4)
     dense = draw.random((12, 8)) * (draw.random((12, 8)) < 0.7)
