@@ -15,10 +15,16 @@ def in_exon(exons: Column | str, start: Column, end: Column) -> Column:
 
 
 def segments(alignments: DataFrame, key: str = "qname") -> DataFrame:
-    """(key, chrom, k, start, end, read_strand), a row per aligned CIGAR segment."""
+    """(key, chrom, k, start, end, read_strand), a row per aligned CIGAR segment.
+
+    Alignments share few different CIGARs, so each is taken apart once, from place 0.
+    """
+    aligned = alignments.where(F.col("flag").bitwiseAND(4) == 0)
+    parts = aligned.select("cigar").distinct().select("cigar", aligned_segments(F.lit(0), "cigar").alias("parts"))
     strand = F.when(F.col("flag").bitwiseAND(16) != 0, -1).otherwise(1)
-    rows = alignments.where(F.col("flag").bitwiseAND(4) == 0).select(key, F.col("rname").alias("chrom"), strand.alias("read_strand"), F.posexplode(aligned_segments("pos", "cigar")).alias("k", "s"))
-    return rows.select(key, "chrom", "k", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "read_strand")
+    rows = aligned.select(key, F.col("rname").alias("chrom"), "pos", "cigar", strand.alias("read_strand")).join(parts, "cigar")
+    rows = rows.select(key, "chrom", "pos", "read_strand", F.posexplode("parts").alias("k", "s"))
+    return rows.select(key, "chrom", "k", (F.col("pos") + F.col("s.start")).alias("start"), (F.col("pos") + F.col("s.end")).alias("end"), "read_strand")
 
 
 def gene_parts(genes: DataFrame) -> DataFrame:
