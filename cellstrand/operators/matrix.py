@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..sources.storage import written
 
@@ -79,11 +80,20 @@ def products(rows: DataFrame, one: str, two: str) -> np.ndarray:
 
 
 def times(rows: DataFrame, column: str, matrix: np.ndarray, name: str) -> DataFrame:
-    """A column of arrays, each multiplied by a small matrix."""
-    c = F.col(column)
-    cut = [F.array(*[F.lit(float(x)) for x in matrix[:, j]]) for j in range(matrix.shape[1])]
-    dot = lambda w: F.aggregate(F.zip_with(c, w, lambda a, b: a * b), F.lit(0.0), lambda n, x: n + x)
-    return rows.withColumn(name, F.array(*[dot(w) for w in cut]))
+    """A column of arrays, each multiplied by a small matrix, in batches of rows."""
+    kept = [c for c in rows.columns if c != name]
+    at = rows.columns.index(column)
+    schema = StructType([*[rows.schema[c] for c in kept], StructField(name, ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                made = pa.array(list(x @ matrix), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(rows_at[c]) for c in kept], made], names=[*kept, name])
+
+    rows_at = {c: k for k, c in enumerate(rows.columns)}
+    return rows.mapInArrow(run, schema)
 
 
 def orthonormal(rows: DataFrame, column: str) -> DataFrame:
