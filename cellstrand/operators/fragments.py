@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from ..functions.sequence import fragment_key, reference_length
 
 
-def eligible_ends(alignments: DataFrame, min_mapq: int = 30, chromosomes: str = "^chr", barcode: str = "cell_bc", name_pattern: str | None = None, cells: DataFrame | None = None) -> DataFrame:
+def eligible_ends(alignments: DataFrame, min_mapq: int = 30, chromosomes: str = "^chr", barcode: str = "cell_bc", name_pattern: str | None = None, cells: DataFrame | None = None, first: int = 0) -> DataFrame:
     """(ord, rname, qname, coordinate, reverse, barcode) of the alignments that may end a fragment.
 
-    Forward reads give a start four bases in, reverse ones an end five bases in.
+    Forward reads give a start four bases in, reverse ones an end five bases in; contigs
+    begin at place ``first``.
     The barcode is a tag, or what a pattern finds in the read name.  A list of cells
     drops other barcodes, not reads without one.
     """
     code = F.nullif(F.regexp_extract("qname", name_pattern, 0), F.lit("")) if name_pattern else F.col(barcode)
     reverse = F.col("flag").bitwiseAND(16) != 0
     stop = F.col("pos") + F.when(F.col("cigar").isNull() | (F.col("cigar") == "*"), 1).otherwise(reference_length("cigar"))
-    rows = alignments.where((F.col("mapq") >= min_mapq) & (F.col("flag").bitwiseAND(4) == 0) & (F.col("pos") >= 0) & F.col("rname").rlike(f"(?i){chromosomes}"))
+    rows = alignments.where((F.col("mapq") >= min_mapq) & (F.col("flag").bitwiseAND(4) == 0) & (F.col("pos") >= first) & F.col("rname").rlike(f"(?i){chromosomes}"))
     ends = rows.select(
         F.col("ordinal").alias("ord") if "ordinal" in alignments.columns else F.col("pos").cast("long").alias("ord"),
         "rname",
@@ -115,8 +116,8 @@ def fragment_ids(pairs: DataFrame) -> DataFrame:
     return placed.withColumn("k", own).join(sizes, "part").select("key", (F.col("first") + F.col("k") - 1).alias("id"))
 
 
-def create_fragments(alignments: DataFrame, min_mapq: int = 30, chromosomes: str = "^chr", barcode: str = "cell_bc", name_pattern: str | None = None, cells: DataFrame | None = None, max_distance: int = 5000, min_distance: int = 10) -> DataFrame:
-    return collapsed(paired(eligible_ends(alignments, min_mapq, chromosomes, barcode, name_pattern, cells), min_distance, max_distance))
+def create_fragments(alignments: DataFrame, min_mapq: int = 30, chromosomes: str = "^chr", barcode: str = "cell_bc", name_pattern: str | None = None, cells: DataFrame | None = None, max_distance: int = 5000, min_distance: int = 10, first: int = 0) -> DataFrame:
+    return collapsed(paired(eligible_ends(alignments, min_mapq, chromosomes, barcode, name_pattern, cells, first), min_distance, max_distance))
 
 
 def quality_sum(qual: str = "qual", least: int = 15, offset: int = 33) -> Column:

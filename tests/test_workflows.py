@@ -1,5 +1,5 @@
 from cellstrand.functions.sequence import FilterSettings, ReadStructure
-from cellstrand.operators import features, reads, workflows
+from cellstrand.operators import demux, features, reads, workflows
 
 PAIR = "ordinal long, name string, seq1 string, qual1 string, seq2 string, qual2 string, barcodes array<struct<seq:string,qual:string>>"
 
@@ -59,3 +59,23 @@ def test_knee(spark):
     totals = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate([10000] * 5 + [9000] * 5 + [8000] * 5 + [20] * 50 + [10] * 200)], "bc string, total int")
     row = features.knee_points(features.size_ranks(totals), lower=1).first()
     assert row["inflection"] == 8000 and row["knee"] >= 8000
+
+
+def test_cells_that_share_a_barcode(spark):
+    cells = spark.createDataFrame([("A", "AAAA", 0), ("B", "AAAA", 1), ("C", "CCCC", 2), ("D", "GGGG", 3)], "cell_id string, barcode string, ord long")
+    reads_ = spark.createDataFrame([(b,) for b in ("AAAA", "AAAT", "CCCC", "CCCT", "GGGG", None)], "cell_bc string")
+    made = demux.assign_cells(reads_, cells, 1)
+    assert {r["cell_bc"]: (r["cell_id"], r["matched_bc"]) for r in made.collect()} == {
+        "AAAA": (None, None), "AAAT": (None, None), "CCCC": ("C", "CCCC"), "CCCT": ("C", "CCCC"), "GGGG": ("D", "GGGG"), None: (None, None)
+    }
+
+
+def test_atac_run_keeps_the_order_of_equal_fragments(spark):
+    """Of fragments as frequent the first by key text takes the sum, which places that were moved would change."""
+    schema = "qname string, flag int, rname string, pos int, mapq int, cigar string, pnext int, cell_bc string, ordinal long"
+    ends = [("a", 0, 1096, "AC"), ("a", 16, 1500, "AC"), ("b", 0, 86, "AC"), ("b", 16, 1500, "AC"), ("c", 0, -4, "AC"), ("c", 16, 99, "AC")]
+    rows = [(q, flag, "chr1", pos, 60, "1M", 0, b, i) for i, (q, flag, pos, b) in enumerate(ends)]
+    region = spark.createDataFrame([("chr1", 0, 95), ("chr1", 980, 995)], "chrom string, start int, end int")
+    _, tables = workflows.atac_run(spark.createDataFrame(rows, schema), region, region, region, region, first=-4)
+    kept = {(r["start"], r["end"]): r["count"] for r in tables["fragments"].collect()}
+    assert kept == {(1100, 1496): 2, (0, 95): 1}
