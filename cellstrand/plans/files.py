@@ -98,10 +98,8 @@ def bam_region(spark, d):
 
 @query(sql("v_aligned") + f" SELECT rname AS cell_bc, count(*) AS n, min(pos) AS first FROM ({_ALIGNED}) GROUP BY 1")
 def bam_per_cell(spark, d):
-    rows = _alignments(spark, d)
-    names = [name for name, _ in _CHROMS]
-    files = [bam.write_parts(rows.where(F.col("rname") == name).coalesce(1), _CHROMS, new_place(spark, name))[0] for name in names]
-    return bam.one_file_per_cell(spark, files, names).groupBy("cell_bc").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    made = bam.write_cells(_alignments(spark, d), _CHROMS, new_place(spark, "cells"), "rname")
+    return bam.one_file_per_cell(spark, [path for _, path in made], [name for name, _ in made]).groupBy("cell_bc").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 @query(sql("v_aligned") + " SELECT rname, 2 * count(*) AS n, min(pos) AS first, max(pos) AS last FROM v_aligned GROUP BY 1")

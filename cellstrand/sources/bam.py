@@ -7,22 +7,24 @@ Large files are split at BGZF blocks: a partition is a range of bytes and has th
 records that begin in the blocks that begin there.  Where the first of them begins is
 found by trying places until a run of records makes sense (`first_record`), as records
 need not begin with a block.  The option ``contig`` keeps one contig's alignments;
-others are left out before their fields are decoded.
+others are left out before their fields are decoded.  Rows travel in batches of Arrow.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate, groupby, islice
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from .. import schemas
 from .fastq import file_size, file_system, open_seekable
@@ -30,6 +32,11 @@ from .fastq import file_size, file_system, open_seekable
 # Fixed values of the format.
 BASES = "=ACMGRSVTWYHKDBN"
 CIGAR_OPS = "MIDNSHP=X"
+_HEX = "0123456789abcdef"
+_TO_HEX = bytes(ord(_HEX[BASES.index(chr(c))]) if chr(c) in BASES else ord("f") for c in range(256))
+_FROM_HEX = str.maketrans(_HEX, BASES)
+_UP, _DOWN = bytes((c + 33) % 256 for c in range(256)), bytes((c - 33) % 256 for c in range(256))
+_HEAD = struct.Struct("<iiBBHHHiiii")
 _NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 _EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
@@ -107,7 +114,9 @@ class Blocks:
 
     def block(self) -> int:
         """Where in the file the block of the next byte begins."""
-        return max((at for k, at in self.begins if k <= self.used), default=self.next)
+        while len(self.begins) > 1 and self.begins[1][0] <= self.used:
+            self.begins.popleft()
+        return self.begins[0][1] if self.begins and self.begins[0][0] <= self.used else self.next
 
     def read(self, n: int) -> bytes:
         self.fill(n)
@@ -179,6 +188,23 @@ def first_record(stream: Blocks, targets: int, run: int = 6) -> bool:
     return False
 
 
+@lru_cache(1 << 14)
+def _cigar_text(ops: bytes) -> str:
+    return "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in struct.unpack(f"<{len(ops) // 4}I", ops)) or "*"
+
+
+@lru_cache(1 << 14)
+def _cigar_bytes(cigar: str) -> bytes:
+    ops, number = [], ""
+    for c in "" if cigar == "*" else cigar:
+        if c.isdigit():
+            number += c
+        else:
+            ops.append(int(number) << 4 | CIGAR_OPS.index(c))
+            number = ""
+    return struct.pack(f"<{len(ops)}I", *ops)
+
+
 def alignments(path: str, begin: int = 0, end: int | None = None, contig: str | None = None) -> Iterator[tuple]:
     """The records that begin in the blocks that begin in a range of bytes of a file."""
     with open_seekable(path) as file:
@@ -199,39 +225,49 @@ def alignments(path: str, begin: int = 0, end: int | None = None, contig: str |
             body = stream.read(struct.unpack("<i", head)[0])
             if wanted is not None and struct.unpack_from("<i", body)[0] != wanted:
                 continue
-            ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", body)
-            at = 32
-            qname = body[at : at + n_name - 1].decode()
-            at += n_name
-            ops = struct.unpack_from(f"<{n_cigar}I", body, at)
-            at += 4 * n_cigar
-            packed = body[at : at + (n_seq + 1) // 2]
-            seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
-            at += len(packed)
+            ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = _HEAD.unpack_from(body)
+            at = 31 + n_name
+            qname = body[32:at].decode()
+            to = at + 1 + 4 * n_cigar
+            cigar = _cigar_text(body[at + 1 : to])
+            at = to + (n_seq + 1) // 2
+            seq = body[to:at].hex().translate(_FROM_HEX)[:n_seq]
             qual = body[at : at + n_seq]
-            text = "".join(chr(q + 33) for q in qual) if qual and qual[0] != 255 else "*"
-            cigar = "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in ops) or "*"
+            text = qual.translate(_UP).decode("latin-1") if qual and qual[0] != 255 else "*"
             yield qname, flag, named(ref), pos, mapq, cigar, named(next_ref), next_pos, tlen, seq, text, _tags(body[at + n_seq :])
 
 
+_KINDS = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in schemas.ALIGNMENTS.split(", "))])
+
+
 class BamReader(DataSourceReader):
-    """Options: ``contig`` (all if not given), ``splitBytes`` (bytes of a partition)."""
+    """Options: ``contig`` (all if not given), ``splitBytes`` (bytes of a partition), ``cells``
+    (a JSON list with the cell of each file, which becomes the column cell_bc)."""
 
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.contig = options.get("contig")
         self.bytes = int(options.get("splitbytes", options.get("splitBytes", 1 << 27)))
+        self.cells = json.loads(options["cells"]) if "cells" in options else None
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for p in self.paths:
+        for p, cell in zip(self.paths, self.cells or [None] * len(self.paths), strict=True):
             with open_seekable(p) as f:
                 size = file_size(f)
-            out += [InputPartition((p, at, min(at + self.bytes, size))) for at in range(0, max(size, 1), self.bytes)]
+            out += [InputPartition((p, at, min(at + self.bytes, size), cell)) for at in range(0, max(size, 1), self.bytes)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from alignments(*partition.value, self.contig)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        path, begin, end, cell = partition.value
+        rows = alignments(path, begin, end, self.contig)
+        schema = _ARROW if self.cells is None else _ARROW.append(pa.field("cell_bc", pa.string()))
+        while some := list(islice(rows, 8192)):
+            *plain, tags = zip(*some, strict=True)
+            made = [pa.array(c, f.type) for c, f in zip(plain, schema, strict=False)]
+            made.append(pa.MapArray.from_arrays(list(accumulate(map(len, tags), initial=0)), [k for t in tags for k in t], [v for t in tags for v in t.values()]).cast(schema.field("tags").type))
+            yield pa.RecordBatch.from_arrays(made if self.cells is None else [*made, pa.array([cell] * len(some))], schema=schema)
 
 
 class BamSource(DataSource):
@@ -240,7 +276,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return schemas.ALIGNMENTS
+        return schemas.ALIGNMENTS + (", cell_bc string" if "cells" in self.options else "")
 
     def reader(self, schema) -> DataSourceReader:
         return BamReader(self.options)
@@ -256,15 +292,11 @@ def with_tag_columns(rows: DataFrame, gene: str = "GE", barcode: str = "BC", umi
 
 
 def one_file_per_cell(spark: SparkSession, paths: list[str], barcodes: list[str]) -> DataFrame:
-    """Files of one cell each, with the cell's barcode."""
+    """Files of one cell each, with the cell's barcode; a cell may have several.  All are one scan."""
     if len(paths) != len(barcodes):
         raise ValueError("as many barcodes as files are needed")
     register(spark)
-    out = None
-    for p, b in zip(paths, barcodes, strict=True):
-        df = spark.read.format("bam").load(p).withColumn("cell_bc", F.lit(b))
-        out = df if out is None else out.unionByName(df)
-    return out
+    return spark.read.format("bam").option("cells", json.dumps(list(barcodes))).load(",".join(paths))
 
 
 def _block(data: bytes) -> bytes:
@@ -278,55 +310,81 @@ def write_parts(alignments: DataFrame, targets: list[tuple[str, int]], folder: s
     """A BAM file for each partition of a table of alignments, in a folder that all
     executors reach; their paths.  A task writes under a name of its own attempt and
     renames, so a repeated task leaves one file."""
-    names = StructType.fromDDL(schemas.ALIGNMENTS).names
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        system, inner = file_system(folder)
-        system.create_dir(inner, recursive=True)
-        path = f"{inner}/part-{context.partitionId():05d}.bam"
-        rows = (tuple(row[c] for c in names) for batch in batches for row in batch.to_pylist(maps_as_pydicts="lossy"))
-        write_file(f"{path}.{context.taskAttemptId()}", targets, rows, system)
-        system.move(f"{path}.{context.taskAttemptId()}", path)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{context.partitionId():05d}.bam"])], names=["path"])
+        yield from _written_parts(folder, targets, [("", _rows(batches))])
+
+    return sorted(r["path"] for r in alignments.select(_ARROW.names).mapInArrow(write, "cell string, path string").collect())
+
+
+def write_cells(alignments: DataFrame, targets: list[tuple[str, int]], folder: str, cell: str) -> list[tuple[str, str]]:
+    """BAM files of one cell each: (cell, path), in order.
+
+    Rows are dealt out by range of cell and place, so a large cell is written by many tasks,
+    each with a file of its own, and small cells share a task, which writes one file after
+    the other.
+    """
+    rows = alignments.select(*_ARROW.names, F.col(cell).cast("string").alias("_cell")).where("_cell is not null")
+    dealt = rows.repartitionByRange("_cell", "pos", "qname").sortWithinPartitions("_cell", "pos")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((k, (row[:-1] for row in rows)) for k, rows in groupby(_rows(batches), key=lambda row: row[-1]))
+        yield from _written_parts(folder, targets, each)
+
+    return sorted((r["cell"], r["path"]) for r in dealt.mapInArrow(write, "cell string, path string").collect())
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches as tuples; maps become lists of pairs."""
+    for batch in batches:
+        yield from zip(*(_pairs(column) if pa.types.is_map(column.type) else column.to_pylist() for column in batch.columns), strict=True)
+
+
+def _pairs(column: pa.MapArray) -> list[list[tuple]]:
+    at = column.offsets.to_pylist()
+    flat = list(zip(column.keys.to_pylist(), column.items.to_pylist(), strict=True))
+    return [flat[a:b] if valid else [] for a, b, valid in zip(at, at[1:], column.is_valid().to_pylist(), strict=False)]
+
 
-    return sorted(r["path"] for r in alignments.select(names).mapInArrow(write, "path string").collect())
+def _written_parts(folder: str, targets: list[tuple[str, int]], parts: Iterable[tuple[str, Iterable[tuple]]]) -> Iterator[pa.RecordBatch]:
+    """(cell, path) of a task's files, each written under a name of this attempt and renamed."""
+    context = TaskContext.get()
+    system, inner = file_system(folder)
+    system.create_dir(inner, recursive=True)
+    for k, (cell, rows) in enumerate(parts):
+        name = f"part-{context.partitionId():05d}" + (f"-{k:06d}" if cell else "") + ".bam"
+        write_file(f"{inner}/{name}.{context.taskAttemptId()}", targets, rows, system)
+        system.move(f"{inner}/{name}.{context.taskAttemptId()}", f"{inner}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([f"{folder}/{name}"])], names=["cell", "path"])
 
 
 def write_file(path: str, targets: list[tuple[str, int]], rows: Iterable, system=None) -> None:
     """A BAM file of rows in the order of `schemas.ALIGNMENTS`; tags are written as text or numbers."""
     index = {name: i for i, (name, _) in enumerate(targets)}
     text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in targets).encode()
-    buffer = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(targets))
+    buffer = bytearray(b"BAM\1") + struct.pack("<i", len(text)) + text + struct.pack("<i", len(targets))
     for name, size in targets:
         raw = name.encode() + b"\0"
         buffer += struct.pack("<i", len(raw)) + raw + struct.pack("<i", size)
     with system.open_output_stream(path) if system else open(path, "wb") as f:
         for qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags in rows:
             name = qname.encode() + b"\0"
-            ops, number = [], ""
-            for c in "" if cigar in (None, "*") else cigar:
-                if c.isdigit():
-                    number += c
-                else:
-                    ops.append(int(number) << 4 | CIGAR_OPS.index(c))
-                    number = ""
-            bases = "" if seq in (None, "*") else seq
-            codes = [BASES.find(c) if c in BASES else 15 for c in bases]
-            packed = bytes((codes[i] << 4) | (codes[i + 1] if i + 1 < len(codes) else 0) for i in range(0, len(codes), 2))
-            quality = bytes(ord(c) - 33 for c in qual) if qual and qual != "*" else b"\xff" * len(bases)
+            ops = _cigar_bytes(cigar or "*")
+            bases = b"" if seq in (None, "*") else seq.encode()
+            packed = bytes.fromhex((bases.translate(_TO_HEX) + b"0" * (len(bases) % 2)).decode())
+            quality = qual.encode("latin-1").translate(_DOWN) if qual and qual != "*" else b"\xff" * len(bases)
             extra = b""
-            for tag, value in (tags or {}).items():
+            for tag, value in tags.items() if isinstance(tags, dict) else tags or ():
                 whole = value.lstrip("-").isdigit() and len(value) < 10
                 extra += tag.encode() + (b"i" + struct.pack("<i", int(value)) if whole else b"Z" + value.encode() + b"\0")
-            core = struct.pack("<iiBBHHHiiii", index.get(rname, -1), -1 if pos is None else pos, len(name), mapq or 0, 4680, len(ops), flag, len(bases), index.get(rnext, -1), -1 if pnext is None else pnext, tlen or 0)
-            body = core + name + struct.pack(f"<{len(ops)}I", *ops) + packed + quality + extra
+            core = _HEAD.pack(index.get(rname, -1), -1 if pos is None else pos, len(name), mapq or 0, 4680, len(ops) // 4, flag, len(bases), index.get(rnext, -1), -1 if pnext is None else pnext, tlen or 0)
+            body = core + name + ops + packed + quality + extra
             buffer += struct.pack("<i", len(body)) + body
             # records don't span blocks unless they are larger than one
             if len(buffer) >= 48000:
                 for at in range(0, len(buffer), 60000):
-                    f.write(_block(buffer[at : at + 60000]))
-                buffer = b""
+                    f.write(_block(bytes(buffer[at : at + 60000])))
+                buffer = bytearray()
         for at in range(0, len(buffer), 60000):
-            f.write(_block(buffer[at : at + 60000]))
+            f.write(_block(bytes(buffer[at : at + 60000])))
         f.write(_EOF)

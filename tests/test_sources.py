@@ -125,3 +125,16 @@ def test_bam_splits(spark, tmp_path):
     one = spark.read.format("bam").option("contig", "chr2").option("splitBytes", 20_000).load(path)
     assert {r["qname"] for r in one.collect()} == {r[0] for r in rows if r[2] == "chr2"}
     assert spark.read.format("bam").option("contig", "chr9").load(path).count() == 0
+
+
+def test_files_of_single_cells(spark, tmp_path):
+    """A cell's rows may be in several files; each file is of one cell, and odd texts come back."""
+    schema = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>, cell string"
+    rows = [(f"r{i}", 0, "chr1", i, 9, "*" if i % 5 == 0 else f"{1 + i % 7}M2N3=", None, -1, 0, "ACGTNRYW"[: i % 9], "*" if i % 9 == 0 else "I#!5?~JK"[: i % 9], {"BC": "AC", "YE": str(i)}, f"c{i % 3}") for i in range(300)]
+    made = bam.write_cells(spark.createDataFrame(rows, schema).repartition(7), [("chr1", 1000)], str(tmp_path / "cells"), "cell")
+    assert {c for c, _ in made} == {"c0", "c1", "c2"} and len({p for _, p in made}) == len(made)
+    back = bam.one_file_per_cell(spark, [p for _, p in made], [c for c, _ in made])
+    got = {r["qname"]: (r["pos"], r["cigar"], r["seq"], r["qual"], r["tags"], r["cell_bc"]) for r in back.collect()}
+    assert got == {r[0]: (r[3], r[5], r[9], r[10], r[11], r[12]) for r in rows}
+    for cell, path in made:
+        assert {got[x[0]][5] for x in bam.alignments(path)} == {cell}
