@@ -1,13 +1,14 @@
 """Fragments and tallies from streams of alignments.
 
-Pairing keeps one open end per read name until its mate comes; an event-time watermark
-lets go of ends whose mate never does.  Counts are ordinary streaming aggregates.
+Pairing keeps a read name's open end until its mate comes; an event-time watermark lets
+go of ends whose mate never does.  Counts are ordinary streaming aggregates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.demux import flag_class
 from ..operators.fragments import fold_end
 
-OPEN_END = "coordinate int, reverse boolean, barcode string"
+OPEN_ENDS = ["rname", "qname", "coordinate", "reverse", "barcode", "until"]
 FRAGMENT = "chrom string, start int, end int, barcode string"
 
 
@@ -50,43 +51,59 @@ def folded_stream(ends: DataFrame, time: str = "ts", delay: str = "10 minutes",
     return marked.groupBy("rname", "qname").applyInPandasWithState(fold, FRAGMENT, OPEN_FRAGMENT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def paired_stream(ends: DataFrame, time: str = "ts", delay: str = "10 minutes", min_distance: int = 10, max_distance: int = 5000) -> DataFrame:
+def paired_stream(ends: DataFrame, time: str = "ts", delay: str = "10 minutes", min_distance: int = 10, max_distance: int = 5000, buckets: int = 4096) -> DataFrame:
     """Complete fragments out of a stream of ends (rname, qname, coordinate, reverse, barcode, ts).
 
     A second end of a name completes the first if one is forward and one reverse, the
     distance fits and a barcode is there; either way the name is free again, so a
-    fragment comes out at once.  Names with three or more ends need `folded_stream`.
+    fragment comes out at once.  Ends of a batch go by ``ord``, if they have it.  Names
+    with three or more ends need `folded_stream`.
+
+    Names are dealt into ``buckets`` by a hash; a bucket is one group with its open ends as
+    state, so Python is called a bucket, not a name, and pairs all its ends at once.
     """
+    ordered = "ord" in ends.columns
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.DataFrame(dict(zip(OPEN_ENDS, state.get, strict=True))) if state.exists else pd.DataFrame({c: [] for c in OPEN_ENDS})
         if state.hasTimedOut:
-            state.remove()
-            return
-        open_ = state.get if state.exists else None
-        out, latest = [], None
-        for pdf in batches:
-            for at, reverse, barcode, ts in zip(pdf["coordinate"], pdf["reverse"], pdf["barcode"], pdf[time], strict=True):
-                latest = ts if latest is None else max(latest, ts)
-                code = None if pd.isna(barcode) else barcode
-                if open_ is None:
-                    open_ = (int(at), bool(reverse), code)
-                    continue
-                start, stop = (open_[0], int(at)) if reverse else (int(at), open_[0])
-                code = open_[2] if open_[2] is not None else code
-                if open_[1] != bool(reverse) and code is not None and min_distance <= stop - start <= max_distance:
-                    out.append((key[0], start, stop, code))
-                open_ = None
-        if open_ is None:
-            if state.exists:
-                state.remove()
+            made, rows = None, rows[rows["until"] > state.getCurrentWatermarkMs()]
         else:
-            state.update(open_)
-            if latest is not None:
-                state.setTimeoutTimestamp(int(max(latest.timestamp() * 1000, state.getCurrentWatermarkMs())) + 1)
-        yield pd.DataFrame(out, columns=["chrom", "start", "end", "barcode"])
-
-    marked = ends.withWatermark(time, delay)
-    return marked.groupBy("rname", "qname").applyInPandasWithState(pair, FRAGMENT, OPEN_END, "append", GroupStateTimeout.EventTimeTimeout)
+            new = pd.concat(batches, ignore_index=True)
+            new = new.sort_values("ord", kind="stable", ignore_index=True) if ordered else new
+            new["until"] = new[time].astype("datetime64[ms]").astype("int64")
+            made, rows = paired_rows(pd.concat([rows[OPEN_ENDS], new[OPEN_ENDS]], ignore_index=True) if len(rows) else new[OPEN_ENDS], min_distance, max_distance)
+        if len(rows):
+            state.update(tuple(rows[c].tolist() for c in OPEN_ENDS))
+            state.setTimeoutTimestamp(int(max(rows["until"].min(), state.getCurrentWatermarkMs())) + 1)
+        elif state.exists:
+            state.remove()
+        yield made if made is not None else pd.DataFrame([], columns=["chrom", "start", "end", "barcode"])
+
+    dealt = ends.select("rname", "qname", F.col("coordinate").cast("int"), "reverse", "barcode", time, *(["ord"] if ordered else []), F.pmod(F.xxhash64("rname", "qname"), F.lit(buckets)).alias("_bucket"))
+    state = "rname array<string>, qname array<string>, coordinate array<int>, reverse array<boolean>, barcode array<string>, until array<bigint>"
+    return dealt.withWatermark(time, delay).groupBy("_bucket").applyInPandasWithState(pair, FRAGMENT, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def paired_rows(rows: pd.DataFrame, low: int, high: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(fragments, ends left open) of ends in order: each name's first and second end are a
+    pair, its third and fourth, and so on."""
+    names = rows.groupby(["rname", "qname"], sort=False, dropna=False)
+    name, k = names.ngroup().to_numpy(), names.cumcount().to_numpy()
+    order = np.lexsort((k, name))
+    odd = k[order] % 2 == 1
+    second = order[odd]
+    first = order[np.flatnonzero(odd) - 1]
+    left = np.ones(len(rows), bool)
+    left[first], left[second] = False, False
+    a, b = rows.take(first).reset_index(drop=True), rows.take(second).reset_index(drop=True)
+    back = b["reverse"].to_numpy(bool)
+    at, other = a["coordinate"].to_numpy(), b["coordinate"].to_numpy()
+    start, stop = np.where(back, at, other), np.where(back, other, at)
+    code = a["barcode"].where(a["barcode"].notna(), b["barcode"])
+    fits = (a["reverse"].to_numpy(bool) != back) & code.notna().to_numpy() & (stop - start >= low) & (stop - start <= high)
+    made = pd.DataFrame({"chrom": a["rname"], "start": start, "end": stop, "barcode": code})[fits]
+    return made.astype({"start": "int32", "end": "int32"}), rows[left]
 
 
 def flag_counts_stream(alignments: DataFrame, barcode: str = "cell_bc", flag: str = "flag") -> DataFrame:
