@@ -1,9 +1,12 @@
+import datetime
+
 import numpy as np
 import pytest
 
 from cellstrand.operators import experiment as ex
 from cellstrand.operators import matrix, qc
 from cellstrand.streaming import fragments as stream
+from cellstrand.streaming import run
 
 
 def small(spark, cells=("ACG", "TTT")):
@@ -218,3 +221,38 @@ def test_layout_keeps_neighbours_together(spark):
                 apart.setdefault(tuple(sorted((int(a[1:]) % 3, int(b[1:]) % 3))), []).append(np.linalg.norm(got[a] - got[b]))
     mean = {k: np.mean(v) for k, v in apart.items()}
     assert min(mean[k] for k in mean if k[0] != k[1]) > 2 * max(mean[k] for k in mean if k[0] == k[1])
+
+
+def test_stream_of_pairs_holds_buckets(spark, tmp_path):
+    """Names share the state of a bucket; mates in different batches meet, ends in one batch go by ord."""
+    schema = "ord long, rname string, qname string, coordinate int, reverse boolean, barcode string, ts timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    forward = [(2 * i, "chr1", f"q{i}", i, False, "AC" if i % 2 else None, at) for i in range(200)]
+    back = [(2 * i + 1, "chr1", f"q{i}", i + 100, True, "GT" if i % 3 else None, at) for i in range(200)]
+    spark.createDataFrame(forward + back[:100][::-1], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(back[100:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ends = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = run.used_up(stream.paired_stream(ends, buckets=4), str(tmp_path / "out"))
+    want = [("chr1", i, i + 100, "AC" if i % 2 else "GT") for i in range(200) if i % 2 or i % 3]
+    assert sorted(tuple(r) for r in made.collect()) == want
+    files = [f for f in (tmp_path / "out" / "state" / "commits").iterdir() if f.name.isdigit()]
+    assert len(files) >= 2
+    with run.Progress(spark) as seen:
+        held = []
+        seen.onQueryProgress = lambda event: held.extend(s.numRowsTotal for s in event.progress.stateOperators)
+        run.used_up(stream.paired_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).where("not reverse"), buckets=4), str(tmp_path / "open"))
+    assert held and max(held) <= 4
+
+
+def test_nearest_cells_in_tiles(spark):
+    """Memory is bounded by the tiles, and equal distances go by name, whatever blocks cells fall in."""
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 4, (300, 3)).astype(float)
+    names = np.array([f"c{i * 37 % 300}" for i in range(300)], object)
+    i, j, far = matrix.nearest_of(x, names, x, names, 7, tile=50, rows=16)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = [np.lexsort((names, row))[:7] for row in d]
+    assert j.reshape(300, 7).tolist() == [w.tolist() for w in want] and np.allclose(far.reshape(300, 7), [d[a][w] for a, w in enumerate(want)])
+    scores = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)], "barcode string, scores array<double>")
+    got = {(r["barcode"], r["rank"]): r["neighbour"] for r in matrix.nearest_cells(scores, 7, block=64, wide=150).collect()}
+    assert got == {(names[a], r + 1): names[c] for a, w in enumerate(want) for r, c in enumerate(w)}
