@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from .intervals import Span, overlap_flags, overlap_join, tss_bins
 
 
@@ -98,8 +99,9 @@ def filter_counts(counts: DataFrame, cell_above: int = 200, feature_above: int =
     """Cells with more counts than ``cell_above``, then features above ``feature_above``.
 
     Either filter only applies if ``least`` cells or features get through; two small
-    counts are looked at for that.
+    counts are looked at for that, on a matrix that is written once.
     """
+    counts = written(counts, "counts")
     for column, above in (("barcode", cell_above), ("feature", feature_above)):
         kept = counts.groupBy(column).agg(F.sum("n").alias("_n")).where(F.col("_n") > above).select(column)
         if kept.limit(least).count() >= least:

@@ -79,3 +79,18 @@ def test_atac_run_keeps_the_order_of_equal_fragments(spark):
     _, tables = workflows.atac_run(spark.createDataFrame(rows, schema), region, region, region, region, first=-4)
     kept = {(r["start"], r["end"]): r["count"] for r in tables["fragments"].collect()}
     assert kept == {(1100, 1496): 2, (0, 95): 1}
+
+
+def test_counts_are_made_once(spark):
+    """Filters look at a matrix that is written, so what made it does not run again for each look."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "feature string, barcode string, n long"
+    counts = spark.createDataFrame([(f"f{i % 12}", f"b{i // 12}", 30) for i in range(144)], schema).mapInArrow(look, schema)
+    assert features.filter_counts(counts, 20, 10).count() == 144
+    assert seen.value == 144
