@@ -29,6 +29,19 @@ def _bin(c: Column | str, width: int) -> Column:
     return F.floor(c / F.lit(float(width))).cast("long")
 
 
+def binned(right: DataFrame, width: int) -> DataFrame:
+    """(_chrom, _bin, _near): the intervals of each bin as one array, to be looked up by rows
+    that are dealt out by bin; the bins' rows are few, so they are hashed."""
+    rows = right.where("start <= end").withColumn("_bin", F.explode(F.sequence(_bin("start", width), _bin("end", width))))
+    held = F.collect_list(F.struct(*[c for c in right.columns if c != "chrom"]))
+    return rows.groupBy(F.col("chrom").alias("_chrom"), "_bin").agg(held.alias("_near")).hint("shuffle_hash")
+
+
+def bins_of(parts: str, width: int) -> Column:
+    """The bins that an array of (start, end) lies on."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda s: s["start"] <= s["end"]), lambda s: F.sequence(_bin(s["start"], width), _bin(s["end"], width)))))
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, left_span: Span = Span(), right_span: Span = Span(), *, how: str = "inner", gap: int = 0, bin_width: int = 2048, prefix: str = "r_"
 ) -> DataFrame:

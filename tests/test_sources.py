@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,21 @@ def test_exon_mapping(spark):
     assert both["minus"] == 1
 
 
+def test_exon_votes_stay_in_bins(spark):
+    """Votes are the same in bins of any width, and only reads on several bins are dealt out by read."""
+    draw = random.Random(7)
+    exons = [(f"g{i // 3}", "chr1", 90 * i, 90 * i + draw.randint(5, 110), "+-"[i // 3 % 2]) for i in range(60)]
+    genes = an.gene_models(spark.createDataFrame(exons, "GeneID string, Chr string, Start int, End int, Strand string")).cache()
+    cigars = ("30M", "20M60N30M", "10M400N15M300N12M", "5S12M2D9M", "*")
+    rows = [(f"r{i}", draw.choice((0, 16, 4)), draw.choice(("chr1", "chr1", None)), draw.randint(-20, 5500), draw.choice(cigars)) for i in range(300)]
+    reads = spark.createDataFrame(rows, "qname string, flag int, rname string, pos int, cigar string")
+    voted = [sorted(map(tuple, mapping.vote_reads(reads, genes, bin_width=w).select("qname", F.coalesce("map_status", F.lit(9)), F.coalesce("gene_id", F.lit(""))).collect())) for w in (32, 256, 1 << 20)]
+    assert len(voted[0]) == 300 and voted[0] == voted[1] == voted[2]
+    assert {min(v[1], 0) or v[1] for v in voted[0]} >= {1, 2, 3, 9} and min(v[1] for v in voted[0]) < 0
+    plan = mapping.map_exons(reads, genes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(qname") == 1
+
+
 def test_text_statistics(spark):
     assert mapping.mapping_summary(spark.createDataFrame([(-5,), (3,)], "map_status int")).agg(F.sum("count")).first()[0] == 2
 
