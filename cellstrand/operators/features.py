@@ -45,15 +45,15 @@ def cell_qc_metrics(
 ) -> DataFrame:
     """Per barcode: total_frags and the parts of them on each kind of region.
 
-    ``key`` names a column that tells fragments apart, or is None where their places do.
+    Each row is a fragment, so ``key``, a column that tells them apart, is not looked at.
     A fragment counts once a kind, however many regions it meets; start sites count up
     to 1000 bases away.
     """
-    own = fragments.select(*([key] if key else []), "chrom", "start", "end", "barcode")
+    own = fragments.select("chrom", "start", "end", "barcode")
     kinds = {f"in_{n}": (df, gap) for n, df, gap in (("peak", peaks, 0), ("promoter", promoters, 0), ("tss", tss, tss_gap), ("enhancer", enhancers, 0))}
     flagged = overlap_flags(own, kinds)
-    n = F.sum("n")
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / n
+    n = F.count("*")
+    share = lambda c: F.count_if(c) / n
     made = flagged.groupBy(F.col("barcode").alias("bc")).agg(
         n.alias("total_frags"),
         *[share(F.col(f"in_{k}")).alias(f"frac_{k}") for k in ("peak", "promoter", "tss", "enhancer")],
@@ -120,7 +120,7 @@ def stats_per_feature(counts: DataFrame) -> DataFrame:
 def feature_flags(features: DataFrame, promoters: DataFrame, enhancers: DataFrame, tss: DataFrame, genes: DataFrame) -> DataFrame:
     """Per feature, what it overlaps; ``intergenic`` if no gene."""
     kinds = {"promoter_overlaps": promoters, "enhancer_overlaps": enhancers, "tss_overlaps": tss, "gene_overlaps": genes}
-    return overlap_flags(features, kinds).drop("n").withColumn("intergenic", ~F.col("gene_overlaps"))
+    return overlap_flags(features.distinct(), kinds).withColumn("intergenic", ~F.col("gene_overlaps"))
 
 
 def tss_profile(fragments: DataFrame, tss: DataFrame, key: str) -> DataFrame:

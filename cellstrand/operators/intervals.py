@@ -82,22 +82,28 @@ def _columns(span: Span) -> tuple[str, str, str]:
     return span.chrom, span.start, span.end
 
 
-def overlap_flags(left: DataFrame, regions: dict[str, DataFrame | tuple[DataFrame, int]], **options) -> DataFrame:
-    """The distinct rows of ``left`` (chrom, start, end and others that can be grouped by) with
-    ``n``, how often each is there, and a flag for each kind of region: whether it meets one.
+def overlap_flags(left: DataFrame, regions: dict[str, DataFrame | tuple[DataFrame, int]], bin_width: int = 2048) -> DataFrame:
+    """``left`` (chrom, start, end and others that can be grouped by) with a flag for each kind
+    of region: whether a row meets one.
 
-    All kinds are one table in one overlap join, and the flags are bits that one aggregate
-    puts together; a kind may come with a gap.
+    All kinds are one table, held as one array a bin, and the flags are bits that a row gathers
+    there; only rows that lie on several bins are put together again.  A kind may come with a gap.
     """
     kinds = []
     for bit, (_, one) in enumerate(regions.items()):
         df, gap = one if isinstance(one, tuple) else (one, 0)
         kinds.append(df.select("chrom", (F.col("start") - gap).alias("start"), (F.col("end") + gap).alias("end"), F.lit(1 << bit).alias("bit")))
-    rows = left.groupBy(*left.columns).agg(F.count("*").alias("n"))
-    hits = overlap_join(rows, reduce(DataFrame.unionByName, kinds), **options)
-    bits = hits.select(*rows.columns, F.col("r_bit").alias("bit")).unionByName(rows.withColumn("bit", F.lit(0)))
-    met = bits.groupBy(*rows.columns).agg(F.bit_or("bit").alias("_bits"))
-    return met.select(*rows.columns, *[(F.col("_bits").bitwiseAND(1 << k) != 0).alias(name) for k, name in enumerate(regions)])
+    near = binned(reduce(DataFrame.unionByName, kinds), bin_width)
+    first, last = _bin("start", bin_width), _bin("end", bin_width)
+    several = F.coalesce(first < last, F.lit(False))
+    meets = lambda x: (F.col("start") <= x["end"]) & (x["start"] <= F.col("end")) & (F.col("start") <= F.col("end"))
+    bits = F.coalesce(F.aggregate("_near", F.lit(0), lambda b, x: F.when(meets(x), b.bitwiseOR(x["bit"])).otherwise(b)), F.lit(0))
+    look = lambda df: df.join(near, (F.col("chrom") == F.col("_chrom")) & (F.col("_at") == F.col("_bin")), "left").withColumn("_bits", bits)
+    one = look(left.where(~several).withColumn("_at", first)).select(*left.columns, "_bits")
+    rows = left.where(several).groupBy(*left.columns).agg(F.count("*").alias("_n"))
+    many = look(rows.withColumn("_at", F.explode(F.sequence(first, last)))).groupBy(*left.columns, "_n").agg(F.bit_or("_bits").alias("_bits"))
+    many = many.select(*left.columns, "_bits", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
+    return one.unionByName(many).select(*left.columns, *[(F.col("_bits").bitwiseAND(1 << k) != 0).alias(name) for k, name in enumerate(regions)])
 
 
 def tsv_gap(bases: int) -> int:

@@ -314,8 +314,9 @@ def rna_result_duplication(spark, d):
 
 
 def atac_folder(spark, d):
-    place, counts = new_place(spark, "atac"), _counts(spark, d)
-    sinks.write_matrix(counts, f"{place}/counts")
+    place, made = new_place(spark, "atac"), _counts(spark, d)
+    sinks.write_matrix(made, f"{place}/counts")
+    counts = spark.read.schema(made.schema).parquet(f"{place}/counts")
     sinks.write_statistics({"per_cell": features.stats_per_cell(counts), "per_feature": features.stats_per_feature(counts), "cell_qc": rounded(_qc(spark, d), *_FRACTIONS)}, place)
     return place
 

@@ -29,6 +29,24 @@ def test_overlap_is_the_nested_loop(spark, a, b, gap):
     assert {r["id"] for r in iv.overlap_join(left, right, gap=gap, how="anti", bin_width=64).collect()} == {x[3] for x in a} - hit
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(a=spans, b=spans, c=spans)
+def test_flags_are_the_nested_loop(spark, a, b, c):
+    """Every row, also those that are there twice or lie on several bins, has the flags of its own place."""
+    rows = [(x, s, s + n, i) for i, (x, s, n) in enumerate(a)] * 2
+    near, far = ([(x, s, s + n, i) for i, (x, s, n) in enumerate(y)] for y in (b, c))
+    made = iv.overlap_flags(spark.createDataFrame(rows, SCHEMA), {"p": spark.createDataFrame(near, SCHEMA), "q": (spark.createDataFrame(far, SCHEMA), 7)}, bin_width=64)
+    of = lambda x, ys, gap: any(x[0] == y[0] and x[1] <= y[2] + gap and y[1] - gap <= x[2] for y in ys)
+    assert sorted(map(tuple, made.collect())) == sorted((*x, of(x, near, 0), of(x, far, 7)) for x in rows)
+
+
+def test_flags_hash_the_regions(spark):
+    """The bins' regions are hashed and rows pass by them: they are neither sorted nor held."""
+    df = spark.createDataFrame([("x", 1, 2, 1)], SCHEMA)
+    plan = iv.overlap_flags(df, {"p": df})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
 def test_join_kind(spark):
     df = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
