@@ -1,5 +1,5 @@
 from cellstrand.functions.sequence import FilterSettings, ReadStructure
-from cellstrand.operators import demux, features, reads, workflows
+from cellstrand.operators import demux, features, matrix, reads, workflows
 
 PAIR = "ordinal long, name string, seq1 string, qual1 string, seq2 string, qual2 string, barcodes array<struct<seq:string,qual:string>>"
 
@@ -94,3 +94,19 @@ def test_counts_are_made_once(spark):
     counts = spark.createDataFrame([(f"f{i % 12}", f"b{i // 12}", 30) for i in range(144)], schema).mapInArrow(look, schema)
     assert features.filter_counts(counts, 20, 10).count() == 144
     assert seen.value == 144
+
+
+def test_scaling_makes_counts_once(spark):
+    """Sums of cells and features are held against counts that are written, and not made again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "feature string, barcode string, n long"
+    counts = spark.createDataFrame([(f"f{i % 12}", f"b{i // 12}", 1 + i % 5) for i in range(144)], schema).mapInArrow(look, schema)
+    assert matrix.tf_idf(counts).count() == 144
+    assert matrix.lsi(matrix.tf_idf(counts), rank=4, rounds=2).count() == 12
+    assert seen.value == 2 * 144
