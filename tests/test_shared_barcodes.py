@@ -48,7 +48,7 @@ def crowded(tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["corrected_barcodes", "counting_run", "demux_cell_reads", "demux_cell_stat", "demux_overall_stat"])
+@pytest.mark.parametrize("name", ["corrected_barcodes", "counting_run", "demux_cell_reads", "demux_cell_stat", "demux_overall_stat", "report_tables"])
 def test_same_as_sql_without_lone_barcodes(spark, crowded, name):
     con = duckdb.connect()
     for t in TABLES:
