@@ -48,7 +48,7 @@ def crowded(tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["corrected_barcodes", "counting_run", "demux_cell_reads", "demux_cell_stat", "demux_overall_stat", "report_tables"])
+@pytest.mark.parametrize("name", ["corrected_barcodes", "counting_run", "demux_cell_reads", "demux_cell_stat", "demux_overall_stat", "plot_demultiplex_share", "report_tables"])
 def test_same_as_sql_without_lone_barcodes(spark, crowded, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -60,3 +60,17 @@ def test_same_as_sql_without_lone_barcodes(spark, crowded, name):
     want = sorted(tuple(map(plain, r)) for r in found.fetchall())
     made = registry.QUERIES[name](spark, crowded).select(*[f"`{c}`" for c in names]).collect()
     assert sorted(tuple(map(plain, r)) for r in made) == want
+
+
+def test_shares_are_rounded_as_in_sql(spark, crowded, tmp_path):
+    """41 of 640 reads: 0.0640625, whose double lies below the middle of two numbers of six places."""
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{crowded}/{t}.parquet", tmp_path / f"{t}.parquet")
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (case when event_id < 41 then 'click' else 'view' end as event_type) from '{DATA}/events.parquet' where event_id < 640) to '{tmp_path}/events.parquet' (format parquet)")
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(registry.ORACLE_SQL["plot_demultiplex_share"]).fetchall()}
+    assert want["barcode_unmatch_mapped_to_exon"] == (41, 0.064062)
+    assert {r["status"]: (r["count"], r["share"]) for r in registry.QUERIES["plot_demultiplex_share"](spark, str(tmp_path)).collect()} == want
